@@ -34,6 +34,10 @@ from graphloom.llm.components import connected_components
 _SKETCH, _SKETCH_BLOCK = 1 << 20, 1 << 12
 _RUN_ROWS = 20_000
 _BITMAP_WORDS = 8
+#: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
+_BROADCAST_IDS = 500_000
+#: Bytes of a shingle hash that whole sets are compared by.
+_SET_BYTES = 6
 _NULL_ID = -(1 << 63)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -69,6 +73,16 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _packed(h: np.ndarray) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // _SET_BYTES, 8), np.uint8)
+    out[:, :_SET_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, _SET_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents hold a shingle of each slot, from all documents."""
 
@@ -219,7 +233,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpacked(x), _unpacked(y)
                 both = np.sort(np.concatenate([x, y]))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -238,9 +252,12 @@ def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     every = stored(spark, _sets(own, n, percent), "sets")
     classes = every.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("bits").alias("bits"))
     groups = every.filter("cls is not null").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("cls") != F.max("cls")).alias("many"))
-    index = groups.select("grp", "n", "many", F.posexplode("prefix").alias("pos", "token"))
-    index = index.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("found > 1 or many")
-    index = stored(spark, index.select("token", "pos", "n", "grp", "found"), "index")
+    # a row is a shingle, a group, and in one number the set's size, the place and whether the group has several classes
+    place = F.shiftleft("n", 32) + F.col("pos") * 2 + F.col("many").cast("long")
+    index = groups.select("grp", "n", "many", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", place.alias("place"))
+    index = index.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("found > 1 or place % 2 = 1")
+    unpacked = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    index = stored(spark, index.select("token", "grp", unpacked.alias("pos"), F.shiftright("place", 32).alias("n"), "found"), "index")
     partners = stored(spark, classes.join(index.select("grp").distinct(), "grp", "left_semi"), "classes")
 
     def expanded(labels: DataFrame | None) -> DataFrame:
@@ -257,13 +274,19 @@ def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         for b in batches:
             sets = [shingles(t, n) for t in b["text"].to_pylist()]
             cls = [np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "set": pa.array([h.tobytes() for h in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "set": pa.array([_packed(h) for h in sets], pa.binary())})
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(spark, pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id"), "cls").select("id")
+        wanted = stored(spark, wanted, "wanted")
+        few = wanted.count() <= _BROADCAST_IDS
+        chosen = own.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+        return stored(spark, _verify(pairs, chosen.mapInArrow(whole, "cls long, set binary"), percent), "links")
 
-    found = own.join(partners.select("id"), "id", "left_semi").mapInArrow(whole, "cls long, set binary")
-    sets = stored(spark, found.join(partners.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "whole")
-    links = stored(spark, _verify(_candidates(expanded(None), percent, False), sets, percent), "links")
+    links = verified(_candidates(expanded(None), percent, False))
     labels = stored(spark, connected_components(spark, links), "labels")
-    more = stored(spark, _verify(_candidates(expanded(labels), percent, True), sets, percent), "links")
+    more = verified(_candidates(expanded(labels), percent, True))
     labels = stored(spark, connected_components(spark, links.unionAll(more)), "labels")
     marked = every.select("id", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
     least = marked.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
