@@ -33,7 +33,7 @@ from graphloom.llm.components import connected_components
 
 _SKETCH, _SKETCH_BLOCK = 1 << 20, 1 << 12
 _RUN_ROWS = 20_000
-_BITMAP_WORDS = 8
+_BITMAP_WORDS = 4
 #: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
 _BROADCAST_IDS = 500_000
 #: Bytes of a shingle hash that whole sets are compared by.
@@ -141,14 +141,15 @@ class _Runs:
 
     def __init__(self, t: pa.Table, percent: int) -> None:
         self.percent = percent
-        self.n, self.pos, self.cls, self.comp, self.part = (np.array(t[c]) for c in ("n", "pos", "cls", "comp", "part"))
+        self.place, self.cls, self.comp, self.part = (np.array(t[c]) for c in ("place", "cls", "comp", "part"))
+        self.n, self.pos = self.place >> 32, self.place & 0xFFFFFFFF
         self.bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, _BITMAP_WORDS)
-        key = [np.array(t[c]) for c in ("token", "low", "high")]
+        key = [np.array(t[c]) for c in ("token", "block")]
         new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])])
         self.starts = np.flatnonzero(new)
         self.ends = np.append(self.starts[1:], len(new))
         self.first = self.starts[np.cumsum(new) - 1]
-        self.cross = key[1] != key[2]
+        self.cross = key[1] % 2 == 1
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the row pairs whose sets may reach the threshold and whose parts are separate."""
@@ -211,7 +212,7 @@ def _candidates(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
             size += b.num_rows
             if size >= _RUN_ROWS:
                 t = pa.Table.from_batches(held).combine_chunks()
-                key = [np.array(t[c]) for c in ("token", "low", "high")]
+                key = [np.array(t[c]) for c in ("token", "block")]
                 inside = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
                 cut = int(np.flatnonzero(inside)[-1]) + 1 if inside.any() else 0
                 if cut:
@@ -221,8 +222,8 @@ def _candidates(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
         if held:
             yield from emit(pa.Table.from_batches(held).combine_chunks())
 
-    # neighbours by size, then by a hash that sets a run's order apart from the ids
-    ordered = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "cls")
+    # by size first (the upper half of place)
+    ordered = rows.repartition("token", "block").sortWithinPartitions("token", "block", "place", "cls")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -268,7 +269,11 @@ def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
             members = members.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
         rows = index.join(members, "grp").withColumn("slices", F.ceil(F.col("found") / _RUN_ROWS).cast("int"))
         rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        return rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "pos", "cls", "comp", "bits")
+        low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
+        crosses = (F.col("part") != F.col("other")).cast("long")
+        # narrow rows: one number for the block of slices, one for the slice, the size and the place
+        block = F.shiftleft(low, 32).bitwiseOR(F.shiftleft(high, 1)).bitwiseOR(crosses)
+        return rows.select("token", block.alias("block"), "part", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("place"), "cls", "comp", "bits")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
