@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether a query's shuffle files go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the path may be in any store that Spark reads."""
@@ -50,9 +53,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, no executor holds state."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, no executor holds state.
+
+    Nothing needs the write's shuffles once it is done, so Spark removes their files at its end.
+    """
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
