@@ -86,10 +86,14 @@ def _random_samples(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _identifier_samples(docs: DataFrame, text: str, n_docs: int) -> DataFrame:
-    """Labelled identifiers: words of about ``n_docs`` documents chosen by a hash of the text, alone and joined."""
+    """Labelled identifiers: words of about ``n_docs`` documents chosen by a hash of the text, alone and joined.
+
+    Texts that begin alike are chosen together, so each beginning counts once: a large group of copies
+    makes the sample no larger.
+    """
     every = docs.count() // max(1, n_docs) + 1
-    chosen = docs.filter(F.pmod(F.xxhash64(F.substring(text, 1, 200)), F.lit(every)) == 0)
-    found = F.filter(F.regexp_extract_all(F.substring(text, 1, 4000), F.lit("[A-Za-z][A-Za-z0-9]{2,}"), F.lit(0)), lambda w: F.length(w) < 20)
+    chosen = docs.filter(F.pmod(F.xxhash64(F.substring(text, 1, 200)), F.lit(every)) == 0).groupBy(F.substring(text, 1, 200).alias("begin")).agg(F.min(F.substring(text, 1, 4000)).alias("head"))
+    found = F.filter(F.regexp_extract_all("head", F.lit("[A-Za-z][A-Za-z0-9]{2,}"), F.lit(0)), lambda w: F.length(w) < 20)
     joined = F.transform(
         F.sequence(F.lit(1), F.size("w") - 1),
         lambda i: F.concat(F.element_at("w", i), F.element_at(F.array(*map(F.lit, "_-/")), i % 3 + 1), F.initcap(F.element_at("w", i + 1)), (i % 10).cast("string")),
