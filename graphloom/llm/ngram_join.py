@@ -25,13 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches, stored
 from graphloom.llm.components import connected_components
 
-_SKETCH, _SKETCH_BLOCK = 1 << 20, 1 << 12
+#: Slots of the rarity sketch (4 bytes each in every worker) and slots that are added up together.
+_SKETCH, _SKETCH_BLOCK = 1 << 24, 1 << 16
 _RUN_ROWS = 20_000
 _BITMAP_WORDS = 4
 #: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
@@ -87,22 +89,24 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents hold a shingle of each slot, from all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(_SKETCH, np.int64)
+        slots = np.zeros(_SKETCH, np.int32)
         for b in batches:
             for t in b["text"].to_pylist():
                 np.add.at(slots, (shingles(t, n) & np.uint64(_SKETCH - 1)).astype(np.int64), 1)
-        blocks = slots.reshape(-1, _SKETCH_BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int64()), "slots": pa.array([blocks[k].astype("<i4").tobytes() for k in some], pa.binary())})
+        blocks, z = slots.reshape(-1, _SKETCH_BLOCK), zstandard.ZstdCompressor(level=1)
+        for k in np.flatnonzero(blocks.any(1)).tolist():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int64()), "slots": pa.array([z.compress(blocks[k].tobytes())], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in table["slots"].to_pylist())
-        return pa.Table.from_pydict({"block": table["block"][:1], "slots": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+        total, z = np.zeros(_SKETCH_BLOCK, np.int64), zstandard.ZstdDecompressor()
+        for x in table["slots"]:
+            total += np.frombuffer(z.decompress(x.as_py()), np.int32)
+        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes())
+        return pa.Table.from_pydict({"block": table["block"][:1], "slots": pa.array([packed], pa.binary())})
 
-    out = np.zeros((_SKETCH // _SKETCH_BLOCK, _SKETCH_BLOCK), np.int32)
+    out, z = np.zeros((_SKETCH // _SKETCH_BLOCK, _SKETCH_BLOCK), np.int32), zstandard.ZstdDecompressor()
     for r in docs.select("text").mapInArrow(count, "block long, slots binary").groupBy("block").applyInArrow(add, "block long, slots binary").collect():
-        out[r["block"]] = np.frombuffer(r["slots"], "<i4")
+        out[r["block"]] = np.frombuffer(z.decompress(r["slots"]), np.int32)
     return out.ravel()
 
 
