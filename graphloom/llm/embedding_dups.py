@@ -1,10 +1,12 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-A filter is a direction; a vector belongs to all filters whose direction it meets with at least
-a threshold. Directions are a structured random product code: after a random rotation the
+A filter is a direction; a vector belongs to the fixed number of filters whose directions it
+meets best. Directions are a structured random product code: after a random rotation the
 coordinates are cut into two blocks, each block has its own random unit vectors, and a filter
 is a pair of them, so the list of a vector's filters is decoded from two short score lists.
-Vectors that share a filter are compared exactly, in double precision.
+Vectors that share a filter are compared exactly, in double precision. How many filters a
+vector has, and in how many independent codes, is fitted to the number of vectors: at most
+``miss`` of the pairs at the threshold share none, as measured on random pairs.
 
 Exact copies are first folded into one vector with a multiplicity. A filter with many members
 is cut into slices that are compared pairwise as blocks, so no task holds a whole hot filter,
@@ -34,19 +36,10 @@ _CODED = "rep long, copies long, v binary, filters array<long>"
 _FOUND = "rep long, links long, root long"
 
 
-def _upper_tail(p: float) -> float:
-    """z with P(normal >= z) = p, by bisection."""
-    lo, hi = 0.0, 12.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * math.erfc(mid / math.sqrt(2)) > p else (lo, mid)
-    return lo
-
-
 class ProductCode:
-    """Filters of one vector length: ``size`` * ``size`` directions, met from ``least`` on."""
+    """Filters of one vector length: ``size`` * ``size`` directions, of which a vector meets its ``best`` ones."""
 
-    def __init__(self, dim: int, size: int, tail: float, seed: int = 11) -> None:
+    def __init__(self, dim: int, size: int, best: int, seed: int = 11) -> None:
         rng = np.random.default_rng([seed, dim, size])
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.cut = (dim + 1) // 2
@@ -54,29 +47,70 @@ class ProductCode:
         norm = [np.linalg.norm(c, axis=1, keepdims=True) if c.shape[1] else 1.0 for c in self.codes]
         # a block's share of the unit direction follows its share of the coordinates
         self.codes = [c / n * math.sqrt(c.shape[1] / dim) for c, n in zip(self.codes, norm, strict=True)]
-        self.size, self.least = size, _upper_tail(tail) / math.sqrt(dim)
-
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """The sorted filter numbers of each unit vector; a vector that meets none gets its best one."""
-        y = x @ self.rotation
-        first, second = y[:, : self.cut] @ self.codes[0].T, y[:, self.cut :] @ self.codes[1].T
+        self.size, self.best = size, best
+        self.short = min(best, size)
+        # the best sums of two falling lists lie where the ranks' product is small
+        ranks = [(i, j) for i in range(self.short) for j in range(self.short) if (i + 1) * (j + 1) <= best]
+        self.first, self.second = np.array(ranks, np.int64).T
+
+    def _top(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.argpartition(-x, self.short - 1, axis=1)[:, : self.short]
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(x, at, 1), axis=1, kind="stable"), 1)
+        return at, np.take_along_axis(x, at, 1)
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """The sorted filter numbers of each unit vector."""
         out = []
-        for a, b in zip(first, second, strict=True):
-            order = np.argsort(-b, kind="stable")
-            n = np.searchsorted(-b[order], a - self.least, "right")  # b >= least - a
-            if not n.any():
-                out.append(np.array([int(a.argmax()) * self.size + int(b.argmax())]))
-                continue
-            i = np.repeat(np.arange(self.size), n)
-            j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
-            out.append(np.sort(i * self.size + j))
-        return out
-
-
-def code_size(n: int, *, a_vector: float = 14.0, members: float = 60.0) -> tuple[int, float]:
-    """(code vectors a block, tail of the normal): filters of about ``members``, ``a_vector`` filters a vector."""
-    tail = min(0.01, max(1e-6, members / max(n, 1)))
-    return math.ceil(math.sqrt(a_vector / tail)), tail
+        for k in range(0, len(x), _BLOCK_ROWS):
+            y = x[k : k + _BLOCK_ROWS] @ self.rotation
+            (i, a), (j, b) = (self._top(z @ c.T) for z, c in zip((y[:, : self.cut], y[:, self.cut :]), self.codes, strict=True))
+            order = np.argsort(-(a[:, self.first] + b[:, self.second]), axis=1, kind="stable")[:, : self.best]
+            out.append(np.sort(np.take_along_axis(i[:, self.first] * self.size + j[:, self.second], order, 1), 1))
+        return np.concatenate(out)
+
+
+def code_size(n: int, *, best: int, members: float = 60.0) -> int:
+    """Code vectors a block, for filters of about ``members`` vectors if each of ``n`` meets ``best``."""
+    return math.ceil(math.sqrt(best * max(100.0, n / members)))
+
+
+def _decode(codes: list[ProductCode], x: np.ndarray) -> np.ndarray:
+    return np.concatenate([c.decode(x) + k * c.size**2 for k, c in enumerate(codes)], axis=1)
+
+
+def missed(codes: list[ProductCode], dim: int, least: float, pairs: int = 4000) -> float:
+    """Share of random pairs of cosine ``least`` without a common filter.
+
+    The rotation is random, so it holds for any given pair, however the vectors lie.
+    """
+    rng = np.random.default_rng([5, dim])
+    x, z = rng.normal(size=(2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    y = x if dim == 1 else least * x + math.sqrt(max(0.0, 1 - least * least)) * z
+    a, b = _decode(codes, x), _decode(codes, y)
+    return 1 - float(np.mean([np.isin(p, q, assume_unique=True).any() for p, q in zip(a, b, strict=True)]))
+
+
+def fitted(n: int, dim: int, least: float, *, miss: float = 0.01, a_vector: int = 14, members: float = 60.0) -> list[ProductCode]:
+    """Codes that leave at most ``miss`` of the pairs at the threshold without a common filter, at any ``n``.
+
+    More filters a vector come first; where those don't help (few dimensions), coarser codes and then independent ones.
+    """
+    best, size = a_vector, code_size(n, best=a_vector, members=members)
+    codes = [ProductCode(dim, size, best)]
+    while (lost := missed(codes, dim, least)) > miss:
+        if len(codes) > 1 or lost <= 0.3 and best >= 4 * a_vector:
+            codes.append(ProductCode(dim, size, best, 11 + len(codes)))
+            continue
+        if best < 4 * a_vector:
+            best += a_vector
+            size = code_size(n, best=best, members=members)
+        else:
+            size = (size + 1) // 2
+        codes = [ProductCode(dim, size, best)]
+    return codes
 
 
 def _unit(vectors: list[bytes]) -> np.ndarray:
@@ -117,7 +151,7 @@ def _block(table: pa.Table, least: float) -> pa.Table:
     return pa.Table.from_pydict({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", a_vector: float = 14.0, members: float = 60.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", a_vector: int = 14, members: float = 60.0, miss: float = 0.01) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -127,20 +161,25 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "v
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
     folded = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     folded = stored(spark, folded, "vectors")
-    size, tail = code_size(folded.count(), a_vector=a_vector, members=members)
+    plan, start = {}, 0  # by vector length: size, filters a vector, number of codes, first filter number
+    for dim, n in sorted(folded.groupBy(F.size("v")).count().collect()):
+        codes = fitted(n, dim, least, miss=miss, a_vector=a_vector, members=members)
+        plan[dim] = codes[0].size, codes[0].best, len(codes), start
+        start += len(codes) * codes[0].size ** 2
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
+        made: dict[int, list[ProductCode]] = {}
         for b in batches:
             v = [np.array(x, "<f8") for x in b["v"].to_pylist()]
             lists: list[np.ndarray] = [np.empty(0, np.int64)] * len(v)
             for dim in {len(x) for x in v}:
-                if dim not in codes:
-                    codes[dim] = ProductCode(dim, size, tail)
+                size, best, n_codes, first = plan[dim]
+                if dim not in made:
+                    made[dim] = [ProductCode(dim, size, best, 11 + k) for k in range(n_codes)]
                 mine = [k for k, x in enumerate(v) if len(x) == dim]
                 x = np.stack([v[k] for k in mine])
-                for k, f in zip(mine, codes[dim].decode(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
-                    lists[k] = f + dim * size * size
+                for k, f in zip(mine, _decode(made[dim], x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
+                    lists[k] = f + first
             yield pa.RecordBatch.from_pydict(
                 {"rep": b["rep"], "copies": b["copies"], "v": pa.array([x.tobytes() for x in v], pa.binary()), "filters": pa.array(lists, pa.list_(pa.int64()))}
             )
