@@ -1,11 +1,13 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page's text nodes are grouped by their root-to-leaf tag path. For each path the text length
-and the punctuation marks a node are taken, both are smoothed over the page's order of nodes,
-and their product is the node's weight. Paths whose weight passes a threshold from the mean
-and spread are content; the element that holds nearly all content weight is the article's root,
-and all its text is kept but for what HTML or its class, id or role declare to be something else
-(menus, adverts, forms, reader comments and the like), so short paragraphs never get lost.
+and the punctuation marks a node are taken; their product, and the same after smoothing both
+over the page's order of nodes, are fused to the path's weight. Paths whose weight passes a
+share of the page's mean are content. Elements that HTML itself sets apart (menus, forms,
+asides, hidden ones) are no text of the page; a class, id or role that names something else
+(adverts, reader comments and the like), links, and a place outside the one article of a page
+only lower a weight, the first never for an element that holds most of the text. Short blocks
+between selected ones and headings in front of them are kept.
 
 Defined cases: null or empty html, or none of it text, gives empty text; broken markup is read
 as browsers do in the common cases (implied ends, stray ends ignored, an open comment or script
@@ -49,48 +51,62 @@ ASIDE = frozenset(
 )
 PAGE_HEAD = frozenset(["header", "topbar"])
 KEEPERS = frozenset(["html", "body", "article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that make a class say what a page has or lacks, not what the element is.
+_STATE = frozenset("has have with without no not hide hides show shows is".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "inside", "weight")
+    __slots__ = ("tag", "parent", "path", "out", "inside", "link", "named", "length", "weight")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool) -> None:
-        self.tag, self.parent, self.out, self.weight = tag, parent, out, 0.0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+    def __init__(self, tag: str, parent: _Element | None, out: bool, named: bool = False) -> None:
+        self.tag, self.parent, self.out, self.named, self.length, self.weight = tag, parent, out, named, 0, 0.0
+        self.path = f"{parent.path}/{tag}{'!' if named else ''}" if parent else tag
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.link = tag == "a" or bool(parent and parent.link)
 
 
-def _declared_aside(tag: str, attributes: str, parent: _Element) -> bool:
+def _set_apart(tag: str, attributes: str, parent: _Element) -> bool:
+    """Whether HTML itself says that the element is no part of the page's text."""
     if tag in NEVER or (tag == "header" and not parent.inside):
         return True
+    return bool(attributes) and tag not in KEEPERS and bool(_HIDDEN.search(attributes))
+
+
+def _named_aside(tag: str, attributes: str, parent: _Element) -> bool:
+    """Whether class, id or role name something beside the article."""
     if not attributes or tag in KEEPERS:
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    said = {w for m in _HINT.finditer(attributes) for w in _WORDS.findall(m[1].lower())}
+    said: set[str] = set()
+    for m in _HINT.finditer(attributes):
+        for name in m[1].strip("\"'").lower().split():
+            words = _WORDS.findall(name)
+            if not _STATE & set(words):
+                said.update(words)
     return bool(said & ASIDE) or bool(said & PAGE_HEAD and not parent.inside)
 
 
-def blocks(html: str) -> list[tuple[_Element, str]]:
-    """(element, text) of each block of text that isn't declared to be something else, in page order."""
+def blocks(html: str) -> list[tuple[_Element, str, float]]:
+    """(element, text, share of it in links) of each block of text that HTML doesn't set apart, in page order."""
     root = _Element("#", None, False)
     stack, found, run = [root], [], []
-    at, owner = 0, root
+    at, owner, linked = 0, root, 0
     raw: str | None = None
 
     def flush() -> None:
-        nonlocal run
+        nonlocal run, linked
         text = " ".join(html_lib.unescape("".join(run)).split()) if run else ""
         if text:
-            found.append((owner, text))
-        run = []
+            found.append((owner, text, linked / sum(map(len, run))))
+        run, linked = [], 0
 
     def add(text: str) -> None:
-        nonlocal owner
+        nonlocal owner, linked
         if raw is None and text and not stack[-1].out:
             if not run:
                 owner = stack[-1]
             run.append(text)
+            linked += len(text) if stack[-1].link else 0
 
     pos = 0
     while True:
@@ -130,7 +146,7 @@ def blocks(html: str) -> list[tuple[_Element, str]]:
                     break
         if tag in VOID or (attributes.endswith("/") and tag not in RAW and tag in INLINE):
             continue
-        element = _Element(tag, stack[-1], stack[-1].out or _declared_aside(tag, attributes, stack[-1]))
+        element = _Element(tag, stack[-1], stack[-1].out or _set_apart(tag, attributes, stack[-1]), _named_aside(tag, attributes, stack[-1]))
         if element.out and not stack[-1].out:
             flush()
         stack.append(element)
@@ -149,49 +165,71 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel, "valid") / weight
 
 
-def path_weights(found: list[tuple[_Element, str]]) -> np.ndarray:
-    """Fused weight of each block: smoothed text length a node times smoothed punctuation a node of its path."""
+def _above(e: _Element | None) -> Iterator[_Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def path_weights(found: list[tuple[_Element, str, float]], share: float = 0.8, lower: float = 0.002) -> np.ndarray:
+    """Fused weight of each block's path: text length a node times punctuation a node, plain and smoothed over the page."""
     by_path: dict[str, list[int]] = {}
-    for k, (e, _) in enumerate(found):
+    for k, (e, text, _) in enumerate(found):
         by_path.setdefault(e.path, []).append(k)
-    length, marks = np.zeros(len(found)), np.zeros(len(found))
+        for x in _above(e):
+            x.length += len(text)
+    length, marks, links = np.zeros(len(found)), np.zeros(len(found)), np.zeros(len(found))
     for rows in by_path.values():
-        length[rows] = sum(len(found[k][1]) for k in rows) / len(rows)
+        chars = sum(len(found[k][1]) for k in rows)
+        length[rows] = chars / len(rows)
         marks[rows] = sum(len(_PUNCTUATION.findall(found[k][1])) for k in rows) / len(rows)
-    return _smooth(length) * (1 + _smooth(marks))
+        links[rows] = sum(len(found[k][1]) * found[k][2] for k in rows) / chars
+    weights = np.sqrt(length * (1 + marks) * _smooth(length) * (1 + _smooth(marks)))
+    total = sum(len(text) for _, text, _ in found)
+    articles = {id(x): x for e, _, _ in found for x in _above(e) if x.tag in ("article", "main")}
+    named = {id(x): x for e, _, _ in found for x in _above(e) if x.named}
+    for x in named.values():
+        # what holds most of a page is beside the text only if an article stands beside it
+        x.named = 2 * x.length < total or any(x not in _above(a) and a not in _above(x) for a in articles.values())
+    for k, (e, _, _) in enumerate(found):
+        if any(x.named for x in _above(e)):
+            weights[k] *= lower
+    for k, (e, text, _) in enumerate(found):
+        for x in _above(e):
+            x.weight += weights[k] * len(text)
+    one = [a for a in articles.values() if a.weight >= share * sum(weights[k] * len(found[k][1]) for k in range(len(found)))]
+    if one:
+        weights *= [1.0 if one[0] in _above(e) else 0.1 for e, _, _ in found]
+    weights *= 1 - links
+    for rows in by_path.values():
+        weights[rows] = weights[rows].mean()
+    return weights
+
 
+def main_text(html: str | None, share: float = 0.8, least: float = 0.1) -> str:
+    """The article of one page: blocks whose path weighs ``least`` of the mean character, and what belongs to them.
 
-def main_text(html: str | None, share: float = 0.8) -> str:
-    """The article of one page; ``share`` of the content weight must lie below its root."""
+    ``share`` of the weight in one article or main element makes it the page's article.
+    """
     found = blocks(html) if html else []
     if not found:
         return ""
-    weights = path_weights(found)
-    least = max(0.0, float(weights.mean() - weights.std()))
-    total = 0.0
-    children: dict[int, dict[int, _Element]] = {}
-    for (e, text), w in zip(found, weights, strict=True):
-        if w >= least:
-            total += (amount := float(w) * len(text))
-            while e is not None:
-                e.weight += amount
-                if e.parent is not None:
-                    children.setdefault(id(e.parent), {})[id(e)] = e
-                e = e.parent
-    root = found[0][0]
-    while root.parent is not None:
-        root = root.parent
-    while below := [e for e in children.get(id(root), {}).values() if e.weight >= share * total and e.tag in ("html", "body", "article", "main", "section", "div", "table", "tbody", "tr", "td", "center")]:
-        if root.tag in ("article", "main") and below[0].tag not in ("article", "main"):
-            break
-        root = below[0]
-
-    def within(e: _Element | None) -> bool:
-        while e is not None and e is not root:
-            e = e.parent
-        return e is root
-
-    return "\n\n".join(text for e, text in found if within(e))
+    weights = path_weights(found, share)
+    chars = np.array([len(text) for _, text, _ in found], float)
+    keep = weights >= least * float((weights * chars).sum() / chars.sum())
+    chosen = np.flatnonzero(keep)
+    low, high = int(chosen[0]), int(chosen[-1])
+    inside = [e.inside for e, _, _ in found]
+    for k, (e, _, linked) in enumerate(found):
+        # short blocks between selected ones, or in the article that holds them
+        near = low < k < high or inside[k] and (inside[low] or inside[high])
+        if not keep[k] and near and linked <= 0.5 and not any(x.named for x in _above(e)):
+            keep[k] = True
+    for k in range(len(found) - 2, -1, -1):
+        e = found[k][0]
+        if keep[k + 1] and not keep[k] and any(x.tag in HEADINGS for x in _above(e)) and not any(x.named for x in _above(e)):
+            keep[k] = True
+    return "\n\n".join(text for k, (_, text, _) in enumerate(found) if keep[k])
 
 
 def extract(html: Column) -> Column:
