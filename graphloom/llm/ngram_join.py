@@ -36,7 +36,7 @@ from graphloom.llm.components import connected_components
 _SKETCH, _SKETCH_BLOCK = 1 << 24, 1 << 16
 _RUN_ROWS = 20_000
 _BITMAP_WORDS = 4
-#: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
+#: So many ids with their text's hash (16 bytes each) may be sent to every executor; more are joined by a shuffle.
 _BROADCAST_IDS = 500_000
 #: Bytes of a shingle hash that whole sets are compared by.
 _SET_BYTES = 6
@@ -111,7 +111,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n, cls, grp, prefix, bits) of every document; cls is null for the empty set."""
+    """(id, key, n, cls, grp, prefix, bits) of every document; cls is null for the empty set."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +132,12 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 bits.append(bitmap(h))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": b["id"], "n": pa.array(sizes, pa.int64()), "cls": pa.array(cls, pa.int64()), "grp": pa.array(grp, pa.int64()),
+                    "id": b["id"], "key": b["key"], "n": pa.array(sizes, pa.int64()), "cls": pa.array(cls, pa.int64()), "grp": pa.array(grp, pa.int64()),
                     "prefix": pa.array(prefix, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary()),
                 }
             )
 
-    return docs.mapInArrow(run, "id long, n long, cls long, grp long, prefix array<long>, bits binary")
+    return docs.mapInArrow(run, "id long, key long, n long, cls long, grp long, prefix array<long>, bits binary")
 
 
 class _Runs:
@@ -249,13 +249,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "src long, dst long")
 
 
-def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``: the least id reachable by links."""
+def _row_key(id_col: str, text: str) -> tuple[Column, Column]:
+    """What rows are told apart by, as ids may be missing or shared: the id (the least one for null) and a hash of the text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.col(text))
+
+
+def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """(id, key, n, label) for every row of ``docs``: the least class reachable by links, null for the empty set."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
+    row_id, key = _row_key(id_col, text)
+    own = docs.select(row_id.alias("id"), key.alias("key"), F.col(text).alias("text"))
     every = stored(spark, _sets(own, n, percent), "sets")
-    classes = every.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("bits").alias("bits"))
+    classes = every.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "key")).alias("one"), F.min("grp").alias("grp"), F.min("bits").alias("bits")).select("cls", "one.*", "grp", "bits")
     groups = every.filter("cls is not null").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("cls") != F.max("cls")).alias("many"))
     # a row is a shingle, a group, and in one number the set's size, the place and whether the group has several classes
     place = F.shiftleft("n", 32) + F.col("pos") * 2 + F.col("many").cast("long")
@@ -287,17 +293,23 @@ def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(spark, pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id"), "cls").select("id")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id", "key"), "cls").select("id", "key")
         wanted = stored(spark, wanted, "wanted")
         few = wanted.count() <= _BROADCAST_IDS
-        chosen = own.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-        return stored(spark, _verify(pairs, chosen.mapInArrow(whole, "cls long, set binary"), percent), "links")
+        chosen = own.join(F.broadcast(wanted) if few else wanted, ["id", "key"], "left_semi")
+        # rows that repeat id and text give their set more than once
+        return stored(spark, _verify(pairs, chosen.mapInArrow(whole, "cls long, set binary").dropDuplicates(["cls"]), percent), "links")
 
     links = verified(_candidates(expanded(None), percent, False))
     labels = stored(spark, connected_components(spark, links), "labels")
     more = verified(_candidates(expanded(labels), percent, True))
     labels = stored(spark, connected_components(spark, links.unionAll(more)), "labels")
-    marked = every.select("id", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
+    return every.select("id", "key", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("id", "key", "n", F.coalesce("component", "cls").alias("label"))
+
+
+def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``: the least id reachable by links."""
+    marked = _labelled(docs, n, percent, id_col, text)
     least = marked.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     out = marked.join(least, "label", "left")
 
@@ -308,8 +320,19 @@ def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group: the one with the least id (of rows that repeat it, one)."""
-    kept = similarity_groups(docs, n=n, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    joined = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")))
-    single = joined.filter("k.rows = 1").select("d.*")
-    return single.unionAll(joined.filter("k.rows > 1").select("d.*").dropDuplicates(["doc_id"]))
+    """``docs`` with one row of each group, that with the least id and then the least hash of its text, and all rows without words.
+
+    Rows that share an id or have none are told apart by their texts; of rows that repeat both, one stays.
+    """
+    names = docs.columns
+    marked = _labelled(docs, n, percent, "doc_id", "text").filter("label is not null")
+    rows = marked.groupBy("label", "id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    kept = rows.groupBy("label").agg(F.min(F.struct("id", "key", "rows")).alias("one")).select("one.*")
+    row_id, key = _row_key("doc_id", "text")
+    # the white space that words are split at
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\r\x0B\f]"), F.lit(False))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"), row_id.alias("id"), key.alias("key"), worded.alias("worded"))
+    joined = own.filter("worded").join(kept, ["id", "key"])
+    single = joined.filter("rows = 1").select("d.*")
+    repeated = joined.filter("rows > 1").dropDuplicates(["id", "key"]).select("d.*")
+    return single.unionAll(repeated).unionAll(own.filter("not worded").select("d.*"))
