@@ -5,8 +5,9 @@ backpropagation through time on a bounded sample of labelled rows. Prediction re
 text in windows that follow one another, labels every byte, and pools the position
 probabilities of a document by their mean.
 
-Training takes at most ``docs_a_language`` documents of each language (by a hash of the id) and
-``windows`` windows of each; the bound doesn't grow with the data. Defined cases: null text or
+Training takes at most ``docs_a_language`` different texts of each language, those of the least
+hash (copies count once, whatever their ids), and ``windows`` windows of each; the bound doesn't
+grow with the data. A batch is labelled in parts of bounded size. Defined cases: null text or
 text without a letter is ``und`` with score 0; rows with null lang teach nothing; with no
 labelled row at all, every text is ``und``; repeated rows give repeated results.
 """
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import by_size, small_batches
 
 RESULT = "lang string, score double"
 _RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
@@ -191,19 +192,20 @@ class Labeller:
         return sums / np.maximum(sizes, 1)[:, None]
 
 
-def training_windows(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", docs_a_language: int = 400, windows: int = 4, length: int = 64) -> tuple[list[tuple[bytes, int]], list[str]]:
+def training_windows(docs: DataFrame, *, lang: str = "lang", text: str = "text", docs_a_language: int = 400, windows: int = 4, length: int = 64) -> tuple[list[tuple[bytes, int]], list[str]]:
     """Windows at hashed places of a bounded sample of the labelled rows of ``docs``."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], []
-    every = F.element_at(F.create_map(*(F.lit(v) for k in langs for v in (k, max(1, counts[k] // docs_a_language)))), F.col(lang))
-    chosen = rows.filter(F.pmod(F.xxhash64(key), every) == 0)
-    at = [F.substring(text, (F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.greatest(F.lit(1), F.length(text) - length)) + 1).cast("int"), F.lit(length)) for k in range(windows)]
-    taken = chosen.select(F.col(lang).alias("lang"), F.explode(F.array(*at)).alias("w")).filter("length(w) > 0")
+    # twice the wanted number by a hash of the text; only these lose their copies, and only the bound is ranked
+    every = F.element_at(F.create_map(*(F.lit(v) for k in langs for v in (k, max(1, counts[k] // (2 * docs_a_language))))), F.col("lang"))
+    at = [F.substring("text", (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.lit(1), F.length("text") - length)) + 1).cast("int"), F.lit(length)) for k in range(windows)]
+    chosen = rows.filter(F.pmod("h", every) == 0).select("lang", "h", F.array(*at).alias("w")).groupBy("lang", "h").agg(F.min("w").alias("w"))
+    ranked = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit("order")), "h"))).filter(F.col("nth") <= docs_a_language)
     number = {k: i for i, k in enumerate(langs)}
-    return sorted((r["w"].encode(), number[r["lang"]]) for r in taken.collect()), langs
+    return sorted((w.encode(), number[r["lang"]]) for r in ranked.select("lang", "w").collect() for w in r["w"] if w), langs
 
 
 def fit(docs: DataFrame, **options: int) -> Network | None:
@@ -220,13 +222,16 @@ def predict(net: Network | None, docs: DataFrame, text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value) if shared.value else None
-        for texts in batches:
-            rows = [{"lang": "und", "score": 0.0} for _ in range(len(texts))]
-            use = [(k, t.encode()) for k, t in enumerate(texts.to_pylist()) if t and any(map(str.isalpha, t))] if labeller else []
-            if use:
-                p = labeller.pooled([t for _, t in use])
-                for (k, _), best, top in zip(use, p.argmax(1), p.max(1), strict=True):
-                    rows[k] = {"lang": labeller.net.langs[best], "score": min(1.0, float(top))}
+        for batch in batches:
+            rows = []
+            for texts in by_size(batch.to_pylist()):
+                part = [{"lang": "und", "score": 0.0} for _ in texts]
+                use = [(k, t.encode()) for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if labeller else []
+                if use:
+                    p = labeller.pooled([t for _, t in use])
+                    for (k, _), best, top in zip(use, p.argmax(1), p.max(1), strict=True):
+                        part[k] = {"lang": labeller.net.langs[best], "score": min(1.0, float(top))}
+                rows += part
             yield pa.array(rows, _RESULT)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
