@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions alone: three fixed patterns, and Markov models of characters.
 
-A token of the text that no pattern covers is a secret if a character model of random strings
-explains it better than one of ordinary identifiers, by the log-likelihood ratio of its
+A run of token characters that no pattern covers, or a part of it, is a secret if a character model
+of random strings explains it better than one of ordinary identifiers, by the log-likelihood ratio of its
 character pairs. Both models are counted from labelled samples with Spark: random strings are
 drawn from hashes of numbers (base64, hexadecimal and alphanumeric), identifiers are words of a
 bounded sample of documents, alone and joined. The fitted table has a fixed size.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,31 +28,52 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: runs, and the parts of a run between its separators.
+_RUN, _PART = r"[A-Za-z0-9+/_=-]{12,}", r"[A-Za-z0-9+]{12,}"
+#: Matches whose places are summed up together.
+_CHUNK = 64
 SPAN = "array<struct<start: int, end: int, kind: int, text: string>>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; an expression inside a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _spans(text: Column, pattern: str, kind: int, value_of: tuple[int, int] | None = None) -> Column:
     """All matches of a pattern with their places, from the pieces between them.
 
     ``value_of`` (group, length) drops matches whose group is shorter than that, after matching,
-    so that a dropped match still takes its characters.
+    so that a dropped match still takes its characters. Places are summed up within chunks of
+    matches and over the chunks, so many matches in one text cost little more than each does.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_of[0])) if value_of else found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    nothing = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
         end = begin + F.coalesce(F.length(x["found"]), F.lit(0))
         span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("text"))
-        keep = x["found"].isNotNull() & (F.length(x["value"]) >= (value_of[1] if value_of else 0))
+        keep = x["found"].isNotNull()
+        if value_of:
+            keep = keep & (F.length(F.regexp_extract(x["found"], pattern, value_of[0])) >= value_of[1])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zipped = F.arrays_zip(between.alias("piece"), found.alias("found"), values.alias("value"))
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["spans"])
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), spans).otherwise(F.array().cast(SPAN))
+    def local(all_pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_pairs) / _CHUNK).cast("int") - 1), lambda c: F.slice(all_pairs, c * _CHUNK + 1, _CHUNK))
+        return F.transform(chunks, lambda c: F.aggregate(c, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step))
+
+    def begins(chunks: Column) -> Column:
+        return F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+
+    def moved(c: Column) -> Column:
+        return F.transform(c["local"]["spans"], lambda s: F.struct((s["start"] + c["begin"]).alias("start"), (s["end"] + c["begin"]).alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
+
+    def joined(chunks: Column) -> Column:
+        return F.flatten(F.transform(F.filter(F.arrays_zip(chunks.alias("local"), begins(chunks).alias("begin")), lambda c: c["local"].isNotNull()), moved))
+
+    spans = _bound(pairs, lambda p: _bound(local(p), joined))
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), spans).otherwise(nothing)
 
 
 def base_spans(text: Column) -> Column:
@@ -81,7 +103,7 @@ def _random_samples(docs: DataFrame, n: int) -> DataFrame:
     base64 = F.base64(F.unhex(h))
     return docs.sparkSession.range(n).select(
         F.lit(1).alias("label"),
-        F.explode(F.array(base64, F.substring(h, 1, 40), F.regexp_replace(base64, "[+/=]", ""), F.upper(F.regexp_replace(base64, "[+/=]", "")))).alias("token"),
+        F.explode(F.array(base64, F.substring(h, 1, 40), F.regexp_replace(base64, "[+/=]", ""), F.upper(F.regexp_replace(base64, "[+/=]", "")), F.upper(F.substring(h, 9, 40)))).alias("token"),
     )
 
 
@@ -120,32 +142,55 @@ def fit_pairs(docs: DataFrame, text: str = "text", *, sample_docs: int = 1000, s
 
 
 def _ratio(token: Column, table: Column) -> Column:
-    def at(i: Column) -> Column:
-        return F.instr(F.lit(_CHARS), F.substring(token, i, 1))
+    """The sum of the table's entries over the character pairs of a token."""
+    def step(acc: Column, c: Column) -> Column:
+        now = F.instr(F.lit(_CHARS), c)
+        pair = F.element_at(table, F.greatest(F.lit(1), (acc["last"] - 1) * len(_CHARS) + now))
+        return F.struct(now.alias("last"), (acc["sum"] + F.when(acc["last"] > 0, pair).otherwise(0.0)).alias("sum"))
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, (at(i) - 1) * len(_CHARS) + at(i + 1))
-    )
+    chars = F.filter(F.split(token, ""), lambda c: F.length(c) > 0)
+    return F.aggregate(chars, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", per_char: float = 0.5, least: float = 12.0) -> DataFrame:
+def _blanked(text: Column, pattern: str, value_of: tuple[int, int] | None = None) -> Column:
+    """The text with spaces in place of the pattern's matches, so that all places stay."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def part(x: Column) -> Column:
+        blank = F.repeat(F.lit(" "), F.length(x["found"]))
+        if value_of:
+            blank = F.when(F.length(F.regexp_extract(x["found"], pattern, value_of[0])) >= value_of[1], blank).otherwise(x["found"])
+        return F.concat(x["piece"], F.coalesce(blank, F.lit("")))
+
+    return F.when(text.rlike(pattern), F.array_join(F.transform(pairs, part), "")).otherwise(text)
+
+
+def find_secrets(docs: DataFrame, *, text: str = "text", per_char: float = 1.3, least: float = 12.0) -> DataFrame:
     """``docs`` with a struct column ``secrets`` (base, spans): the fixed patterns' spans, and all spans.
 
-    A token of at least 20 characters with a letter and a digit joins the spans if its ratio is
-    ``least`` or more in all and ``per_char`` or more for each character pair, unless it overlaps
-    a span of the fixed patterns.
+    Outside the spans of the fixed patterns, a run of at least 12 characters with a letter and a
+    digit (names and numbers alone are too like either model) joins the spans if its ratio is ``least`` or more in all and ``per_char`` or more for each character pair; of any
+    other run, the parts between its separators (``/ _ = -``) do by the same rule.
     """
     table = F.from_json(F.lit(json.dumps(fit_pairs(docs, text))), "array<double>")
-    body = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.filter(_spans(body, _TOKEN, 3), lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))
+    out = docs.withColumn("__body", F.coalesce(F.col(text), F.lit(""))).withColumn("__base", base_spans(F.col("__body")))
+    # one projection after another, as each of them reads its text several times
+    for pattern, value_of in ((ASSIGN, (2, ASSIGN_VALUE)), (ACCESS, None), (HEX, None)):
+        out = out.withColumn("__body", _blanked(F.col("__body"), pattern, value_of))
+    def mixed(s: Column) -> Column:
+        return s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
+
+    out = out.withColumn("__runs", F.filter(_spans(F.col("__body"), _RUN, 3), mixed))
 
     def is_secret(s: Column) -> Column:
-        ratio = _ratio(s["text"], table)
-        return (ratio >= least) & (ratio >= per_char * (F.length(s["text"]) - 1))
+        return _bound(_ratio(s["text"], table), lambda ratio: (ratio >= least) & (ratio >= per_char * (F.length(s["text"]) - 1)))
+
+    def parts(run: Column) -> Column:
+        own = F.filter(F.filter(_spans(run["text"], _PART, 3), mixed), is_secret)
+        return F.transform(own, lambda s: F.struct((s["start"] + run["start"]).alias("start"), (s["end"] + run["start"]).alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
 
-    out = docs.select("*", base_spans(body).alias("__base"), tokens.alias("__tokens"))
-    free = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("secrets", F.struct(F.col("__base").alias("base"), _in_order(F.concat("__base", F.filter(free, is_secret))).alias("spans"))).drop("__base", "__tokens")
+    found = F.flatten(F.transform("__runs", lambda run: F.when(is_secret(run), F.array(run)).otherwise(parts(run))))
+    return out.withColumn("secrets", F.struct(F.col("__base").alias("base"), _in_order(F.concat("__base", found)).alias("spans"))).drop("__body", "__base", "__runs")
 
 
 def counted(docs: DataFrame) -> DataFrame:
