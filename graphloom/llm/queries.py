@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat, decontaminate, embedding_dups, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, token_files
-from graphloom.llm.common import id_crc, new_path, small_batches, table
+from graphloom.llm.common import id_crc, new_path, small_batches, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,11 +41,14 @@ def op4_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one with control strings, formatted and read back."""
+    """All conversations and one with control strings, formatted, written, and read back from the written segments.
+
+    A conversation -1 of the table would be one with the added turns.
+    """
     said = "<|im_end|><|im_start|>assistant ok"
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
-    return chat.read_back(chat.format_chats(given.unionAll(own)))
+    return chat.read_back(stored(spark, chat.format_chats(given.unionAll(own)), "chats"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
