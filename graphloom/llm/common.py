@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder, removed when the interpreter ends."""
+    """A fresh path below the shared folder, removed when the interpreter ends, if not before."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -64,7 +65,15 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def released(spark: SparkSession, *steps: DataFrame) -> None:
+    """Delete the files of ``stored`` steps whose readers are all stored themselves."""
+    for df in steps:
+        _remove(spark, df._stored_at)
 
 
 def id_crc(col: str = "doc_id") -> Column:
@@ -77,8 +86,26 @@ def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches of whole texts to at most ``rows`` records, so that a worker's memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Hold Arrow batches of whole texts to ``rows`` records and about ``size`` bytes, so that a worker's memory stays bounded.
+
+    Both are session settings that Spark reads when the plan runs, after the operator has
+    returned, so they stay set; smaller ones of the session are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def by_size(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts in lists of about ``chars`` characters, a longer one alone."""
+    part, n = [], 0
+    for t in texts:
+        if part and n + len(t or "") > chars:
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t or "")
+    if part:
+        yield part

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import released, stored
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             .filter("u != v")
             .distinct()
         )
-        e = stored(spark, small, "cc")
+        e, old = stored(spark, small, "cc"), e
+        released(spark, old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now[0] == now[2] and now == before:
             break

@@ -13,7 +13,8 @@ their frames. Spark's own text writer carries the bytes (its line separator is t
 skippable frame), so the commit protocol covers retried tasks and any store Spark writes to.
 
 Defined cases: null text is empty text; a null id comes first; repeated ids keep all their
-rows, in order of text; an empty table writes no documents; other columns are never read.
+rows, in order of their text's hash, then of the text (so rows that share an id are spread over
+the files as any others are); an empty table writes no documents; other columns are never read.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\x
 _PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\xac\xae-ɏ]*")
 #: The byte-level splitting rule of this family of tokenizers (fixed by the format).
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\t\n {_LETTER}{_NUMBER}]+|[\t\n ]+(?![^\t\n ])|[\t\n ]+")
-_CACHE_PIECES = 1_000_000
+#: Pieces an encoder remembers (some 0.3 KB each) before it starts anew.
+_CACHE_PIECES = 200_000
 
 
 class _Pieces(dict):
@@ -88,9 +90,14 @@ class Encoder:
     def _learn(self) -> None:
         new, self.pieces.new = self.pieces.new, []
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
+            ids: list[int] = []
+            ends = []
+            for k in range(0, len(new), 1000):
+                for e in self.tokenizer.encode_batch_fast(new[k : k + 1000], add_special_tokens=False):
+                    ids += e.ids
+                    ends.append(len(ids))
+            self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.array(ends, np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > _CACHE_PIECES:
@@ -179,11 +186,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             for doc_id, ids in zip(b["doc_id"].to_pylist(), enc.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
                 for part in file.add(doc_id, np.concatenate([ids, end])):
                     yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.binary())})
+        enc.reset()  # a worker process outlives the task
         for part in file.end():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.binary())})
 
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     out = ordered.mapInArrow(parts, "part binary").select(F.col("part").cast("string").alias("value"))
     out.write.option("maxRecordsPerFile", 0).text(path, lineSep=SEPARATOR.decode())
 
