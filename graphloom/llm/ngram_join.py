@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, stored
+from graphloom.llm.common import by_size, released, small_batches, stored
 from graphloom.llm.components import connected_components
 
-#: Slots of the rarity sketch (4 bytes each in every worker) and slots that are added up together.
+#: Slots of the rarity sketch (1 byte each in every worker, 2 while it is counted) and slots that are added up together.
 _SKETCH, _SKETCH_BLOCK = 1 << 24, 1 << 16
 _RUN_ROWS = 20_000
 _BITMAP_WORDS = 4
@@ -85,14 +85,22 @@ def _unpacked(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact below 32, then in sixteen steps for each doubling."""
+    c = np.maximum(counts, 1).astype(np.float64)
+    return np.where(counts < 32, counts, np.minimum(32 + np.floor(16 * np.log2(c / 32)), 255)).astype(np.uint8)
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents hold a shingle of each slot, from all documents."""
+    """How many documents hold a shingle of each slot, from all documents, as ranks of one byte."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(_SKETCH, np.int32)
+        slots, most = np.zeros(_SKETCH, np.uint16), np.int64(2**16 - 1)
         for b in batches:
-            for t in b["text"].to_pylist():
-                np.add.at(slots, (shingles(t, n) & np.uint64(_SKETCH - 1)).astype(np.int64), 1)
+            for texts in by_size(b["text"].to_pylist()):
+                found = np.concatenate([shingles(t, n) for t in texts])
+                at, c = np.unique((found & np.uint64(_SKETCH - 1)).astype(np.uint32), return_counts=True)
+                slots[at] = np.minimum(slots[at] + c, most)
         blocks, z = slots.reshape(-1, _SKETCH_BLOCK), zstandard.ZstdCompressor(level=1)
         for k in np.flatnonzero(blocks.any(1)).tolist():
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int64()), "slots": pa.array([z.compress(blocks[k].tobytes())], pa.binary())})
@@ -100,18 +108,18 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total, z = np.zeros(_SKETCH_BLOCK, np.int64), zstandard.ZstdDecompressor()
         for x in table["slots"]:
-            total += np.frombuffer(z.decompress(x.as_py()), np.int32)
-        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes())
+            total += np.frombuffer(z.decompress(x.as_py()), np.uint16)
+        packed = zstandard.ZstdCompressor(level=1).compress(_rank(total).tobytes())
         return pa.Table.from_pydict({"block": table["block"][:1], "slots": pa.array([packed], pa.binary())})
 
-    out, z = np.zeros((_SKETCH // _SKETCH_BLOCK, _SKETCH_BLOCK), np.int32), zstandard.ZstdDecompressor()
+    out, z = np.zeros((_SKETCH // _SKETCH_BLOCK, _SKETCH_BLOCK), np.uint8), zstandard.ZstdDecompressor()
     for r in docs.select("text").mapInArrow(count, "block long, slots binary").groupBy("block").applyInArrow(add, "block long, slots binary").collect():
-        out[r["block"]] = np.frombuffer(z.decompress(r["slots"]), np.int32)
+        out[r["block"]] = np.frombuffer(z.decompress(r["slots"]), np.uint8)
     return out.ravel()
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, key, n, cls, grp, prefix, bits) of every document; cls is null for the empty set."""
+    """(id, key, n, cls, grp, prefix, bits) of every document, stored; cls is null for the empty set."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +145,9 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(run, "id long, key long, n long, cls long, grp long, prefix array<long>, bits binary")
+    out = stored(docs.sparkSession, docs.mapInArrow(run, "id long, key long, n long, cls long, grp long, prefix array<long>, bits binary"), "sets")
+    sketch.destroy()
+    return out
 
 
 class _Runs:
@@ -254,30 +264,40 @@ def _row_key(id_col: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.col(text))
 
 
-def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """(id, key, n, label) for every row of ``docs``: the least class reachable by links, null for the empty set."""
+def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, cls) of every row of ``docs``, and what (cls, id, key, rows, total, least, of) is known of each class.
+
+    ``id`` and ``key`` are a class's first row, ``rows`` counts the rows that repeat it, ``total`` all,
+    ``of`` is the first class reachable by links (itself included) and ``least`` the id of its
+    first row, so no step gathers a component. cls is null for the empty set.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     row_id, key = _row_key(id_col, text)
     own = docs.select(row_id.alias("id"), key.alias("key"), F.col(text).alias("text"))
-    every = stored(spark, _sets(own, n, percent), "sets")
-    classes = every.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "key")).alias("one"), F.min("grp").alias("grp"), F.min("bits").alias("bits")).select("cls", "one.*", "grp", "bits")
-    groups = every.filter("cls is not null").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("cls") != F.max("cls")).alias("many"))
+    every = _sets(own, n, percent)
+    worded = every.filter("cls is not null")
+    first = worded.groupBy("cls", "id", "key").agg(F.count(F.lit(1)).alias("rows"), F.min("grp").alias("grp"), F.min("bits").alias("bits"))
+    classes = stored(spark, first.groupBy("cls").agg(F.min(F.struct("id", "key", "rows")).alias("one"), F.sum("rows").alias("total"), F.min("grp").alias("grp"), F.min("bits").alias("bits")).select("cls", "one.*", "total", "grp", "bits"), "classes")
+    groups = worded.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("cls") != F.max("cls")).alias("many"))
     # a row is a shingle, a group, and in one number the set's size, the place and whether the group has several classes
     place = F.shiftleft("n", 32) + F.col("pos") * 2 + F.col("many").cast("long")
     index = groups.select("grp", "n", "many", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", place.alias("place"))
     index = index.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("found > 1 or place % 2 = 1")
     unpacked = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 1)
-    index = stored(spark, index.select("token", "grp", unpacked.alias("pos"), F.shiftright("place", 32).alias("n"), "found"), "index")
-    partners = stored(spark, classes.join(index.select("grp").distinct(), "grp", "left_semi"), "classes")
+    index = stored(spark, index.select("token", "grp", unpacked.alias("pos"), F.shiftright("place", 32).alias("n")), "index")
+    partners = stored(spark, classes.select("grp", "cls", "bits").join(index.select("grp").distinct(), "grp", "left_semi"), "partners")
+    # a run is cut by the number of its classes, which its groups may hold many of
+    runs = index.join(partners.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp").groupBy("token").agg(F.sum("m").alias("found"))
+    long_runs = stored(spark, runs.filter(F.col("found") > _RUN_ROWS).select("token", F.ceil(F.col("found") / _RUN_ROWS).cast("int").alias("slices")), "runs")
 
     def expanded(labels: DataFrame | None) -> DataFrame:
-        members = partners.select("grp", "cls", "bits")
+        members = partners
         if labels is None:
             members = members.withColumn("comp", F.col("cls"))
         else:
-            members = members.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-        rows = index.join(members, "grp").withColumn("slices", F.ceil(F.col("found") / _RUN_ROWS).cast("int"))
+            members = members.join(labels.select(F.col("node.cls").alias("cls"), F.col("component.cls").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        rows = index.join(members, "grp").join(long_runs, "token", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
         rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
         crosses = (F.col("part") != F.col("other")).cast("long")
@@ -293,25 +313,37 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text: str) ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(spark, pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id", "key"), "cls").select("id", "key")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id", "key"), "cls")
         wanted = stored(spark, wanted, "wanted")
         few = wanted.count() <= _BROADCAST_IDS
-        chosen = own.join(F.broadcast(wanted) if few else wanted, ["id", "key"], "left_semi")
+        rows = wanted.select("id", "key")
+        chosen = own.join(F.broadcast(rows) if few else rows, ["id", "key"], "left_semi")
         # rows that repeat id and text give their set more than once
-        return stored(spark, _verify(pairs, chosen.mapInArrow(whole, "cls long, set binary").dropDuplicates(["cls"]), percent), "links")
+        links = stored(spark, _verify(pairs, chosen.mapInArrow(whole, "cls long, set binary").dropDuplicates(["cls"]), percent), "links")
+        # classes are linked in order of their first rows, so a component is called by its first row
+        node = wanted.select("cls", F.struct("id", "key", "cls").alias("node"))
+        named = links.join(node.select(F.col("cls").alias("src"), F.col("node").alias("a")), "src").join(node.select(F.col("cls").alias("dst"), F.col("node").alias("b")), "dst")
+        named = stored(spark, named.select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        released(spark, pairs, wanted, links)
+        return named
 
     links = verified(_candidates(expanded(None), percent, False))
     labels = stored(spark, connected_components(spark, links), "labels")
     more = verified(_candidates(expanded(labels), percent, True))
-    labels = stored(spark, connected_components(spark, links.unionAll(more)), "labels")
-    return every.select("id", "key", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("id", "key", "n", F.coalesce("component", "cls").alias("label"))
+    last = stored(spark, connected_components(spark, links.unionAll(more)), "labels")
+    of = last.select(F.col("node.cls").alias("cls"), F.col("component.id").alias("least"), F.col("component.cls").alias("of"))
+    known = classes.select("cls", "id", "key", "rows", "total").join(of, "cls", "left")
+    known = stored(spark, known.withColumns({"least": F.coalesce("least", "id"), "of": F.coalesce("of", "cls")}), "known")
+    released(spark, index, partners, long_runs, links, more, labels, last, classes)
+    return every.select("id", "key", "n", "cls"), known
 
 
 def similarity_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: the least id reachable by links."""
-    marked = _labelled(docs, n, percent, id_col, text)
-    least = marked.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    out = marked.join(least, "label", "left")
+    every, known = _labelled(docs, n, percent, id_col, text)
+    # most classes are one row without links to lesser ones; only the others are joined
+    others = known.filter("total > 1 or least != id").select("cls", "least")
+    out = every.join(others, "cls", "left")
 
     def shown(c: str) -> Column:
         return F.when(F.col(c) != _NULL_ID, F.col(c))
@@ -325,9 +357,8 @@ def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     Rows that share an id or have none are told apart by their texts; of rows that repeat both, one stays.
     """
     names = docs.columns
-    marked = _labelled(docs, n, percent, "doc_id", "text").filter("label is not null")
-    rows = marked.groupBy("label", "id", "key").agg(F.count(F.lit(1)).alias("rows"))
-    kept = rows.groupBy("label").agg(F.min(F.struct("id", "key", "rows")).alias("one")).select("one.*")
+    _, known = _labelled(docs, n, percent, "doc_id", "text")
+    kept = known.filter("of = cls").select("id", "key", "rows")
     row_id, key = _row_key("doc_id", "text")
     # the white space that words are split at
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\r\x0B\f]"), F.lit(False))
