@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL
-)
+#: Where markup starts, and what matters on the way to a tag's end.
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_IN_TAG = re.compile(r"[\"'>]")
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
@@ -52,16 +52,19 @@ ASIDE = frozenset(
 PAGE_HEAD = frozenset(["header", "topbar"])
 KEEPERS = frozenset(["html", "body", "article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements are nested no deeper, as in browsers; deeper ones follow one another.
+_DEEPEST = 512
 #: Words that make a class say what a page has or lacks, not what the element is.
 _STATE = frozenset("has have with without no not hide hides show shows is".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "inside", "link", "named", "length", "weight")
+    __slots__ = ("tag", "parent", "path", "out", "inside", "link", "named", "length", "weight", "articles")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool, named: bool = False) -> None:
-        self.tag, self.parent, self.out, self.named, self.length, self.weight = tag, parent, out, named, 0, 0.0
-        self.path = f"{parent.path}/{tag}{'!' if named else ''}" if parent else tag
+    def __init__(self, tag: str, parent: _Element | None, out: bool, named: bool = False, paths: dict | None = None) -> None:
+        self.tag, self.parent, self.out, self.named, self.length, self.weight, self.articles = tag, parent, out, named, 0, 0.0, 0
+        # a path is the number of (its parent's path, tag, whether named)
+        self.path = paths.setdefault((parent.path, tag, named), len(paths)) if parent else -1
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.link = tag == "a" or bool(parent and parent.link)
 
@@ -86,9 +89,44 @@ def _named_aside(tag: str, attributes: str, parent: _Element) -> bool:
     return bool(said & ASIDE) or bool(said & PAGE_HEAD and not parent.inside)
 
 
+class _Markup:
+    """Finds the pieces of markup of a page one after another, in time that grows with the page alone."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last_end, self.quoted = html, html.rfind(">"), True
+        self.closed = {q: html.rfind(q) for q in "\"'"}
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag, whether an end tag, attributes) of the next piece; the tag of what isn't an element is empty."""
+        html = self.html
+        while m := _OPEN.search(html, pos):
+            start, name = m.start(), m[2]
+            if name is None and m[0] != "<!" and m[0] != "<?":
+                close = "-->" if m[0] == "<!--" else "]]>"
+                end = html.find(close, m.end())
+                end = len(html) if end < 0 else end + 3
+                return start, end, "", False, html[m.end() : end].removesuffix("]]>") if close == "]]>" else ""
+            if self.last_end < m.end():
+                return None
+            end = html.find(">", m.end()) if name is None else self._tag_end(m.end())
+            return start, end + 1, (name or "").lower(), bool(m[1]), html[m.end() : end] if name else ""
+        return None
+
+    def _tag_end(self, pos: int) -> int:
+        """The end of a tag, outside its quotes; a quote that never closes is a character like any other."""
+        start = pos
+        while self.quoted and (m := _IN_TAG.search(self.html, pos)):
+            if m[0] == ">":
+                return m.start()
+            pos = self.html.find(m[0], m.end()) + 1 if self.closed[m[0]] >= m.end() else m.end()
+        # once quotes hide all ends up to the end of the page, they are not respected any more
+        self.quoted = False
+        return self.html.find(">", start)
+
+
 def blocks(html: str) -> list[tuple[_Element, str, float]]:
     """(element, text, share of it in links) of each block of text that HTML doesn't set apart, in page order."""
-    root = _Element("#", None, False)
+    root, paths, markup = _Element("#", None, False), {}, _Markup(html)
     stack, found, run = [root], [], []
     at, owner, linked = 0, root, 0
     raw: str | None = None
@@ -114,22 +152,21 @@ def blocks(html: str) -> list[tuple[_Element, str, float]]:
             end = re.compile(rf"</{raw}(?=[\s/>])", re.IGNORECASE).search(html, pos)
             pos = at = end.start() if end else len(html)
             raw = None
-        m = _TOKEN.search(html, pos)
-        if m is None:
+        piece = markup.next(pos)
+        if piece is None:
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = pos = m.end()
-        if m[0].startswith("<![CDATA["):
-            add(html_lib.escape(m[0][9:].removesuffix("]]>")))
-        if m[2] is None:
+        start, end, tag, closes_one, attributes = piece
+        if start > at:
+            add(html[at:start])
+        at = pos = end
+        if not tag:
+            add(html_lib.escape(attributes))
             continue
-        tag, attributes = m[2].lower(), m[3]
         if tag == "br":
             add(" ")
         if tag not in INLINE:
             flush()
-        if m[1]:
+        if closes_one:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if depth:
                 if any(e.tag not in INLINE or e.out for e in stack[depth:]):
@@ -146,7 +183,8 @@ def blocks(html: str) -> list[tuple[_Element, str, float]]:
                     break
         if tag in VOID or (attributes.endswith("/") and tag not in RAW and tag in INLINE):
             continue
-        element = _Element(tag, stack[-1], stack[-1].out or _set_apart(tag, attributes, stack[-1]), _named_aside(tag, attributes, stack[-1]))
+        del stack[_DEEPEST:]
+        element = _Element(tag, stack[-1], stack[-1].out or _set_apart(tag, attributes, stack[-1]), _named_aside(tag, attributes, stack[-1]), paths)
         if element.out and not stack[-1].out:
             flush()
         stack.append(element)
@@ -173,7 +211,7 @@ def _above(e: _Element | None) -> Iterator[_Element]:
 
 def path_weights(found: list[tuple[_Element, str, float]], share: float = 0.8, lower: float = 0.002) -> np.ndarray:
     """Fused weight of each block's path: text length a node times punctuation a node, plain and smoothed over the page."""
-    by_path: dict[str, list[int]] = {}
+    by_path: dict[int, list[int]] = {}
     for k, (e, text, _) in enumerate(found):
         by_path.setdefault(e.path, []).append(k)
         for x in _above(e):
@@ -188,9 +226,13 @@ def path_weights(found: list[tuple[_Element, str, float]], share: float = 0.8, l
     total = sum(len(text) for _, text, _ in found)
     articles = {id(x): x for e, _, _ in found for x in _above(e) if x.tag in ("article", "main")}
     named = {id(x): x for e, _, _ in found for x in _above(e) if x.named}
+    for a in articles.values():
+        for x in _above(a):
+            x.articles += 1
     for x in named.values():
         # what holds most of a page is beside the text only if an article stands beside it
-        x.named = 2 * x.length < total or any(x not in _above(a) and a not in _above(x) for a in articles.values())
+        around = sum(id(y) in articles for y in _above(x))
+        x.named = 2 * x.length < total or len(articles) > x.articles + around
     for k, (e, _, _) in enumerate(found):
         if any(x.named for x in _above(e)):
             weights[k] *= lower
