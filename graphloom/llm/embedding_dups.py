@@ -11,7 +11,8 @@ vector has, and in how many independent codes, is fitted to the number of vector
 Exact copies are first folded into one vector with a multiplicity. A filter with many members
 is cut into slices that are compared pairwise as blocks, so no task holds a whole hot filter,
 and no pair becomes a row: a block returns link counts and spanning links only. A pair that
-shares several filters is counted in the least of them.
+shares several filters is counted in the least of them. A block's rows carry the components (in
+single precision where that is exact) and only those of a vector's filters that come before.
 
 Defined cases: a vector that is null, empty, zero or has null or non-finite components links
 with nothing; vectors of different length never link; repeated ids are vectors of their own
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import released, stored
 from graphloom.llm.components import connected_components
 
 _BLOCK_ROWS = 1024
-_CODED = "rep long, copies long, v binary, filters array<long>"
+_CODED = "rep long, copies long, v binary, filters array<long>, packed binary"
 _FOUND = "rep long, links long, root long"
 
 
@@ -113,32 +114,34 @@ def fitted(n: int, dim: int, least: float, *, miss: float = 0.01, a_vector: int
     return codes
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; very large and very small components are scaled first, so no square leaves the range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _block(table: pa.Table, least: float) -> pa.Table:
+def _block(table: pa.Table, least: float, kind: str, listed: str) -> pa.Table:
     """Links of one block of one filter: counts that belong here, and the least member reached."""
     low, high = table["low"][0].as_py(), table["high"][0].as_py()
-    here = table["filter"][0].as_py()
     part, rep = np.array(table["slice"]), np.array(table["rep"])
     copies = np.array(table["copies"])
-    x = _unit(table["v"].to_pylist())
+    x = np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(len(rep), -1).astype(np.float64)
+    x = _unit(x)
     near = x @ x.T >= least
     near[np.arange(len(x)), np.arange(len(x))] = False
     if low != high:
         near &= part[:, None] != part[None, :]
     if not near.any():
         return pa.Table.from_pydict({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    lists = table["filters"].combine_chunks()
-    flat, ends = np.array(lists.flatten()), np.diff(np.array(lists.offsets))
-    who = np.repeat(np.arange(len(x)), ends)
-    names, column = np.unique(flat[flat < here], return_inverse=True)
+    # a vector's filters before this one; pairs that share one of them are counted there
+    before = table["before"].to_pylist()
+    flat = np.frombuffer(b"".join(before), listed)
+    who = np.repeat(np.arange(len(x)), [len(f) // flat.itemsize for f in before])
+    names, column = np.unique(flat, return_inverse=True)
     counted = near
     if len(names):
         member = np.zeros((len(x), len(names)), np.float32)
-        member[who[flat < here], column] = 1
+        member[who, column] = 1
         counted = near & ~(member @ member.T > 0)
     links = counted @ copies
     root = rep.copy()
@@ -156,16 +159,18 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "v
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     sound = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows = rows.withColumn("sound", sound & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)))
+    rows = rows.withColumn("sound", sound & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
     folded = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     folded = stored(spark, folded, "vectors")
-    plan, start = {}, 0  # by vector length: size, filters a vector, number of codes, first filter number
-    for dim, n in sorted(folded.groupBy(F.size("v")).count().collect()):
+    plan, start = {}, 0  # by vector length: size, filters a vector, number of codes, first filter number, how components are sent
+    exact = F.forall("v", lambda x: x.cast("float").cast("double") == x)
+    for dim, n, narrow in sorted(folded.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)), F.min(exact)).collect()):
         codes = fitted(n, dim, least, miss=miss, a_vector=a_vector, members=members)
-        plan[dim] = codes[0].size, codes[0].best, len(codes), start
+        plan[dim] = codes[0].size, codes[0].best, len(codes), start, "<f4" if narrow else "<f8"
         start += len(codes) * codes[0].size ** 2
+    listed = "<u4" if start < 1 << 32 else "<u8"
+    firsts, kinds = [p[3] for p in plan.values()], [p[4] for p in plan.values()]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, list[ProductCode]] = {}
@@ -173,19 +178,23 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "v
             v = [np.array(x, "<f8") for x in b["v"].to_pylist()]
             lists: list[np.ndarray] = [np.empty(0, np.int64)] * len(v)
             for dim in {len(x) for x in v}:
-                size, best, n_codes, first = plan[dim]
+                size, best, n_codes, first, _ = plan[dim]
                 if dim not in made:
                     made[dim] = [ProductCode(dim, size, best, 11 + k) for k in range(n_codes)]
                 mine = [k for k, x in enumerate(v) if len(x) == dim]
                 x = np.stack([v[k] for k in mine])
-                for k, f in zip(mine, _decode(made[dim], x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
+                for k, f in zip(mine, _decode(made[dim], _unit(x)), strict=True):
                     lists[k] = f + first
             yield pa.RecordBatch.from_pydict(
-                {"rep": b["rep"], "copies": b["copies"], "v": pa.array([x.tobytes() for x in v], pa.binary()), "filters": pa.array(lists, pa.list_(pa.int64()))}
+                {
+                    "rep": b["rep"], "copies": b["copies"], "v": pa.array([x.astype(plan[len(x)][4]).tobytes() for x in v], pa.binary()),
+                    "filters": pa.array(lists, pa.list_(pa.int64())), "packed": pa.array([f.astype(listed).tobytes() for f in lists], pa.binary()),
+                }
             )
 
     coded = stored(spark, folded.select("rep", "copies", "v").mapInArrow(decode, _CODED), "coded")
-    members_of = coded.select(F.explode("filters").alias("filter"), "*")
+    before = F.expr(f"substring(packed, 1, place * {np.dtype(listed).itemsize})")
+    members_of = coded.select("rep", "copies", "v", "packed", F.posexplode("filters").alias("place", "filter")).withColumn("before", before)
     crowded = coded.select(F.explode("filters").alias("filter")).groupBy("filter").count().filter(F.col("count") > _BLOCK_ROWS)
     crowded = crowded.select("filter", F.ceil(F.col("count") / _BLOCK_ROWS).cast("int").alias("slices"))
     sliced = members_of.join(crowded, "filter", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
@@ -194,11 +203,13 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "v
     blocks = sliced.withColumn("other", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
-        return _block(table, least)
+        at = int(np.searchsorted(firsts, table["filter"][0].as_py(), "right")) - 1
+        return _block(table, least, kinds[at], listed)
 
-    found = blocks.select("filter", "low", "high", "slice", "rep", "copies", "v", "filters").groupBy("filter", "low", "high").applyInArrow(compare, _FOUND)
+    found = blocks.select("filter", "low", "high", "slice", "rep", "copies", "v", "before").groupBy("filter", "low", "high").applyInArrow(compare, _FOUND)
     found = stored(spark, found.groupBy("rep", "root").agg(F.sum("links").alias("links")), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    released(spark, coded)
     component = connected_components(spark, found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).select(F.col("node").alias("rep"), "component")
     per_rep = folded.select("h1", "h2", "rep", "copies").join(links, "rep", "left").join(component, "rep", "left")
     per_rep = per_rep.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
