@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import primary_type
+from graphloom.plans.session import number_rows
 
 
-def count_by(df: DataFrame, key: Column, ids: str | None = None) -> DataFrame:
-    """(label, n[, ids]): missing keys count as Unknown; with ``ids`` the group's ids are kept for reverse mapping."""
-    aggs = [F.count(F.lit(1)).alias("n")] + ([F.sort_array(F.collect_list(ids)).alias("ids")] if ids else [])
-    return df.groupBy(F.coalesce(key.cast("string"), F.lit("Unknown")).alias("label")).agg(*aggs)
+def count_by(df: DataFrame, key: Column) -> DataFrame:
+    """(label, n): missing keys count as Unknown."""
+    return df.groupBy(F.coalesce(key.cast("string"), F.lit("Unknown")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_by_type(nodes: DataFrame, ids: str | None = None) -> DataFrame:
-    return count_by(nodes, primary_type(), ids)
+def members(df: DataFrame, key: Column, ids: str = "id") -> DataFrame:
+    """(label, id): the rows behind each label of ``count_by``, so that a selection leads back to ids."""
+    return df.select(F.coalesce(key.cast("string"), F.lit("Unknown")).alias("label"), F.col(ids).alias("id"))
+
+
+def count_by_type(nodes: DataFrame) -> DataFrame:
+    return count_by(nodes, primary_type())
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
-    """(id, other) for both directions of every edge."""
-    return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    """(id, other) for both directions of every edge, from one scan."""
+    there, back = F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"))
+    return edges.select(F.explode(F.array(there, back)).alias("x")).select("x.*")
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,7 +37,9 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degree_distribution(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(degree, n) by numbers of different neighbours."""
-    d = both_ends(edges).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    ends = pairs.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
+    d = ends.groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     return nodes.select("id").join(d, "id", "left").groupBy(F.coalesce("d", F.lit(0)).cast("long").alias("degree")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -80,6 +88,11 @@ def type_matrix(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_end_types(edges, nodes).groupBy("src_type", "dst_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
+def with_group_size(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the number n of rows that share their key, counted before it is joined, so no group is gathered."""
+    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+
+
 def sole_sources(edges: DataFrame) -> DataFrame:
     """(part, supplier) for targets with exactly one edge."""
     return edges.groupBy(F.col("dst").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("supplier")).filter("n = 1").select("part", "supplier")
@@ -94,7 +107,7 @@ def coverage(df: DataFrame, group: Column, prop: str) -> DataFrame:
 def first_seen_slots(df: DataFrame, value: str, order: str = "ord") -> DataFrame:
     """(value, slot): distinct values numbered by where they are first seen."""
     seen = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("string").alias("value")).agg(F.min(order).alias("__o"))
-    return seen.select("value", (F.row_number().over(Window.orderBy("__o", "value")) - 1).alias("slot"))
+    return number_rows(seen, "__o", "value").select("value", (F.col("n") - 1).alias("slot"))
 
 
 def registry(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -49,23 +49,35 @@ def fold_blank_nodes(t: DataFrame) -> DataFrame:
     )
 
 
-def fold_lists(t: DataFrame, max_length: int = 100) -> DataFrame:
-    """rdf:first/rest chains with a parent outside the list become a JSON array literal; cycles stop at ``max_length``."""
+def fold_lists(t: DataFrame) -> DataFrame:
+    """rdf:first/rest chains of any length with a parent outside the list become a JSON array literal of the last parent.
+
+    Cells reach their elements by jumps of 1, 2, 4 ... cells, so a list of n takes about log n
+    rounds. Chains that run into a cycle are no lists: all their triples stay.
+    """
     first = t.filter(F.col("p") == FIRST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("v"))
     rest = t.filter(F.col("p") == REST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("next"))
-    cells = cut(first.join(rest, "cell", "left"))
-    heads = t.filter(~F.col("p").isin(FIRST, REST)).join(cells.select(F.col("cell").alias("o")), "o", "left_semi")
-    at = cut(heads.select("s", "p", "ord", F.col("o").alias("cell"), F.array().cast("array<string>").alias("vs")))
-    done = at.limit(0).select("s", "p", "ord", "vs")
-    for _ in range(max_length):
-        at = cut(at.join(cells, "cell").select("s", "p", "ord", F.col("next").alias("cell"), F.concat("vs", F.array("v")).alias("vs")))
-        open_ = at.filter(F.col("cell").isNotNull() & (F.col("cell") != NIL))
-        done = done.unionAll(at.filter(F.col("cell").isNull() | (F.col("cell") == NIL)).select("s", "p", "ord", "vs"))
-        if open_.isEmpty():
-            break
-        at = open_
-    kept = t.filter(~F.col("p").isin(FIRST, REST)).join(heads.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-    return kept.select(t.columns).unionByName(_literal(done, F.col("s"), F.col("p"), F.to_json("vs"), F.col("ord")))
+    cells = cut(first.join(rest, "cell", "full_outer"))
+    n = cells.count()
+    jump = cut(cells.select("cell", F.col("next").alias("to")).join(cells.select(F.col("cell").alias("to")), "to", "left_semi").select("cell", "to"))
+    jumps = []
+    while not jump.isEmpty() and 2 ** len(jumps) <= n:
+        jumps.append(jump)
+        jump = cut(jump.select("cell", F.col("to").alias("over")).join(jump.select(F.col("cell").alias("over"), "to"), "over").select("cell", "to"))
+    # what can still go on after as many steps as there are cells goes round
+    endless = jump.select("cell")
+    outer = t.filter(~F.col("p").isin(FIRST, REST))
+    heads = outer.join(first.select(F.col("cell").alias("o")), "o", "left_semi").groupBy(F.col("o").alias("cell")).agg(F.max_by(F.struct("s", "p"), "ord").alias("up"), F.max("ord").alias("ord"))
+    heads = cut(heads.join(endless, "cell", "left_anti"))
+    members = heads.select(F.col("cell").alias("head"), "cell", F.lit(0).cast("long").alias("pos"))
+    for k in range(len(jumps) - 1, -1, -1):
+        members = cut(members.unionAll(members.join(jumps[k], "cell").select("head", F.col("to").alias("cell"), (F.col("pos") + 2**k).alias("pos"))))
+    items = members.join(cells.select("cell", "v"), "cell").groupBy("head").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])).alias("vs"))
+    done = heads.join(items, heads["cell"] == items["head"])
+    gone = cut(members.select("cell").distinct())
+    plain = outer.join(gone.withColumnRenamed("cell", "s"), "s", "left_anti").join(gone.withColumnRenamed("cell", "o"), "o", "left_anti")
+    round_ = t.filter(F.col("p").isin(FIRST, REST)).join(endless.withColumnRenamed("cell", "s"), "s", "left_semi")
+    return plain.select(t.columns).unionByName(round_.select(t.columns)).unionByName(_literal(done, F.col("up.s"), F.col("up.p"), F.to_json("vs"), F.col("ord")))
 
 
 def fold_statements(t: DataFrame) -> DataFrame:
@@ -146,15 +158,19 @@ def _is_builtin(p: Column) -> Column:
     return reduce(lambda a, b: a | b, (p.startswith(x) for x in _BUILTIN))
 
 
-def infer(triples: DataFrame, passes: int = 10) -> DataFrame:
-    """New triples (s, p, o) by RDFS-plus rules, pass by pass until nothing is new.
+def infer(triples: DataFrame, passes: int | None = None) -> DataFrame:
+    """New triples (s, p, o) by RDFS-plus rules, pass by pass until nothing is new, or an error after ``passes``.
 
     Subclass and subproperty closure, type inheritance, equivalent classes, domain, range,
     inverse, symmetric and transitive properties.
     """
     known = cut(triples.select("s", "p", "o", (F.col("otype") != "literal").alias("iri")).distinct())
-    base = known
-    for _ in range(passes):
+    base, done = known, 0
+    while True:
+        if passes is not None and done >= passes:
+            raise RuntimeError(f"inference isn't finished after {passes} passes")
+        done += 1
+
         def of(p: str, a: str, b: str, known: DataFrame = known) -> DataFrame:
             return known.filter(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
 
@@ -202,8 +218,3 @@ def ontology_summary(triples: DataFrame) -> DataFrame:
     links = triples.filter((F.col("p") != TYPE) & (F.col("otype") == "uri"))
     j = links.join(t.withColumnRenamed("c", "domain"), "s").join(t.select(F.col("s").alias("o"), F.col("c").alias("range")), "o")
     return j.groupBy(F.col("p").alias("predicate"), "domain", "range").agg(F.count(F.lit(1)).alias("n"))
-
-
-def number_rows(t: DataFrame) -> DataFrame:
-    """Triples with a dense number by ord (for occurrence nodes)."""
-    return t.withColumn("n", F.row_number().over(Window.orderBy("ord")))

@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.aggregates import both_ends
-from graphloom.plans.session import cut
+from graphloom.plans.session import cut, number_rows
 
 
 def _steps(edges: DataFrame, directed: bool, types: list[str] | None) -> DataFrame:
     if types is not None:
         edges = edges.filter(F.col("type").isin(types))
-    return (edges.select(F.col("src").alias("id"), F.col("dst").alias("other")) if directed else both_ends(edges)).distinct()
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")) if directed else both_ends(edges)
+
+
+#: A frontier of at most so many ids is sent to every executor; a larger one is joined by a shuffle.
+_FEW = 200_000
+
+
+def _onto(steps: DataFrame, frontier: DataFrame, on: str = "id") -> DataFrame:
+    few = frontier.limit(_FEW + 1).count() <= _FEW
+    return steps.join(F.broadcast(frontier) if few else frontier, on)
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int | None = None, *, directed: bool = False, types: list[str] | None = None) -> DataFrame:
@@ -22,7 +31,7 @@ def hops(edges: DataFrame, start: DataFrame, depth: int | None = None, *, direct
     level = 0
     while depth is None or level < depth:
         level += 1
-        new = steps.join(frontier.select("id"), "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = _onto(steps, frontier.select("id")).select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = cut(new.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
@@ -35,15 +44,18 @@ def neighbors(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return both_ends(edges).join(ids.select("id").distinct(), "id", "left_semi").select("id", F.col("other").alias("neighbor")).distinct()
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, *, max_hops: int = 20, directed: bool = False, types: list[str] | None = None) -> DataFrame:
-    """(step, id) of one shortest path, empty if there is none; ties go to the least previous id."""
+def shortest_path(edges: DataFrame, source: str, target: str, *, max_hops: int | None = None, directed: bool = False, types: list[str] | None = None) -> DataFrame:
+    """(step, id) of one shortest path, empty if there is none (within ``max_hops``, if given); ties go to the least previous id.
+
+    A node's path to itself is the node alone, whether or not it has edges.
+    """
     spark = edges.sparkSession
     steps = _steps(edges, directed, types)
     seen = frontier = spark.createDataFrame([(source, None, 0)], "id string, parent string, depth int")
-    for level in range(1, max_hops + 1):
-        if not frontier.filter(F.col("id") == target).isEmpty():
-            break
-        new = steps.join(frontier.select("id"), "id").groupBy("other").agg(F.min("id").alias("parent"))
+    level = 0
+    while (max_hops is None or level < max_hops) and frontier.filter(F.col("id") == target).isEmpty():
+        level += 1
+        new = _onto(steps, frontier.select("id")).groupBy("other").agg(F.min("id").alias("parent"))
         frontier = cut(new.select(F.col("other").alias("id"), "parent", F.lit(level).alias("depth")).join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             break
@@ -80,29 +92,47 @@ def simple_paths(edges: DataFrame, start: DataFrame, max_depth: int, *, ends: Da
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, by minimum labels with pointer jumping."""
-    links = cut(both_ends(edges).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    """(id, component): the least id reachable, by large-star and small-star rounds.
+
+    A round is a grouped minimum, combined before its shuffle, and an equi-join; links come to
+    hang on the least id, and no component or hub is gathered in one place.
+    """
+    e = cut(edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("u")).filter("u != v").distinct())
+    before = None
     while True:
-        least = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("low"))
-        hooked = labels.join(least, "id", "left").select("id", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
-        jump = hooked.select(F.col("id").alias("low"), F.col("low").alias("root"))
-        new = cut(hooked.join(jump, "low", "left").select("id", F.least("low", F.coalesce("root", "low")).alias("new"), "label"))
-        if new.filter("new != label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-        labels = new.select("id", F.col("new").alias("label"))
+        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = cut(small.filter("u != v").distinct())
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
+        if now[0] == now[2] and now == before:
+            break
+        before = now
+    of = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return nodes.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
 
+def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) with components numbered from 0, the largest first, then by least id."""
+    of = cut(components(nodes, edges))
+    sizes = number_rows(of.groupBy(F.col("component").alias("least")).agg(F.count(F.lit(1)).alias("size")), F.desc("size"), "least")
+    return of.join(sizes, of["component"] == sizes["least"]).select("id", (F.col("n") - 1).alias("component"))
 
-def tree_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+
+def tree_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth, parent) of a spanning tree: each node hangs on its least parent at the first depth reached."""
     out = edges.select(F.col("src").alias("parent"), F.col("dst").alias("id")).distinct()
     seen = frontier = cut(roots.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    for level in range(1, max_depth + 1):
-        new = out.join(frontier.select(F.col("id").alias("parent")), "parent").join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("parent").alias("parent"))
+    level = 0
+    while max_depth is None or level < max_depth:
+        level += 1
+        new = _onto(out, frontier.select(F.col("id").alias("parent")), "parent").join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("parent").alias("parent"))
         frontier = cut(new.select("id", F.lit(level).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
-        seen = seen.unionAll(frontier)
+        seen = cut(seen.unionAll(frontier)) if level % 8 == 0 else seen.unionAll(frontier)
     return seen
 
 
@@ -111,16 +141,19 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def breadcrumbs(edges: DataFrame, ids: DataFrame, max_depth: int = 20) -> DataFrame:
+def breadcrumbs(edges: DataFrame, ids: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth, ancestor): up the first incoming edge of each node, with a guard against cycles."""
     up = edges.groupBy(F.col("dst").alias("at")).agg(F.min_by("src", "id").alias("up"))
     now = ids.select("id", F.col("id").alias("at"), F.array("id").alias("seen"))
     out = ids.select("id", F.lit(0).alias("depth"), F.col("id").alias("ancestor"))
-    for level in range(1, max_depth + 1):
+    level = 0
+    while max_depth is None or level < max_depth:
+        level += 1
         now = cut(now.join(up, "at").filter(~F.array_contains("seen", F.col("up"))).select("id", F.col("up").alias("at"), F.concat("seen", F.array("up")).alias("seen")))
         if now.isEmpty():
             break
         out = out.unionAll(now.select("id", F.lit(level).alias("depth"), F.col("at").alias("ancestor")))
+        out = cut(out) if level % 8 == 0 else out
     return out
 
 

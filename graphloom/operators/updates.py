@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import Graph, primary_type
 
 
 def update_join(target: DataFrame, rows: DataFrame, key: str, *, order: str | None = None) -> DataFrame:
-    """``target`` with the columns of ``rows`` merged in by id; keys match as text, the last row of a key wins."""
+    """``target`` with the columns of ``rows`` merged in by id; keys match as text.
+
+    Of rows with one key the last by ``order`` wins, without it the greatest; a null keeps the old value.
+    """
     props = [c for c in rows.columns if c not in (key, order)]
     r = rows.withColumn("id", F.col(key).cast("string"))
-    last = F.max_by(F.struct(*props), F.col(order)) if order else F.last(F.struct(*props))
+    last = F.max_by(F.struct(*props), F.col(order)) if order else F.max(F.struct(*props))
     merged = target.join(r.groupBy("id").agg(last.alias("__new")), "id", "left")
     for p in props:
         new = F.col(f"__new.{p}")
@@ -28,8 +31,8 @@ def remove_nodes(graph: Graph, ids: DataFrame) -> Graph:
 
 
 def diff(before: DataFrame, after: DataFrame, props: list[str], key: str = "id") -> DataFrame:
-    """(id, status, changed): added, removed or changed rows with the properties that differ."""
-    b, a = (d.select(key, F.struct(*props).alias(n)) for d, n in ((before, "b"), (after, "a")))
+    """(id, status, changed): added, removed or changed rows with the properties that differ; repeated keys count once."""
+    b, a = (d.groupBy(key).agg(F.max(F.struct(*props)).alias(n)) for d, n in ((before, "b"), (after, "a")))
     j = b.join(a, key, "full_outer")
     changed = F.array_compact(F.array(*(F.when(~F.col(f"b.{p}").eqNullSafe(F.col(f"a.{p}")), F.lit(p)) for p in props)))
     status = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.size(changed) > 0, "changed")
@@ -61,9 +64,10 @@ def collapse(graph: Graph, cluster: Column, *, ceiling: int = 200) -> Graph:
     """
     named = graph.nodes.select("id", primary_type().alias("type"), F.coalesce(cluster.cast("string"), F.lit("unclustered")).alias("c"))
     sizes = named.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "c")))
-    pooled = F.when((F.col("rank") < ceiling) | (F.lit(ceiling) >= F.max("rank").over(Window.partitionBy(F.lit(0)))), F.col("c")).otherwise("other")
-    member = named.join(ranked.select("c", pooled.alias("cluster")), "c")
+    # at most one more than the ceiling
+    top = [r["c"] for r in sizes.orderBy(F.desc("size"), "c").limit(ceiling + 1).collect()]
+    kept = top if len(top) <= ceiling else top[: ceiling - 1]
+    member = named.withColumn("cluster", F.when(F.col("c").isin(kept), F.col("c")).otherwise("other"))
     per_type = member.groupBy("cluster", "type").agg(F.count(F.lit(1)).alias("k"))
     nodes = per_type.groupBy("cluster").agg(F.sum("k").alias("members"), F.max_by("type", F.struct("k", "type")).alias("main_type"))
     ends = member.select("id", "cluster")

@@ -56,10 +56,9 @@ def count_by_property(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.count_by(star_nodes(spark, d), F.col("segment"))
 
 
-@query(_N + "select id, type from n where type = 'Region'")
+@query(_N + "select id, type from n")
 def reverse_map(spark: SparkSession, d: str) -> DataFrame:
-    groups = aggregates.count_by_type(star_nodes(spark, d, ("Region", "Nation")), "id").filter("label = 'Region'")
-    return groups.select(F.explode("ids").alias("id"), F.col("label").alias("type"))
+    return aggregates.members(star_nodes(spark, d), primary_type()).select("id", F.col("label").alias("type"))
 
 
 @query(_E + "select type as label, count(*) as n from e group by type")
@@ -131,33 +130,31 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.registry(star_nodes(spark, d), star_edges(spark, d))
 
 
-_RETURNED = "s as (select distinct l_partkey as p, l_suppkey as s from lineitem where l_returnflag = 'R' and l_quantity >= 49)"
+_SUPPLIES = "s as (select distinct l_partkey as p, l_suppkey as s from lineitem)"
 
 
-def _returned(spark: SparkSession, d: str) -> DataFrame:
-    s = _read(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
-    return s.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"))
+def _supplies(spark: SparkSession, d: str) -> DataFrame:
+    return star_edges(spark, d, ("supplies",))
 
 
-@query(f"with {_RETURNED} select 'part:' || p as part, 'supplier:' || min(s) as supplier from s group by p having count(*) = 1")
+@query(f"with {_SUPPLIES} select 'part:' || p as part, 'supplier:' || min(s) as supplier from s group by p having count(*) = 1")
 def sole_source(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.sole_sources(_returned(spark, d))
+    return aggregates.sole_sources(_supplies(spark, d))
 
 
-@query(f"with {_RETURNED}, o as (select p, min(s) as s from s group by p having count(*) = 1) select 'supplier:' || s as supplier, count(*) as parts from o group by s")
+@query(f"with {_SUPPLIES}, o as (select p, min(s) as s from s group by p having count(*) = 1) select 'supplier:' || s as supplier, count(*) as parts from o group by s")
 def single_points_of_failure(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.sole_sources(_returned(spark, d)).groupBy("supplier").agg(F.count(F.lit(1)).alias("parts"))
+    return aggregates.sole_sources(_supplies(spark, d)).groupBy("supplier").agg(F.count(F.lit(1)).alias("parts"))
 
 
-@query(f"with {_RETURNED} select 'part:' || p as part, count(*) as n, string_agg('supplier:' || s, ',' order by 'supplier:' || s) as suppliers from s group by p")
+@query(f"with {_SUPPLIES} select 'part:' || p as part, 'supplier:' || s as supplier, count(*) over (partition by p) as n from s")
 def suppliers_by_part(spark: SparkSession, d: str) -> DataFrame:
-    g = _returned(spark, d).groupBy(F.col("dst").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("src")), ",").alias("suppliers"))
-    return g
+    return aggregates.with_group_size(_supplies(spark, d).select(F.col("dst").alias("part"), F.col("src").alias("supplier")), "part")
 
 
-@query("select p_brand as label, count(*) as n, round(avg(case when q.l_partkey is not null then 1.0 else 0.0 end), 6) as share from part left join (select distinct l_partkey from lineitem where l_quantity >= 49) q on p_partkey = q.l_partkey group by p_brand")
+@query("select p_brand as label, count(*) as n, round(avg(case when q.l_partkey is not null then 1.0 else 0.0 end), 6) as share from part left join (select distinct l_partkey from lineitem where l_returnflag = 'R') q on p_partkey = q.l_partkey group by p_brand")
 def supply_coverage(spark: SparkSession, d: str) -> DataFrame:
-    hit = _read(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("hit", F.lit(1))
+    hit = _read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("hit", F.lit(1))
     c = aggregates.coverage(_read(spark, d, "part").join(hit, "p_partkey", "left"), F.col("p_brand"), "hit")
     return c.withColumn("share", F.round("share", 6))
 
@@ -174,9 +171,9 @@ def filter_tree(spark: SparkSession, d: str) -> DataFrame:
     return _flat(star_nodes(spark, d)).filter(filters.tree(spec)).select("id")
 
 
-@query(_N + "select id from n where lower(kind) like '%steel%' and name is not null")
+@query(_N + "select id from n where lower(brand) like '%brand#1%' and name is not null")
 def filter_contains(spark: SparkSession, d: str) -> DataFrame:
-    return star_nodes(spark, d).filter(filters.condition("kind", "contains", "STEEL") & filters.condition("name", "exists")).select("id")
+    return star_nodes(spark, d).filter(filters.condition("brand", "contains", "BRAND#1") & filters.condition("name", "exists")).select("id")
 
 
 @query(_N + "select id from n where segment is null or segment != 'BUILDING'")
@@ -254,16 +251,22 @@ def reachability(spark: SparkSession, d: str) -> DataFrame:
     return traversal.hops(e, _ids(spark, "region:2"), directed=True).filter("depth > 0").select("id")
 
 
-@query("select 'customer:' || c_custkey || '>nation:' || n_nationkey || '>region:' || n_regionkey as path, 2 as hops from customer join nation on c_nationkey = n_nationkey where c_custkey between 1 and 20")
+@query("select 'customer:' || c_custkey || '>nation:' || n_nationkey || '>region:' || n_regionkey as path, 2 as hops from customer join nation on c_nationkey = n_nationkey")
 def simple_paths(spark: SparkSession, d: str) -> DataFrame:
-    start = _ids(spark, *(f"customer:{k}" for k in range(1, 21)))
-    p = traversal.simple_paths(star_edges(spark, d, ("partOf", "locatedIn")), start, 3, ends=star_nodes(spark, d, ("Region",)))
+    p = traversal.simple_paths(star_edges(spark, d, ("partOf", "locatedIn")), star_nodes(spark, d, ("Customer",)), 3, ends=star_nodes(spark, d, ("Region",)))
     return p.select(F.array_join("path", ">").alias("path"), "hops")
 
 
-@query("with m as (select 'region:' || r_regionkey as id, r_regionkey as r from region union all select 'nation:' || n_nationkey, n_regionkey from nation union all select 'customer:' || c_custkey, n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'supplier:' || s_suppkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey) select id, min(id) over (partition by r) as component from m")
+@query(_NER + f"{_ENDS}, r(id) as (select min(id) from b union select other from b join r using (id)), m as (select min(id) as low from r) select n.id, case when r.id is null then n.id else low end as component from m, n left join r using (id)")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.components(star_nodes(spark, d, ("Region", "Nation", "Customer", "Supplier")), star_edges(spark, d, ("partOf", "locatedIn")))
+    # the SQL knows that all nodes with an edge hang together here
+    return traversal.components(star_nodes(spark, d), star_edges(spark, d))
+
+
+@query("with p as (select r_regionkey as r, 1 + (select count(*) from nation where n_regionkey = r_regionkey) + (select count(*) from customer join nation on c_nationkey = n_nationkey where n_regionkey = r_regionkey) + (select count(*) from supplier join nation on s_nationkey = n_nationkey where n_regionkey = r_regionkey) as size, coalesce((select min('customer:' || c_custkey) from customer join nation on c_nationkey = n_nationkey where n_regionkey = r_regionkey), (select min('nation:' || n_nationkey) from nation where n_regionkey = r_regionkey), 'region:' || r_regionkey) as low from region), q as (select r, row_number() over (order by size desc, low) - 1 as component from p) "
+       "select 'region:' || r as id, component from q union all select 'nation:' || n_nationkey, component from nation join q on n_regionkey = r union all select 'customer:' || c_custkey, component from customer join nation on c_nationkey = n_nationkey join q on n_regionkey = r union all select 'supplier:' || s_suppkey, component from supplier join nation on s_nationkey = n_nationkey join q on n_regionkey = r")
+def numbered_components(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.numbered_components(star_nodes(spark, d, ("Region", "Nation", "Customer", "Supplier")), star_edges(spark, d, ("partOf", "locatedIn")))
 
 
 @query("select 'region:' || r_regionkey as id, 0 as depth from region union all select 'nation:' || n_nationkey, 1 from nation union all select 'customer:' || c_custkey, 2 from customer union all select 'supplier:' || s_suppkey, 2 from supplier")
@@ -287,9 +290,9 @@ def parallel_edges(spark: SparkSession, d: str) -> DataFrame:
 # updates
 
 
-@query("select 'supplier:' || s_suppkey as id, s_acctbal as balance, count(l_suppkey) as line_count from supplier left join lineitem on s_suppkey = l_suppkey and l_quantity >= 45 group by all having count(l_suppkey) > 0 union all select 'supplier:' || s_suppkey, s_acctbal, null from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity >= 45)")
+@query("select 'supplier:' || s_suppkey as id, s_acctbal as balance, count(l_suppkey) as line_count from supplier left join lineitem on s_suppkey = l_suppkey group by all having count(l_suppkey) > 0 union all select 'supplier:' || s_suppkey, s_acctbal, null from supplier where s_suppkey not in (select l_suppkey from lineitem)")
 def virtualize(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "lineitem").filter("l_quantity >= 45").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("line_count"))
+    rows = _read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("line_count"))
     rows = rows.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("key"), "line_count")
     return updates.update_join(star_nodes(spark, d, ("Supplier",)), rows, "key").select("id", "balance", "line_count")
 
@@ -356,9 +359,9 @@ def tag_index(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("id", F.explode("tags").alias("tag"))
 
 
-@query(_NE + "select e.id from e where src != 'nation:1' and dst != 'nation:1' and type in ('partOf', 'locatedIn')")
+@query(_NE + "select e.id from e where src != 'nation:1' and dst != 'nation:1'")
 def remove_nodes(spark: SparkSession, d: str) -> DataFrame:
-    g = Graph(star_nodes(spark, d), star_edges(spark, d, ("partOf", "locatedIn")))
+    g = Graph(star_nodes(spark, d), star_edges(spark, d))
     return updates.remove_nodes(g, _ids(spark, "nation:1")).edges.select("id")
 
 
@@ -366,9 +369,9 @@ def remove_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
-    """Types, names and balances as triples, then the small edges."""
-    n = star_nodes(spark, d, ("Region", "Nation", "Customer", "Supplier"))
-    e = star_edges(spark, d, ("partOf", "locatedIn"))
+    """Types, names and balances as triples, then the edges."""
+    n = star_nodes(spark, d)
+    e = star_edges(spark, d).select("src", "type", "dst").distinct()
     none = F.lit(None).cast("string")
 
     def t(df: DataFrame, p: str, o: str, otype: str, datatype: str | None = None) -> DataFrame:
@@ -408,12 +411,12 @@ def _projected(spark: SparkSession, d: str) -> Graph:
     return rdf.project(_triples(spark, d), rdf.PRESETS["standard"])
 
 
-@query("select 'region:' || r_regionkey as id, 'Region' as type, r_name as name from region union all select 'nation:' || n_nationkey, 'Nation', n_name from nation union all select 'customer:' || c_custkey, 'Customer', c_name from customer union all select 'supplier:' || s_suppkey, 'Supplier', s_name from supplier")
+@query(_N + "select id, type, name from n")
 def rdf_project_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _projected(spark, d).nodes.select("id", F.get("types", 0).alias("type"), F.col("props")["name"].alias("name"))
 
 
-@query(_E + "select src, dst, type from e where type in ('partOf', 'locatedIn')")
+@query(_E + "select distinct src, dst, type from e")
 def rdf_project_edges(spark: SparkSession, d: str) -> DataFrame:
     return _projected(spark, d).edges.select("src", "dst", "type")
 
@@ -468,7 +471,7 @@ def type_inheritance(spark: SparkSession, d: str) -> DataFrame:
     return _inferred(spark, d).filter((F.col("p") == rdf.TYPE) & F.col("o").isin("Party", "Thing")).select("s", "o")
 
 
-@query("select distinct 'nation:' || k as s, 'Place' as o from (select c_nationkey as k from customer union select s_nationkey from supplier) union all select 'region:' || r_regionkey, 'Named' from region union all select 'nation:' || n_nationkey, 'Named' from nation union all select 'customer:' || c_custkey, 'Named' from customer union all select 'supplier:' || s_suppkey, 'Named' from supplier")
+@query("select distinct 'nation:' || k as s, 'Place' as o from (select c_nationkey as k from customer union select s_nationkey from supplier) union all select 'region:' || r_regionkey, 'Named' from region union all select 'nation:' || n_nationkey, 'Named' from nation union all select 'customer:' || c_custkey, 'Named' from customer union all select 'supplier:' || s_suppkey, 'Named' from supplier union all select 'part:' || p_partkey, 'Named' from part")
 def domain_range(spark: SparkSession, d: str) -> DataFrame:
     return _inferred(spark, d).filter((F.col("p") == rdf.TYPE) & F.col("o").isin("Place", "Named")).select("s", "o")
 
@@ -483,7 +486,7 @@ def transitive(spark: SparkSession, d: str) -> DataFrame:
     return _inferred(spark, d).filter((F.col("p") == "partOf") & F.col("o").startswith("region:")).select("s", "o")
 
 
-@query("select 'partOf' as predicate, 'Nation' as domain, 'Region' as range, count(*) as n from nation union all select 'locatedIn', 'Customer', 'Nation', count(*) from customer union all select 'locatedIn', 'Supplier', 'Nation', count(*) from supplier")
+@query(_NE + "select e.type as predicate, a.type as domain, b.type as range, count(*) as n from (select distinct src, dst, type from e) e join n a on a.id = src join n b on b.id = dst group by all")
 def ontology_summary(spark: SparkSession, d: str) -> DataFrame:
     return rdf.ontology_summary(_triples(spark, d))
 
@@ -518,9 +521,9 @@ def shape_drivers(spark: SparkSession, d: str) -> DataFrame:
     return shapes.drivers(_validated(spark, d))
 
 
-@query(f"with {_RETURNED}, o as (select p, min(s) as s from s group by p having count(*) = 1) select 'part:' || p as id, 'sole-source' as gap, case when p % 2 = 0 then 'violation' else 'warning' end as severity from o union all select 'supplier:' || s, 'single-point', 'warning' from o group by s")
+@query(f"with {_SUPPLIES}, o as (select p, min(s) as s from s group by p having count(*) = 1) select 'part:' || p as id, 'sole-source' as gap, case when p % 2 = 0 then 'violation' else 'warning' end as severity from o union all select 'supplier:' || s, 'single-point', 'warning' from o group by s")
 def gap_report(spark: SparkSession, d: str) -> DataFrame:
-    sole = aggregates.sole_sources(_returned(spark, d))
+    sole = aggregates.sole_sources(_supplies(spark, d))
     critical = F.substring_index("part", ":", -1).cast("long") % 2 == 0
     a = sole.select(F.col("part").alias("id"), F.lit("sole-source").alias("gap"), F.when(critical, "violation").otherwise("warning").alias("severity"))
     return a.unionAll(sole.select(F.col("supplier").alias("id"), F.lit("single-point").alias("gap"), F.lit("warning").alias("severity")).distinct())
@@ -565,19 +568,30 @@ def text_numbers(spark: SparkSession, d: str) -> DataFrame:
 # sinks and streams
 
 
-@query("select '<urn:node:nation%3A' || n_nationkey || '> <urn:edge:partOf> <urn:node:region%3A' || n_regionkey || '> .' as line from nation union all select '<urn:node:region%3A' || r_regionkey || '> a <urn:node:Region> .' from region union all select '<urn:node:region%3A' || r_regionkey || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || r_name || '\" .' from region")
+_IRI = "'<urn:node:' || replace({0}, ':', '%3A') || '>'"
+
+
+@query(
+    _NE + f"select {_IRI.format('src')} || ' <urn:edge:' || type || '> ' || {_IRI.format('dst')} || ' .' as line from e union all select {_IRI.format('id')} || ' a <urn:node:' || type || '> .' from n "
+    f"union all select {_IRI.format('id')} || ' <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\" .' from n where name is not null union all select {_IRI.format('id')} || ' <urn:prop:segment> \"' || segment || '\" .' from n where segment is not null"
+)
 def turtle_lines(spark: SparkSession, d: str) -> DataFrame:
-    return export.turtle(Graph(star_nodes(spark, d, ("Region",)), star_edges(spark, d, ("partOf",))))
+    return export.turtle(Graph(star_nodes(spark, d).select("id", "types", "ord", "name", "segment"), star_edges(spark, d)))
 
 
-@query("select '{\"id\":\"region:' || r_regionkey || '\",\"name\":\"' || r_name || '\"}' as line from region")
+@query(_N + "select '{\"id\":\"' || id || '\"' || coalesce(',\"name\":\"' || name || '\"', '') || coalesce(',\"brand\":\"' || brand || '\"', '') || coalesce(',\"size\":' || size, '') || '}' as line from n")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
-    return export.json_lines(star_nodes(spark, d, ("Region",)).select("id", "name"))
+    return export.json_lines(star_nodes(spark, d).select("id", "name", "brand", "size"))
 
 
-@query("select 'region:' || r_regionkey as id, 'Region' as types, r_name as name, r_regionkey::varchar as ord from region")
+@query(_N + "select id, type as types, name, ord::varchar as ord, segment, size::varchar as size from n")
 def csv_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return export.csv_ready(star_nodes(spark, d, ("Region",)))
+    return export.csv_ready(star_nodes(spark, d).select("id", "types", "ord", "name", "segment", "size"))
+
+
+@query(_E + "select id, src, dst, type from e")
+def csv_edges(spark: SparkSession, d: str) -> DataFrame:
+    return export.csv_ready(star_edges(spark, d).select("id", "src", "dst", "type"))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")

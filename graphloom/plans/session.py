@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -21,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
+
+
+def number_rows(t: DataFrame, *order: str | Column, name: str = "n") -> DataFrame:
+    """Rows with a dense number from 1 in the given order (``ord`` if none): a range sort, then the partitions' sizes added up."""
+    here = cut(t.orderBy(*(order or ("ord",))).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")))
+    # one row a partition
+    sizes = here.groupBy("__part").agg(F.count(F.lit(1)).alias("k")).withColumn("__before", F.sum("k").over(Window.orderBy("__part")) - F.col("k")).drop("k")
+    low = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return here.join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + low + 1).drop("__part", "__row", "__before")

@@ -52,6 +52,6 @@ def sessions(events: DataFrame, time: Column, key: str, gap: str, late: str | No
 def recent(arrivals: DataFrame, limit: int, order: str = "seq", pinned: DataFrame | None = None) -> DataFrame:
     """The last ``limit`` arrivals that aren't pinned, and all pinned ones."""
     pins = pinned.select("id", F.lit(True).alias("pin")) if pinned is not None else None
-    a = arrivals.join(F.broadcast(pins), "id", "left") if pins is not None else arrivals.withColumn("pin", F.lit(None).cast("boolean"))
+    a = arrivals.join(pins, "id", "left") if pins is not None else arrivals.withColumn("pin", F.lit(None).cast("boolean"))
     free = a.filter("pin is null").orderBy(F.desc(order)).limit(limit)
     return free.unionAll(a.filter("pin")).drop("pin")
