@@ -38,6 +38,29 @@ def literal_number(value: Column, datatype: Column) -> Column:
     return F.when(datatype.isNull() | datatype.isin(kinds), value.try_cast("double"))
 
 
+def cast_literal(value: Column, datatype: Column) -> Column:
+    """(number, flag, text) of a typed literal, one of them set: whole and decimal numbers are read as far as they go."""
+    whole = datatype.rlike("#(integer|int|long)$")
+    part = F.when(whole, F.regexp_extract(value, r"^\s*([+-]?\d+)", 1)).otherwise(F.regexp_extract(value, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1))
+    numeric, flag = F.coalesce(datatype.rlike("#(integer|int|long|float|double|decimal)$"), F.lit(False)), F.coalesce(datatype.endswith("#boolean"), F.lit(False))
+    return F.struct(F.when(numeric, part.try_cast("double")).alias("number"), F.when(flag, value == "true").alias("flag"), F.when(~numeric & ~flag, value).alias("text"))
+
+
+def expanded(name: Column, prefixes: dict[str, str]) -> Column:
+    """prefix:local as an IRI; an unknown prefix leaves it as it is."""
+    known = F.create_map(*(F.lit(x) for kv in prefixes.items() for x in kv))
+    base = F.try_element_at(known, F.substring_index(name, ":", 1))
+    return F.when((F.instr(name, ":") > 0) & base.isNotNull(), F.concat(base, F.regexp_replace(name, "^[^:]*:", ""))).otherwise(name)
+
+
+def shortened(iri: Column, prefixes: dict[str, str]) -> Column:
+    """An IRI as prefix:local by the first prefix that fits, else its local part."""
+    out = local_part(iri)
+    for short, base in reversed(list(prefixes.items())):
+        out = F.when(iri.startswith(base), F.concat(F.lit(f"{short}:"), F.substring(iri, len(base) + 1, 2**31 - 1))).otherwise(out)
+    return out
+
+
 def finite(value: Column) -> Column:
     """The value, or null where it isn't a finite number."""
     return F.when(~F.isnan(value) & (F.abs(value) < F.lit(math.inf)), value)

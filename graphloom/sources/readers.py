@@ -74,8 +74,48 @@ def transaction(df: DataFrame, column: str) -> Graph:
     return Graph(n, edges)
 
 
+def elements(df: DataFrame, column: str) -> Graph:
+    """Graph of a traversal answer's vertices, edges and element maps, in the order of ``result.data``.
+
+    The first mention of an id gives its type (an edge mentions its ends), a vertex property's
+    first value counts; items of no id, or of neither form, are left out.
+    """
+    items = df.select(F.posexplode(F.from_json(column, "result struct<data:array<string>>")["result"]["data"]).alias("ord", "j"))
+    plain = "id string, label string, inV string, outV string, inVLabel string, outVLabel string, properties string"
+    i = items.select("ord", "j", F.from_json("j", plain).alias("x")).select("ord", "j", "x.*")
+    is_edge = F.col("inV").isNotNull() & F.col("outV").isNotNull() & F.col("label").isNotNull()
+    is_vertex = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("inV").isNull() & F.coalesce(F.col("properties").startswith("{"), F.lit(False))
+    e = i.filter(is_edge)
+    values = F.transform_values(F.from_json("properties", "map<string,array<struct<value:string>>>"), lambda k, v: F.coalesce(F.get(v, 0)["value"], F.lit("")))
+    flat = F.map_filter(F.from_json("j", "map<string,string>"), lambda k, v: ~k.isin("id", "label"))
+    v = i.filter(is_vertex).select("ord", F.lit(0).alias("at"), "id", F.col("label").alias("type"), F.map_concat(F.create_map(F.lit("name"), "id"), F.map_filter(values, lambda k, x: k != "name")).alias("props"), values["name"].alias("own"))
+    v = v.withColumn("props", F.when(F.col("own").isNull(), F.col("props")).otherwise(F.map_concat(F.map_filter("props", lambda k, x: k != "name"), F.create_map(F.lit("name"), "own")))).drop("own")
+    m = i.filter(~is_edge & ~is_vertex & (F.col("id") != "")).select("ord", F.lit(0).alias("at"), "id", F.coalesce("label", F.lit("Vertex")).alias("type"), flat.alias("props"))
+    none = F.lit(None).cast("map<string,string>")
+    ends = [e.select("ord", F.lit(k).alias("at"), F.col(f"{end}V").alias("id"), F.coalesce(f"{end}VLabel", F.lit("Vertex")).alias("type"), none.alias("props")) for k, end in enumerate(("out", "in"))]
+    first = v.unionByName(m).unionByName(ends[0]).unionByName(ends[1]).groupBy("id").agg(F.min_by(F.struct("type", "props"), F.struct("ord", "at")).alias("x"))
+    nodes = first.select("id", F.array("x.type").alias("types"), F.coalesce("x.props", F.create_map().cast("map<string,string>")).alias("props"))
+    return Graph(nodes, e.select(F.col("ord").cast("string").alias("id"), F.col("outV").alias("src"), F.col("inV").alias("dst"), F.col("label").alias("type")))
+
+
 def holons(d: DataFrame) -> Graph:
-    """Nested holons (id, types, portals) as nodes, their portals with an existing target as edges."""
-    nodes = d.select("id", F.concat("types", F.array(F.lit("_Holon"))).alias("types"), F.size("portals").alias("portal_count"))
+    """Nested holons (id, label, types, portals) as nodes, their portals with an existing target as edges."""
+    name = F.col("label") if "label" in d.columns else F.lit(None).cast("string")
+    nodes = d.select("id", F.concat("types", F.array(F.lit("_Holon"))).alias("types"), name.alias("name"), F.lit(True).alias("is_holon"), F.size("portals").alias("portal_count"))
     p = d.select(F.col("id").alias("src"), F.explode("portals").alias("p")).select(F.col("p.id").alias("id"), "src", F.col("p.target").alias("dst"), F.col("p.label").alias("type"))
     return Graph(nodes, p.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("id", "src", "dst", "type"))
+
+
+def holon_interiors(d: DataFrame) -> Graph:
+    """Interior nodes of holons (``nodes``: array of id, types) with their holon, and interior edges (``edges``: src, dst, type) whose ends are both inside it."""
+    nodes = d.select(F.col("id").alias("holon"), F.explode("nodes").alias("n")).select("holon", F.col("n.id").alias("id"), F.col("n.types").alias("types")).dropDuplicates(["holon", "id"])
+    edges = d.select(F.col("id").alias("holon"), F.explode("edges").alias("e")).select("holon", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.type").alias("type"))
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select("holon", F.col("id").alias(end)), ["holon", end], "left_semi")
+    return Graph(nodes, edges.select("holon", "src", "dst", "type"))
+
+
+def holon_schema(d: DataFrame) -> DataFrame:
+    """(kind, name): different types of holons and labels of portals."""
+    types = d.select(F.lit("nodeType").alias("kind"), F.explode("types").alias("name"))
+    return types.unionAll(d.select(F.lit("edgeType"), F.explode("portals.label"))).distinct()
