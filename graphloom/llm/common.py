@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,22 +50,29 @@ def _remove(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder, removed when the interpreter ends, if not before."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove_path, spark, path)
     return path
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark removes the shuffle files of each query at the query's end."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, no executor holds state.
 
     Nothing needs the write's shuffles once it is done, so Spark removes their files at its end.
     """
     path = new_path(spark, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with freed_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
@@ -73,7 +81,7 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 def released(spark: SparkSession, *steps: DataFrame) -> None:
     """Delete the files of ``stored`` steps whose readers are all stored themselves."""
     for df in steps:
-        _remove(spark, df._stored_at)
+        remove_path(spark, df._stored_at)
 
 
 def id_crc(col: str = "doc_id") -> Column:

@@ -1,15 +1,23 @@
-"""Language-model scoring: interpolated modified Kneser-Ney bigrams as memory-mapped sorted hash arrays.
-
-Counting: each task counts the bigrams of its documents (a start mark before the first token,
-an end token behind the last) and hands them on in packed blocks by the first word's shard; a
-shard adds them up and keeps, sorted by hash, its bigrams' counts and its contexts' totals and
-numbers of followers seen once, twice and more. Its words' numbers of different predecessors go
-on to the words' own shards. All arrays are written as files below the shared folder, which
-workers map into memory; nothing of the model passes the driver.
-
-Scoring: p(w | u) = max(c(u w) - D, 0) / c(u) + backoff(u) p(w), where p(w) is the same formula
-over numbers of predecessors, backed off to 1 / (V + 1) for each word and any unknown one. The
-discounts D for counts 1, 2 and 3 or more are the usual estimates from counts of counts.
+"""Language-model scoring: interpolated modified Kneser-Ney trigrams as memory-mapped sorted hash arrays.
+
+Counting: each task counts the trigrams u v w of its documents (two start marks before the first
+token, an end token behind the last) and hands them on in packed blocks by the middle word's
+shard. There all u and w of a v meet, so a shard adds up, without another shuffle, the trigrams'
+counts, the totals and follower numbers of contexts (u, v), the numbers of different words before
+each pair (v, w), and its part of the words' own numbers, which are additive and go on to the
+words' shards. A word more frequent than a mean shard would overload one; a first pass over all
+texts finds these words (there are at most twice as many as shards), and their trigrams are spread
+over several shards by the last word; only their contexts then have parts in several shards,
+which are added up in the second step. All arrays are written as files below the shared folder,
+which workers map into memory; nothing of the model but the frequent words passes the driver.
+
+Scoring: p(w | u v) = max(c(u v w) - D, 0) / c(u v) + backoff(u v) p(w | v), where p(w | v) is the
+same formula over numbers of different words before (v, w), and p(w) over numbers of different
+words before w, backed off to 1 / (V + 1) for each word and any unknown one. The discounts D for
+counts 1, 2 and 3 or more are, at each level, the usual estimates from counts of counts.
+
+Keys: words by 56 bits of their hash; pairs and trigrams by a shard, then a bucket of about 16 keys,
+then 32 bits, so a missing one is taken for another with a chance of about 4 in 10^9.
 
 Defined cases: a null or empty text is the end token alone; rows with null id are held out
 (their crc32 is null, so they teach nothing); repeated rows count each; with nothing to learn
@@ -31,13 +39,15 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, small_batches
+from graphloom.llm.common import freed_shuffles, new_path, remove_path, small_batches
 from graphloom.llm.token_files import SEPARATOR
 
 #: Word hashes have 56 bits; the top ones are the shard.
 _BITS = 56
 _START, _END = 1, 2
-_FLUSH = 3_000_000
+#: Tokens that a task counts at once, and the longest piece of a text among them: together below 2^21, so three word ranks fit one key.
+_FLUSH, _PIECE = 1_900_000, 100_000
+_RANK = 21
 _MAGIC = 0x4B4E4C4D
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _RESULT = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -50,24 +60,45 @@ def token_hashes(text: str | None) -> np.ndarray:
     return np.append(h, np.uint64(_END))
 
 
-def pair_hashes(u: np.ndarray, v: np.ndarray, shard_bits: int) -> np.ndarray:
-    """Keys of bigrams: the first word's shard, then a hash of both words."""
-    h = u * np.uint64(0x9E3779B97F4A7C15) ^ (v + np.uint64(0x632BE59BD9B4E019))
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two hashes, in order."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return ((u >> np.uint64(_BITS - shard_bits)) << np.uint64(64 - shard_bits)) | (h >> np.uint64(shard_bits))
+    return h ^ (h >> np.uint64(31))
+
+
+class Shards:
+    """Which shard holds what follows a middle word: the word's own, or one of several by the last word if it is frequent."""
+
+    def __init__(self, bits: int, frequent: dict[int, int]) -> None:
+        self.bits = bits
+        self.words = np.array(sorted(frequent), np.uint64)
+        self.ways = np.array([frequent[int(w)] for w in self.words], np.uint64)
+
+    def ways_of(self, v: np.ndarray) -> np.ndarray:
+        """In how many shards the words are: 1 for all but the frequent ones."""
+        out = np.ones(len(v), np.uint64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, v), len(self.words) - 1)
+            hit = self.words[at] == v
+            out[hit] = self.ways[at[hit]]
+        return out
+
+    def of(self, v: np.ndarray, w: np.ndarray, ways: np.ndarray) -> np.ndarray:
+        own = v >> np.uint64(_BITS - self.bits)
+        return (own + (w * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % ways) & np.uint64((1 << self.bits) - 1)
+
+    def key(self, shard: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (shard << np.uint64(64 - self.bits)) | (h >> np.uint64(self.bits))
 
 
-def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct keys in order, the columns' sums for each, and the place of a row of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], [np.add.reduceat(c[order], at) if len(at) else c[:0] for c in columns], order[at]
 
 
 def _narrow(h: np.ndarray) -> bytes:
@@ -81,26 +112,79 @@ def _wide(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def pack(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows sorted by ``first``: its distinct values with run lengths, the second values, the counts."""
-    at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-    runs = np.diff(np.append(at, len(first))).astype("<u4")
-    z = zstandard.ZstdCompressor(level=1)
-    parts = [_narrow(first[at]), z.compress(runs.tobytes()), _narrow(second), z.compress(counts.astype("<u4").tobytes())]
-    return struct.pack("<4I", *map(len, parts)) + b"".join(parts)
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, which compresses well where most are small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes, at, parts = struct.unpack_from("<4I", block), 16, []
-    for s in sizes:
-        parts.append(block[at : at + s])
-        at += s
-    z = zstandard.ZstdDecompressor()
-    return np.repeat(_wide(parts[0]), np.frombuffer(z.decompress(parts[1]), "<u4")), _wide(parts[2]), np.frombuffer(z.decompress(parts[3]), "<u4")
+def _unplaned(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
 
+def _joined(parts: list[bytes]) -> bytes:
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
 
-def _arrays(kind: int, shard: int, arrays: list[np.ndarray], facts: tuple[int, ...]) -> bytes:
-    """One file block: header, facts, then the arrays, each a multiple of 8 bytes."""
+
+def _parted(block: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum(struct.unpack_from(f"<{n}I", block)) + 4 * n
+    return [block[s:e] for s, e in zip([4 * n, *ends[:-1]], ends, strict=True)]
+
+
+def pack(words: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, counts: np.ndarray) -> bytes:
+    """Trigrams sorted by ``v``, whose members are places in ``words`` (most frequent first): the words that occur, runs of v, then w, u and counts."""
+    here = np.zeros(len(words), bool)
+    here[v] = here[w] = here[u] = True
+    place = np.cumsum(here) - 1
+    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    return _joined([_narrow(words[here]), *map(_planes, (np.diff(place[v[at]], prepend=0), np.diff(np.append(at, len(v))), place[w], place[u], counts))])
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w, counts) of a packed block."""
+    words, *rest = _parted(block, 6)
+    words, (steps, runs, w, u, counts) = _wide(words), map(_unplaned, rest)
+    return words[u], np.repeat(words[np.cumsum(steps)], runs), words[w], counts.astype(np.int64)
+
+
+def _parts(kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Additive rows of the second step: their kind (0 words, 1 contexts), keys and columns."""
+    z = zstandard.ZstdCompressor(level=1)
+    return struct.pack("<II", kind, len(columns)) + _joined([keys.astype("<u8").tobytes(), *(z.compress(c.astype("<i8").tobytes()) for c in columns)])
+
+
+def _parts_back(raw: bytes) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    kind, n = struct.unpack_from("<II", raw)
+    keys, *columns = _parted(raw[8:], n + 1)
+    z = zstandard.ZstdDecompressor()
+    return kind, np.frombuffer(keys, "<u8"), [np.frombuffer(z.decompress(c), "<i8") for c in columns]
+
+
+def _table(kind: int, shard: int, bits: int, keys: np.ndarray, columns: list[np.ndarray], facts: tuple[int, ...]) -> bytes:
+    """One file block: header, facts, then arrays, each a multiple of 8 bytes: bucket bounds, keys, row codes, and the columns' values for each code.
+
+    ``keys`` are distinct, in order, and begin with the shard's bits. Few combinations of
+    column values differ, so a row only holds the number of its own. Words (kind 3) keep whole keys.
+    """
+    rows = np.stack(columns, axis=1) if len(keys) else np.zeros((0, len(columns)), np.int64)
+    if len(columns) == 1:
+        values, codes = np.unique(rows[:, 0], return_inverse=True)
+        values = values[:, None]
+    else:
+        h = rows[:, 0].astype(np.uint64)
+        for k in range(1, rows.shape[1]):
+            h = mixed(h, rows[:, k].astype(np.uint64))
+        _, first, codes = np.unique(h, return_index=True, return_inverse=True)
+        values = rows[first]
+    codes = codes.astype("<u1" if len(values) <= 1 << 8 else "<u2" if len(values) <= 1 << 16 else "<u4")
+    if kind == 3:
+        bounds, short = np.zeros(0, "<u4"), keys.astype("<u8")
+    else:
+        k = max(1, len(keys).bit_length() - 4)
+        bucket = keys << np.uint64(bits) >> np.uint64(64 - k)
+        bounds = np.searchsorted(bucket, np.arange((1 << k) + 1, dtype=np.uint64)).astype("<u4")
+        short = (keys << np.uint64(bits + k) >> np.uint64(32)).astype("<u4")
+    arrays = [bounds, short, codes, *(values[:, c].astype("<i8") for c in range(len(columns)))]
     head = struct.pack("<IIII", _MAGIC, kind, shard, len(arrays)) + struct.pack("<8Q", *facts, *[0] * (8 - len(facts)))
     body = []
     for a in arrays:
@@ -122,121 +206,190 @@ def discounts(n: tuple[int, ...]) -> np.ndarray:
     return np.array([min(max(d, 0.0), float(k)) for k, d in enumerate(raw)])
 
 
-def _count(docs: DataFrame, shard_bits: int) -> DataFrame:
-    """Packed bigram counts (shard, block) of the documents, counted within each task first."""
+def _pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The tokens of a text in pieces, each behind the two tokens (or start marks) before it."""
+    t = np.concatenate([np.array([_START, _START], np.uint64), token_hashes(text)])
+    for at in range(0, len(t) - 2, _PIECE):
+        yield t[at : at + _PIECE + 2]
+
+
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The pieces of all texts in lists of about ``_FLUSH`` tokens."""
+    pieces, size = [], 0
+    for b in batches:
+        for text in b["text"].to_pylist():
+            for p in _pieces(text):
+                pieces.append(p)
+                size += len(p) - 2
+                if size >= _FLUSH:
+                    yield pieces
+                    pieces, size = [], 0
+    if pieces:
+        yield pieces
+
+
+def frequent_words(docs: DataFrame, bits: int) -> dict[int, int]:
+    """Words with more than the mean shard's share of all tokens, and over how many shards to spread each.
+
+    A task reports words that hold half that share of a part of its tokens. What a word has in
+    other parts is less than half a share of all, so half a share among what is reported keeps
+    every such word, and at most twice as many words as there are shards pass the test.
+    """
+    half = 2 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: list[np.ndarray] = []
-        second: list[np.ndarray] = []
-        size = 0
-
-        def blocks() -> Iterator[pa.RecordBatch]:
-            u, v = np.concatenate(first), np.concatenate(second)
-            (u, v), c = summed([u, v], np.ones(len(u), np.int64))
-            shard = u >> np.uint64(_BITS - shard_bits)
-            at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            ends = np.append(at[1:], len(u))
-            for lo in range(0, len(at), 64):
-                part = [(int(shard[s]), pack(u[s:e], v[s:e], c[s:e])) for s, e in zip(at[lo : lo + 64], ends[lo : lo + 64], strict=True)]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in part], pa.int64()), "block": pa.array([p[1] for p in part], pa.binary())})
+        for pieces in _flushes(batches):
+            words, n = np.unique(np.concatenate([p[2:] for p in pieces]), return_counts=True)
+            top = n * half >= n.sum()
+            yield pa.RecordBatch.from_pydict({"word": pa.array([None, *words[top].tolist()], pa.int64()), "n": pa.array([int(n.sum()), *n[top].tolist()], pa.int64())})
+
+    sums = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    try:
+        total = sum(r["n"] for r in sums.filter("word is null").collect())
+        top = sums.filter(F.col("n") * half >= (total or 1)).filter("word is not null").collect()
+        # an end token is never in the middle, but a start mark is, once for each end
+        return {_START if r["word"] == _END else r["word"]: -(-(2 * r["n"] + (total >> bits)) * (1 << bits) // (2 * total)) for r in top}
+    finally:
+        sums.unpersist()
 
-        for b in batches:
-            for t in b["text"].to_pylist():
-                v = token_hashes(t)
-                first.append(np.concatenate([np.array([_START], np.uint64), v[:-1]]))
-                second.append(v)
-                size += len(v)
-            if size >= _FLUSH:
-                yield from blocks()
-                first, second, size = [], [], 0
-        if size:
-            yield from blocks()
+
+def _count(docs: DataFrame, shards: Shards) -> DataFrame:
+    """Packed trigram counts (shard, block) of the documents, counted within each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in _flushes(batches):
+            words, at, n = np.unique(np.concatenate(pieces), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words, at = words[order], rank[at]
+            ends = np.cumsum([len(p) for p in pieces])
+            token = np.ones(len(at), bool)
+            for k in (0, 1):
+                token[np.concatenate([[0], ends[:-1]]) + k] = False
+            i = np.flatnonzero(token)
+            keys, counts = np.unique(at[i - 1] << (2 * _RANK) | at[i] << _RANK | at[i - 2], return_counts=True)
+            v, w, u = keys >> (2 * _RANK), keys >> _RANK & ((1 << _RANK) - 1), keys & ((1 << _RANK) - 1)
+            shard = shards.of(words[v], words[w], shards.ways_of(words)[v])
+            order = np.argsort(shard, kind="stable")
+            shard, v, w, u, counts = (x[order] for x in (shard, v, w, u, counts))
+            start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            for s, e in zip(start, np.append(start[1:], len(shard)), strict=True):
+                block = pack(words, v[s:e], w[s:e], u[s:e], counts[s:e])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[s])], pa.int64()), "block": pa.array([block], pa.binary())})
 
     return docs.mapInArrow(run, "shard long, block binary")
 
 
-def _written(df: DataFrame, path: str) -> None:
-    df.select("kind", F.col("part").cast("string").alias("value")).write.partitionBy("kind").text(path, lineSep=SEPARATOR.decode())
+def _written(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write file blocks by kind; nothing needs the write's shuffle once it is done."""
+    with freed_shuffles(spark):
+        df.select("kind", F.col("part").cast("string").alias("value")).write.partitionBy("kind").text(path, lineSep=SEPARATOR.decode())
 
 
-def _bigram_shard(shard_bits: int, parts: int):
+def _followers(n: np.ndarray) -> list[np.ndarray]:
+    """1 where a number is 1, 2, or more."""
+    return [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64)]
+
+
+def _trigram_shard(shards: Shards):
     def add(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         rows = [unpack(b) for b in table["block"].to_pylist()]
-        (u, v), c = summed([np.concatenate([r[k] for r in rows]) for k in (0, 1)], np.concatenate([r[2] for r in rows]).astype(np.int64))
-        key = pair_hashes(u, v, shard_bits)
-        order = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        per = [np.add.reduceat(x, at) for x in (c, c == 1, c == 2, c >= 3)]
-        arrays = [key[order], np.minimum(c[order], 2**32 - 1).astype("<u4"), u[at], per[0].astype("<u8"), *(p.astype("<u4") for p in per[1:])]
-        out = [("bigrams", _arrays(0, shard, arrays, (int(c.sum()), *counts_of_counts(c))))]
-        (w,), before = summed([v], np.ones(len(v), np.int64))
-        (_,), seen = summed([v], c)
-        # predecessors and occurrences of this shard's second words, for the words' own shards
-        z = zstandard.ZstdCompressor(level=1)
-        body = z.compress(_narrow(w) + before.astype("<u4").tobytes() + seen.astype("<u8").tobytes())
-        out.append(("words", struct.pack("<II", len(w), len(body)) + body))
-        return pa.Table.from_pydict({"kind": [k for k, _ in out], "part": pa.array([p for _, p in out], pa.binary())})
+        u, v, w, c = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        del rows
+        at_shard = np.uint64(shard)
+        keys, (c,), place = summed(shards.key(at_shard, mixed(mixed(u, v), w)), [c])
+        u, v, w = u[place], v[place], w[place]
+        out = [("trigrams", _table(0, shard, shards.bits, keys, [c], (int(c.sum()), *counts_of_counts(c))))]
+        del keys
+        split = shards.ways_of(v) > 1
+        contexts, sums, place = summed(mixed(u, v), [c, *_followers(c)])
+        whole = ~split[place]
+        keys = shards.key(at_shard, contexts[whole])
+        order = np.argsort(keys, kind="stable")
+        out.append(("contexts", _table(1, shard, shards.bits, keys[order], [x[whole][order] for x in sums], ())))
+        if not whole.all():
+            out.append(("parts", _parts(1, contexts[~whole], [x[~whole] for x in sums])))
+        pairs, (before,), place = summed(shards.key(at_shard, mixed(v, w)), [np.ones(len(v), np.int64)])
+        out.append(("pairs", _table(2, shard, shards.bits, pairs, [before], counts_of_counts(before))))
+        # what the second words give to their own shards, and the middle words' followers to theirs
+        firsts, seconds = v[place], w[place]
+        last, (preceding,), _ = summed(seconds, [np.ones(len(seconds), np.int64)])
+        _, (seen,), _ = summed(w, [c])
+        middle, sums, _ = summed(firsts, [before, *_followers(before)])
+        none = [np.zeros(len(middle), np.int64)] * 2, [np.zeros(len(last), np.int64)] * 4
+        columns = [np.concatenate(x) for x in zip([preceding, seen, *none[1]], [*none[0], *sums], strict=True)]
+        words, columns, _ = summed(np.concatenate([last, middle]), columns)
+        out.append(("parts", _parts(0, words, columns)))
+        return pa.Table.from_pydict({"kind": [k for k, _ in out], "part": pa.array([_framed(k, p) for k, p in out], pa.binary())})
 
     return add
 
 
-def _split_words(shard_bits: int):
-    """Blocks of (word, predecessors, occurrences) by the word's shard, from the files of the first step."""
+def _framed(kind: str, part: bytes) -> bytes:
+    return struct.pack("<Q", len(part)) + part if kind == "parts" else part
+
+
+def _split_parts(bits: int):
+    """Blocks of additive rows by their keys' shard, from the files of the first step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, c = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for b in batches:
             for content in b["content"].to_pylist():
-                at, parts = 0, []
+                at = 0
                 while at < len(content):
-                    n, size = struct.unpack_from("<II", content, at)
-                    raw = z.decompress(content[at + 8 : at + 8 + size])
-                    parts.append((_wide(raw[: 7 * n]), np.frombuffer(raw, "<u4", n, 7 * n), np.frombuffer(raw, "<u8", n, 11 * n)))
+                    size = struct.unpack_from("<Q", content, at)[0]
+                    kind, keys, columns = _parts_back(content[at + 8 : at + 8 + size])
                     at += 8 + size + len(SEPARATOR)
-                w = np.concatenate([p[0] for p in parts])
-                order = np.argsort(w, kind="stable")
-                w, before, seen = w[order], np.concatenate([p[1] for p in parts])[order], np.concatenate([p[2] for p in parts])[order]
-                shard = w >> np.uint64(_BITS - shard_bits)
-                at_shard = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                rows = [
-                    (int(shard[s]), c.compress(struct.pack("<I", e - s) + _narrow(w[s:e]) + before[s:e].tobytes() + seen[s:e].tobytes()))
-                    for s, e in zip(at_shard, np.append(at_shard[1:], len(w)), strict=True)
-                ]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
+                    shard = keys >> np.uint64((64 if kind else _BITS) - bits)
+                    order = np.argsort(shard, kind="stable")
+                    shard, keys, columns = shard[order], keys[order], [c[order] for c in columns]
+                    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                    for s, e in zip(start, np.append(start[1:], len(keys)), strict=True):
+                        block = _parts(kind, keys[s:e], [c[s:e] for c in columns])
+                        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[s])], pa.int64()), "block": pa.array([block], pa.binary())})
 
     return run
 
 
-def _word_shard(table: pa.Table) -> pa.Table:
-    z, w, before, seen = zstandard.ZstdDecompressor(), [], [], []
-    for b in table["block"].to_pylist():
-        raw = z.decompress(b)
-        n = struct.unpack_from("<I", raw)[0]
-        w.append(_wide(raw[4 : 4 + 7 * n]))
-        before.append(np.frombuffer(raw, "<u4", n, 4 + 7 * n))
-        seen.append(np.frombuffer(raw, "<u8", n, 4 + 11 * n))
-    words = np.concatenate(w)
-    (keys,), before = summed([words], np.concatenate(before).astype(np.int64))
-    _, seen = summed([words], np.concatenate(seen).astype(np.int64))
-    facts = (len(keys), int(before.sum()), *counts_of_counts(before), int((before >= 3).sum()))
-    part = _arrays(1, table["shard"][0].as_py(), [keys, before.astype("<u4"), seen.astype("<u8")], facts)
-    return pa.Table.from_pydict({"kind": ["unigrams"], "part": pa.array([part], pa.binary())})
-
-
-def count_model(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[str, int]:
-    """Count the model of ``docs`` into files; returns their folder and the number of shard bits."""
+def _parts_shard(bits: int):
+    def add(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        rows: dict[int, list] = {0: [], 1: []}
+        for b in table["block"].to_pylist():
+            kind, keys, columns = _parts_back(b)
+            rows[kind].append((keys, columns))
+        out = []
+        for kind, parts in rows.items():
+            if not parts:
+                continue
+            keys, columns, _ = summed(np.concatenate([p[0] for p in parts]), [np.concatenate(c) for c in zip(*(p[1] for p in parts), strict=True)])
+            if kind:
+                out.append(("split_contexts", _table(4, shard, bits, keys, columns, ())))
+            else:
+                before = columns[0]
+                facts = (int((before > 0).sum()), int(before.sum()), *counts_of_counts(before), int((before >= 3).sum()))
+                out.append(("words", _table(3, shard, bits, keys, columns, facts)))
+        return pa.Table.from_pydict({"kind": [k for k, _ in out], "part": pa.array([p for _, p in out], pa.binary())})
+
+    return add
+
+
+def count_model(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[str, Shards]:
+    """Count the model of ``docs`` into files; returns their folder and the shards."""
     small_batches(spark)
     rows = docs.select(F.col(text).alias("text"))
-    shard_bits = max(6, (2 * max(1, rows.rdd.getNumPartitions()) - 1).bit_length())
+    bits = max(6, (2 * max(1, rows.rdd.getNumPartitions()) - 1).bit_length())
+    shards = Shards(bits, frequent_words(rows, bits))
     path = new_path(spark, "lm")
-    first = _count(rows, shard_bits).groupBy("shard").applyInArrow(_bigram_shard(shard_bits, 0), "kind string, part binary")
-    _written(first, f"{path}/a")
-    if _exists(spark, f"{path}/a/kind=words"):
-        files = spark.read.format("binaryFile").load(f"{path}/a/kind=words").filter("length > 0").select("content")
-        words = files.mapInArrow(_split_words(shard_bits), "shard long, block binary").groupBy("shard").applyInArrow(_word_shard, "kind string, part binary")
-        _written(words, f"{path}/b")
-    return path, shard_bits
+    _written(spark, _count(rows, shards).groupBy("shard").applyInArrow(_trigram_shard(shards), "kind string, part binary"), f"{path}/a")
+    if _exists(spark, f"{path}/a/kind=parts"):
+        files = spark.read.format("binaryFile").load(f"{path}/a/kind=parts").filter("length > 0").select("content")
+        added = files.mapInArrow(_split_parts(bits), "shard long, block binary").groupBy("shard").applyInArrow(_parts_shard(bits), "kind string, part binary")
+        _written(spark, added, f"{path}/b")
+        remove_path(spark, f"{path}/a/kind=parts")
+    return path, shards
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -256,15 +409,14 @@ def _share(spark: SparkSession, path: str) -> str:
 class Model:
     """The mapped arrays of all shards, and the probabilities from them."""
 
-    def __init__(self, path: str, shard_bits: int) -> None:
+    def __init__(self, path: str, shards: Shards) -> None:
         if path.startswith("files:"):
             path = SparkFiles.get(path[6:])
-        self.shard_bits = shard_bits
-        self.bigrams: dict[int, list[np.ndarray]] = {}
-        self.words: dict[int, list[np.ndarray]] = {}
-        facts = {0: np.zeros(8, np.int64), 1: np.zeros(8, np.int64)}
+        self.shards = shards
+        self.tables: list[dict[int, list[np.ndarray]]] = [{} for _ in range(5)]
+        facts = np.zeros((5, 8), np.int64)
         for folder, _, names in sorted(os.walk(path)):
-            if not folder.endswith(("kind=bigrams", "kind=unigrams")):
+            if "kind=" not in folder or folder.endswith("kind=parts"):
                 continue
             for name in sorted(n for n in names if n.startswith("part-") and os.path.getsize(f"{folder}/{n}")):
                 data = np.memmap(f"{folder}/{name}", np.uint8, "r")
@@ -276,70 +428,98 @@ class Model:
                     facts[kind] += np.frombuffer(data[at + 16 : at + 80], "<i8")
                     size = struct.unpack_from("<Q", data, at + 80)[0]
                     place, arrays = at + 88, []
-                    for _ in range(n):
+                    for k in range(n):
                         length, width = struct.unpack_from("<QQ", data, place)
-                        arrays.append(data[place + 16 : place + 16 + length * width].view(f"<u{width}"))
+                        arrays.append(data[place + 16 : place + 16 + length * width].view(f"<{'i' if k > 2 else 'u'}{width}"))
                         place += 16 + length * width + -(length * width) % 8
-                    (self.bigrams, self.words)[kind][shard] = arrays
+                    self.tables[kind][shard] = arrays
                     at += 88 + size + len(SEPARATOR)
-        self.n_tokens, self.n_words, self.n_pairs = int(facts[0][0]), int(facts[1][0]), int(facts[1][1])
-        self.d2, self.d1 = discounts(tuple(facts[0][1:5])), discounts(tuple(facts[1][2:6]))
-        once, twice, more = int(facts[1][2]), int(facts[1][3]), int(facts[1][6])
+        self.n_tokens, self.n_words, self.n_pairs = int(facts[0][0]), int(facts[3][0]), int(facts[3][1])
+        self.d3, self.d2, self.d1 = (discounts(tuple(f)) for f in (facts[0][1:5], facts[2][:4], facts[3][2:6]))
+        once, twice, more = int(facts[3][2]), int(facts[3][3]), int(facts[3][6])
         self.left_over = (self.d1[1] * once + self.d1[2] * twice + self.d1[3] * more) / self.n_pairs if self.n_pairs else 1.0
 
-    def _find(self, arrays: dict[int, list[np.ndarray]], which: int, keys: np.ndarray, top: int, columns: list[int]) -> list[np.ndarray]:
-        """Values of sorted distinct keys; 0 where a key is missing."""
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
-        shard = (keys >> np.uint64(top - self.shard_bits)).astype(np.int64)
+    def _find(self, kind: int, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+        """The columns' values for each key; 0 where a key is missing."""
+        keys, back = np.unique(keys, return_inverse=True)
+        out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
+        bits = self.shards.bits
+        shard = (keys >> np.uint64((_BITS if kind == 3 else 64) - bits)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else []
         for s, e in zip(at, np.append(at[1:], len(keys)), strict=True):
-            mine = arrays.get(int(shard[s]))
-            if mine is None or not len(mine[which]):
+            mine = self.tables[kind].get(int(shard[s]))
+            if mine is None or not len(mine[1]):
                 continue
-            place = np.searchsorted(mine[which], keys[s:e])
-            place[place == len(mine[which])] = 0
-            hit = mine[which][place] == keys[s:e]
-            for o, c in zip(out, columns, strict=True):
-                o[s:e][hit] = mine[c][place[hit]]
-        return out
+            bounds, short, codes, *values = mine
+            last = len(short) - 1
+            if kind == 3:
+                place = np.searchsorted(short, keys[s:e])
+                hit = short[np.minimum(place, last)] == keys[s:e]
+            else:
+                k = (len(bounds) - 1).bit_length() - 1
+                bucket = (keys[s:e] << np.uint64(bits) >> np.uint64(64 - k)).astype(np.int64)
+                wanted = (keys[s:e] << np.uint64(bits + k) >> np.uint64(32)).astype(np.uint32)
+                place, end = bounds[bucket].astype(np.int64), bounds[bucket + 1].astype(np.int64)
+                high = end.copy()
+                for _ in range(int((end - place).max()).bit_length()):
+                    mid = (place + high) >> 1
+                    less = (short[np.minimum(mid, last)] < wanted) & (place < high)
+                    high = np.where(less, high, np.minimum(mid, high))
+                    place = np.where(less, mid + 1, place)
+                hit = (place < end) & (short[np.minimum(place, last)] == wanted)
+            code = codes[place[hit]]
+            for o, x in zip(out, values, strict=True):
+                o[s:e][hit] = x[code]
+        return [o[back] for o in out]
 
     def score(self, texts: list[str | None]) -> list[dict]:
+        if not texts:
+            return []
         tokens = [token_hashes(t) for t in texts]
         sizes = np.array([len(t) for t in tokens])
         starts = np.cumsum(sizes) - sizes
         w = np.concatenate(tokens)
-        u = np.concatenate([[np.uint64(_START)], w[:-1]]).astype(np.uint64)
+        v = np.concatenate([[np.uint64(_START)], w[:-1]]).astype(np.uint64)
+        v[starts] = _START
+        u = np.concatenate([[np.uint64(_START)], v[:-1]]).astype(np.uint64)
         u[starts] = _START
-        known, at = np.unique(w, return_inverse=True)
-        before, seen = (x[at] for x in self._find(self.words, 0, known, _BITS, [1, 2]))
-        contexts, at = np.unique(u, return_inverse=True)
-        total, once, twice, more = (x[at] for x in self._find(self.bigrams, 2, contexts, _BITS, [3, 4, 5, 6]))
-        pairs, at = np.unique(pair_hashes(u, w, self.shard_bits), return_inverse=True)
-        c = self._find(self.bigrams, 0, pairs, 64, [1])[0][at]
-        low = np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(self.n_pairs, 1) + self.left_over / (self.n_words + 1)
-        some = np.maximum(total, 1)
-        backoff = np.where(total > 0, (self.d2[1] * once + self.d2[2] * twice + self.d2[3] * more) / some, 1.0)
-        p = np.maximum(c - self.d2[np.minimum(c, 3)], 0) / some + backoff * low
+        before, seen, *_ = self._find(3, w, 6)
+        _, _, total2, *few2 = self._find(3, v, 6)
+        ways = self.shards.ways_of(v)
+        shard = self.shards.of(v, w, ways)
+        n = self._find(2, self.shards.key(shard, mixed(v, w)), 1)[0]
+        uv = mixed(u, v)
+        total3, *few3 = self._find(1, self.shards.key(self.shards.of(v, w, np.ones(len(v), np.uint64)), uv), 4)
+        split = ways > 1
+        if split.any():
+            for mine, theirs in zip([total3, *few3], self._find(4, uv[split], 4), strict=True):
+                mine[split] = theirs
+        c = self._find(0, self.shards.key(shard, mixed(uv, w)), 1)[0]
+        p = np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(self.n_pairs, 1) + self.left_over / (self.n_words + 1)
+        for count, total, few, d in ((n, total2, few2, self.d2), (c, total3, few3, self.d3)):
+            some = np.maximum(total, 1)
+            backoff = np.where(total > 0, sum(d[k + 1] * few[k] for k in range(3)) / some, 1.0)
+            p = np.maximum(count - d[np.minimum(count, 3)], 0) / some + backoff * p
         base = np.log10((seen + 0.1) / (self.n_tokens + 0.1 * (self.n_words + 1)))
-        sums = [np.add.reduceat(x, starts) for x in (seen > 0, base, np.log10(p))] if len(texts) else [[]] * 3
+        known, base, score = (np.add.reduceat(x, starts) for x in ((seen > 0).astype(np.int64), base, np.log10(p)))
         return [
-            {"n_tokens": int(n), "n_known": int(k), "train_tokens": self.n_tokens, "base_score": float(b), "score": float(s)}
-            for n, k, b, s in zip(sizes, sums[0].astype(np.int64) if len(texts) else [], *sums[1:], strict=True)
+            {"n_tokens": int(k), "n_known": int(a), "train_tokens": self.n_tokens, "base_score": float(b), "score": float(s)}
+            for k, a, b, s in zip(sizes, known, base, score, strict=True)
         ]
 
 
 _MODELS: dict[str, Model] = {}
 
 
-def score_texts(spark: SparkSession, model: tuple[str, int], text: Column) -> Column:
+def score_texts(spark: SparkSession, model: tuple[str, Shards], text: Column) -> Column:
     """A struct column (n_tokens, n_known, train_tokens, base_score, score) for a text column."""
     small_batches(spark)
-    path, shard_bits = _share(spark, model[0]), model[1]
+    path, shards = _share(spark, model[0]), model[1]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if path not in _MODELS:
             _MODELS.clear()
-            _MODELS[path] = Model(path, shard_bits)
+            _MODELS[path] = Model(path, shards)
         for texts in batches:
             rows, part, size = [], [], 0
             for t in texts.to_pylist():

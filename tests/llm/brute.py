@@ -95,34 +95,42 @@ def similarity_rows(docs, n, percent):
 
 
 def lm_rows(docs):
-    """Interpolated modified Kneser-Ney bigrams, from dictionaries."""
+    """Interpolated modified Kneser-Ney trigrams, from dictionaries."""
     train = [words(t) + ["\n"] for i, t in docs if zlib.crc32(str(i).encode()) % 10]
-    uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([""] + t[:-1], t, strict=True))
-    total, followers, before = Counter(), defaultdict(Counter), Counter()
-    for (u, v), c in bi.items():
-        total[u] += c
-        followers[u][min(c, 3)] += 1
-        before[v] += 1
+    uni = Counter(w for t in train for w in t)
+    tri = Counter(p for t in train for p in zip((["", ""] + t)[:-2], ([""] + t)[:-1], t, strict=True))
+    bi = Counter((v, w) for _, v, w in tri)
+    before = Counter(w for _, w in bi)
 
     def d(counts):
         n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
         return [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0, 0), k) for k in (1, 2, 3)]
 
-    d2, d1, N, V = d(list(bi.values())), d(list(before.values())), sum(uni.values()), len(uni)
+    def contexts(counts):
+        total, followers = Counter(), defaultdict(Counter)
+        for key, c in counts.items():
+            total[key[:-1]] += c
+            followers[key[:-1]][min(c, 3)] += 1
+        return total, followers
+
+    d1, N, V = d(list(before.values())), sum(uni.values()), len(uni)
     left = sum(d1[min(c, 3)] for c in before.values()) / len(bi)
+    levels = [(x, *contexts(x), d(list(x.values()))) for x in (bi, tri)]
 
-    def p(u, v):
-        low = max(before[v] - d1[min(before[v], 3)], 0) / len(bi) + left / (V + 1)
-        if not total[u]:
-            return low
-        c = bi[u, v]
-        return max(c - d2[min(c, 3)], 0) / total[u] + sum(d2[k] * followers[u][k] for k in (1, 2, 3)) / total[u] * low
+    def p(u, v, w):
+        out = max(before[w] - d1[min(before[w], 3)], 0) / len(bi) + left / (V + 1)
+        for (counts, total, followers, disc), key in zip(levels, ((v, w), (u, v, w)), strict=True):
+            t = total[key[:-1]]
+            if t:
+                c = counts[key]
+                out = max(c - disc[min(c, 3)], 0) / t + sum(disc[k] * followers[key[:-1]][k] for k in (1, 2, 3)) / t * out
+        return out
 
     out = []
     for i, t in docs:
         w = words(t) + ["\n"]
         base = sum(math.log10((uni[x] + 0.1) / (N + 0.1 * (V + 1))) for x in w)
-        score = sum(math.log10(p(u, v)) for u, v in zip([""] + w[:-1], w, strict=True))
+        score = sum(math.log10(p(*x)) for x in zip((["", ""] + w)[:-2], ([""] + w)[:-1], w, strict=True))
         out.append((i, zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(uni[x] > 0 for x in w), N, base, score))
     return sorted(out)
