@@ -8,8 +8,9 @@ each pair (v, w), and its part of the words' own numbers, which are additive and
 words' shards. A word more frequent than a mean shard would overload one; a first pass over all
 texts finds these words (there are at most twice as many as shards), and their trigrams are spread
 over several shards by the last word; only their contexts then have parts in several shards,
-which are added up in the second step. All arrays are written as files below the shared folder,
-which workers map into memory; nothing of the model but the frequent words passes the driver.
+which are added up in the second step. The same pass lists common words, a fixed number at most,
+which blocks name by rank instead of by hash; that changes the blocks' size alone. All arrays are written as files below the shared folder,
+which workers map into memory; nothing of the model but these two lists passes the driver.
 
 Scoring: p(w | u v) = max(c(u v w) - D, 0) / c(u v) + backoff(u v) p(w | v), where p(w | v) is the
 same formula over numbers of different words before (v, w), and p(w) over numbers of different
@@ -48,6 +49,8 @@ _START, _END = 1, 2
 #: Tokens that a task counts at once, and the longest piece of a text among them: together below 2^21, so three word ranks fit one key.
 _FLUSH, _PIECE = 1_900_000, 100_000
 _RANK = 21
+#: Words that blocks name by rank, and how often one of a task's ``_FLUSH`` tokens must be a word for the task to propose it.
+_COMMON, _PROPOSED = 1 << 17, 6
 _MAGIC = 0x4B4E4C4D
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _RESULT = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -69,10 +72,15 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Shards:
-    """Which shard holds what follows a middle word: the word's own, or one of several by the last word if it is frequent."""
+    """Which shard holds what follows a middle word: the word's own, or one of several by the last word if it is frequent.
 
-    def __init__(self, bits: int, frequent: dict[int, int]) -> None:
+    Also how blocks name words: ``common`` ones, most frequent first, by their rank.
+    """
+
+    def __init__(self, bits: int, frequent: dict[int, int], common: list[int]) -> None:
         self.bits = bits
+        self.common = np.array(common, np.uint64)
+        self.rank = np.argsort(self.common, kind="stable").astype(np.int32)
         self.words = np.array(sorted(frequent), np.uint64)
         self.ways = np.array([frequent[int(w)] for w in self.words], np.uint64)
 
@@ -89,6 +97,26 @@ class Shards:
         own = v >> np.uint64(_BITS - self.bits)
         return (own + (w * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % ways) & np.uint64((1 << self.bits) - 1)
 
+    def ordered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of distinct words, the common ones by rank, then the others by hash, and the ranks of the former."""
+        hit = np.zeros(len(words), bool)
+        at = np.zeros(len(words), np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, words, sorter=self.rank), len(self.common) - 1)
+            at = self.rank[at]
+            hit = self.common[at] == words
+        known, other = np.flatnonzero(hit), np.flatnonzero(~hit)
+        known = known[np.argsort(at[known], kind="stable")]
+        return np.concatenate([known, other[np.argsort(words[other], kind="stable")]]), at[known]
+
+    def named(self, ranks: np.ndarray, others: np.ndarray) -> bytes:
+        """A list of words: common ones by ascending ranks, then others by ascending hashes."""
+        return _joined([_planes(np.diff(ranks, prepend=0)), _planes(np.diff(others, prepend=np.uint64(0)), 8)])
+
+    def words_of(self, b: bytes) -> np.ndarray:
+        ranks, others = _parted(b, 2)
+        return np.concatenate([self.common[np.cumsum(_unplaned(ranks))], np.cumsum(_unplaned(others, 8), dtype=np.uint64)])
+
     def key(self, shard: np.ndarray, h: np.ndarray) -> np.ndarray:
         return (shard << np.uint64(64 - self.bits)) | (h >> np.uint64(self.bits))
 
@@ -101,25 +129,14 @@ def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
     return keys[at], [np.add.reduceat(c[order], at) if len(at) else c[:0] for c in columns], order[at]
 
 
-def _narrow(h: np.ndarray) -> bytes:
-    """7 bytes a hash."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
-
-def _wide(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
-
-
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
     """Numbers byte plane by byte plane, which compresses well where most are small."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def _unplaned(b: bytes) -> np.ndarray:
+def _unplaned(b: bytes, width: int = 4) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _joined(parts: list[bytes]) -> bytes:
@@ -131,33 +148,33 @@ def _parted(block: bytes, n: int) -> list[bytes]:
     return [block[s:e] for s, e in zip([4 * n, *ends[:-1]], ends, strict=True)]
 
 
-def pack(words: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, counts: np.ndarray) -> bytes:
-    """Trigrams sorted by ``v``, whose members are places in ``words`` (most frequent first): the words that occur, runs of v, then w, u and counts."""
+def pack(shards: Shards, words: np.ndarray, ranks: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, counts: np.ndarray) -> bytes:
+    """Trigrams sorted by ``v``, whose members are places in the ordered ``words``: the words that occur, runs of v, then w, u and counts."""
     here = np.zeros(len(words), bool)
     here[v] = here[w] = here[u] = True
     place = np.cumsum(here) - 1
     at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    return _joined([_narrow(words[here]), *map(_planes, (np.diff(place[v[at]], prepend=0), np.diff(np.append(at, len(v))), place[w], place[u], counts))])
+    names = shards.named(ranks[here[: len(ranks)]], words[len(ranks) :][here[len(ranks) :]])
+    return _joined([names, *map(_planes, (np.diff(place[v[at]], prepend=0), np.diff(np.append(at, len(v))), place[w], place[u], counts))])
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(shards: Shards, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, w, counts) of a packed block."""
-    words, *rest = _parted(block, 6)
-    words, (steps, runs, w, u, counts) = _wide(words), map(_unplaned, rest)
+    names, *rest = _parted(block, 6)
+    words, (steps, runs, w, u, counts) = shards.words_of(names), map(_unplaned, rest)
     return words[u], np.repeat(words[np.cumsum(steps)], runs), words[w], counts.astype(np.int64)
 
 
-def _parts(kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
-    """Additive rows of the second step: their kind (0 words, 1 contexts), keys and columns."""
-    z = zstandard.ZstdCompressor(level=1)
-    return struct.pack("<II", kind, len(columns)) + _joined([keys.astype("<u8").tobytes(), *(z.compress(c.astype("<i8").tobytes()) for c in columns)])
+def _parts(shards: Shards, kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Additive rows of the second step with distinct keys: their kind (0 words, 1 contexts), keys and columns."""
+    order, ranks = shards.ordered(keys) if kind == 0 else (np.argsort(keys, kind="stable"), np.zeros(0, np.int64))
+    return struct.pack("<II", kind, len(columns)) + _joined([shards.named(ranks, keys[order][len(ranks) :]), *(_planes(c[order], 8) for c in columns)])
 
 
-def _parts_back(raw: bytes) -> tuple[int, np.ndarray, list[np.ndarray]]:
+def _parts_back(shards: Shards, raw: bytes) -> tuple[int, np.ndarray, list[np.ndarray]]:
     kind, n = struct.unpack_from("<II", raw)
     keys, *columns = _parted(raw[8:], n + 1)
-    z = zstandard.ZstdDecompressor()
-    return kind, np.frombuffer(keys, "<u8"), [np.frombuffer(z.decompress(c), "<i8") for c in columns]
+    return kind, shards.words_of(keys), [_unplaned(c, 8).astype(np.int64) for c in columns]
 
 
 def _table(kind: int, shard: int, bits: int, keys: np.ndarray, columns: list[np.ndarray], facts: tuple[int, ...]) -> bytes:
@@ -228,29 +245,33 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield pieces
 
 
-def frequent_words(docs: DataFrame, bits: int) -> dict[int, int]:
-    """Words with more than the mean shard's share of all tokens, and over how many shards to spread each.
+def survey(docs: DataFrame, bits: int) -> Shards:
+    """The words to spread over several shards, and those that blocks name by rank.
 
-    A task reports words that hold half that share of a part of its tokens. What a word has in
-    other parts is less than half a share of all, so half a share among what is reported keeps
-    every such word, and at most twice as many words as there are shards pass the test.
+    A word with more than the mean shard's share of all tokens is spread. A task reports words
+    that hold half that share of a part of its tokens. What a word has in other parts is less
+    than half a share of all, so half a share among what is reported keeps every such word, and
+    at most twice as many words as there are shards pass the test. Tasks propose common words,
+    too, of which the ``_COMMON`` most frequent are taken.
     """
     half = 2 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _flushes(batches):
             words, n = np.unique(np.concatenate([p[2:] for p in pieces]), return_counts=True)
-            top = n * half >= n.sum()
+            top = (n * half >= n.sum()) | (n >= _PROPOSED)
             yield pa.RecordBatch.from_pydict({"word": pa.array([None, *words[top].tolist()], pa.int64()), "n": pa.array([int(n.sum()), *n[top].tolist()], pa.int64())})
 
     sums = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
     try:
         total = sum(r["n"] for r in sums.filter("word is null").collect())
         top = sums.filter(F.col("n") * half >= (total or 1)).filter("word is not null").collect()
-        # an end token is never in the middle, but a start mark is, once for each end
-        return {_START if r["word"] == _END else r["word"]: -(-(2 * r["n"] + (total >> bits)) * (1 << bits) // (2 * total)) for r in top}
+        common = [r["word"] for r in sums.filter("word is not null").orderBy(F.desc("n"), "word").limit(_COMMON).collect()]
     finally:
         sums.unpersist()
+    # an end token is never in the middle, but a start mark is, once for each end
+    ways = {_START if r["word"] == _END else r["word"]: -(-(2 * r["n"] + (total >> bits)) * (1 << bits) // (2 * total)) for r in top}
+    return Shards(bits, ways, common)
 
 
 def _count(docs: DataFrame, shards: Shards) -> DataFrame:
@@ -258,8 +279,8 @@ def _count(docs: DataFrame, shards: Shards) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _flushes(batches):
-            words, at, n = np.unique(np.concatenate(pieces), return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")
+            words, at = np.unique(np.concatenate(pieces), return_inverse=True)
+            order, ranks = shards.ordered(words)
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             words, at = words[order], rank[at]
@@ -275,7 +296,7 @@ def _count(docs: DataFrame, shards: Shards) -> DataFrame:
             shard, v, w, u, counts = (x[order] for x in (shard, v, w, u, counts))
             start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             for s, e in zip(start, np.append(start[1:], len(shard)), strict=True):
-                block = pack(words, v[s:e], w[s:e], u[s:e], counts[s:e])
+                block = pack(shards, words, ranks, v[s:e], w[s:e], u[s:e], counts[s:e])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[s])], pa.int64()), "block": pa.array([block], pa.binary())})
 
     return docs.mapInArrow(run, "shard long, block binary")
@@ -295,7 +316,7 @@ def _followers(n: np.ndarray) -> list[np.ndarray]:
 def _trigram_shard(shards: Shards):
     def add(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        rows = [unpack(b) for b in table["block"].to_pylist()]
+        rows = [unpack(shards, b) for b in table["block"].to_pylist()]
         u, v, w, c = (np.concatenate([r[k] for r in rows]) for k in range(4))
         del rows
         at_shard = np.uint64(shard)
@@ -310,7 +331,7 @@ def _trigram_shard(shards: Shards):
         order = np.argsort(keys, kind="stable")
         out.append(("contexts", _table(1, shard, shards.bits, keys[order], [x[whole][order] for x in sums], ())))
         if not whole.all():
-            out.append(("parts", _parts(1, contexts[~whole], [x[~whole] for x in sums])))
+            out.append(("parts", _parts(shards, 1, contexts[~whole], [x[~whole] for x in sums])))
         pairs, (before,), place = summed(shards.key(at_shard, mixed(v, w)), [np.ones(len(v), np.int64)])
         out.append(("pairs", _table(2, shard, shards.bits, pairs, [before], counts_of_counts(before))))
         # what the second words give to their own shards, and the middle words' followers to theirs
@@ -321,7 +342,7 @@ def _trigram_shard(shards: Shards):
         none = [np.zeros(len(middle), np.int64)] * 2, [np.zeros(len(last), np.int64)] * 4
         columns = [np.concatenate(x) for x in zip([preceding, seen, *none[1]], [*none[0], *sums], strict=True)]
         words, columns, _ = summed(np.concatenate([last, middle]), columns)
-        out.append(("parts", _parts(0, words, columns)))
+        out.append(("parts", _parts(shards, 0, words, columns)))
         return pa.Table.from_pydict({"kind": [k for k, _ in out], "part": pa.array([_framed(k, p) for k, p in out], pa.binary())})
 
     return add
@@ -331,7 +352,7 @@ def _framed(kind: str, part: bytes) -> bytes:
     return struct.pack("<Q", len(part)) + part if kind == "parts" else part
 
 
-def _split_parts(bits: int):
+def _split_parts(shards: Shards):
     """Blocks of additive rows by their keys' shard, from the files of the first step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,25 +361,25 @@ def _split_parts(bits: int):
                 at = 0
                 while at < len(content):
                     size = struct.unpack_from("<Q", content, at)[0]
-                    kind, keys, columns = _parts_back(content[at + 8 : at + 8 + size])
+                    kind, keys, columns = _parts_back(shards, content[at + 8 : at + 8 + size])
                     at += 8 + size + len(SEPARATOR)
-                    shard = keys >> np.uint64((64 if kind else _BITS) - bits)
+                    shard = keys >> np.uint64((64 if kind else _BITS) - shards.bits)
                     order = np.argsort(shard, kind="stable")
                     shard, keys, columns = shard[order], keys[order], [c[order] for c in columns]
                     start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
                     for s, e in zip(start, np.append(start[1:], len(keys)), strict=True):
-                        block = _parts(kind, keys[s:e], [c[s:e] for c in columns])
+                        block = _parts(shards, kind, keys[s:e], [c[s:e] for c in columns])
                         yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[s])], pa.int64()), "block": pa.array([block], pa.binary())})
 
     return run
 
 
-def _parts_shard(bits: int):
+def _parts_shard(shards: Shards):
     def add(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         rows: dict[int, list] = {0: [], 1: []}
         for b in table["block"].to_pylist():
-            kind, keys, columns = _parts_back(b)
+            kind, keys, columns = _parts_back(shards, b)
             rows[kind].append((keys, columns))
         out = []
         for kind, parts in rows.items():
@@ -366,11 +387,11 @@ def _parts_shard(bits: int):
                 continue
             keys, columns, _ = summed(np.concatenate([p[0] for p in parts]), [np.concatenate(c) for c in zip(*(p[1] for p in parts), strict=True)])
             if kind:
-                out.append(("split_contexts", _table(4, shard, bits, keys, columns, ())))
+                out.append(("split_contexts", _table(4, shard, shards.bits, keys, columns, ())))
             else:
                 before = columns[0]
                 facts = (int((before > 0).sum()), int(before.sum()), *counts_of_counts(before), int((before >= 3).sum()))
-                out.append(("words", _table(3, shard, bits, keys, columns, facts)))
+                out.append(("words", _table(3, shard, shards.bits, keys, columns, facts)))
         return pa.Table.from_pydict({"kind": [k for k, _ in out], "part": pa.array([p for _, p in out], pa.binary())})
 
     return add
@@ -381,12 +402,12 @@ def count_model(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
     small_batches(spark)
     rows = docs.select(F.col(text).alias("text"))
     bits = max(6, (2 * max(1, rows.rdd.getNumPartitions()) - 1).bit_length())
-    shards = Shards(bits, frequent_words(rows, bits))
+    shards = survey(rows, bits)
     path = new_path(spark, "lm")
     _written(spark, _count(rows, shards).groupBy("shard").applyInArrow(_trigram_shard(shards), "kind string, part binary"), f"{path}/a")
     if _exists(spark, f"{path}/a/kind=parts"):
         files = spark.read.format("binaryFile").load(f"{path}/a/kind=parts").filter("length > 0").select("content")
-        added = files.mapInArrow(_split_parts(bits), "shard long, block binary").groupBy("shard").applyInArrow(_parts_shard(bits), "kind string, part binary")
+        added = files.mapInArrow(_split_parts(shards), "shard long, block binary").groupBy("shard").applyInArrow(_parts_shard(shards), "kind string, part binary")
         _written(spark, added, f"{path}/b")
         remove_path(spark, f"{path}/a/kind=parts")
     return path, shards
