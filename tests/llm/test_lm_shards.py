@@ -15,6 +15,7 @@ def docs(tmp_path, spark):
     names = ["the"] * 30 + ["of", "a"] * 10 + [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(names) for _ in range(rng.randrange(0, 60)))) for i in range(150)]
     rows += [(1000, "the the the"), (1000, "the the the"), (1001, ""), (1003, "The OF\tthe a\x0bof")]
+    rows += [(1004, " ".join(f"{rng.choice(names)}{rng.randrange(99)}" for _ in range(250_000))), (1005, None)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path), rows
 
