@@ -216,11 +216,14 @@ def counts_of_counts(c: np.ndarray) -> tuple[int, ...]:
 
 
 def discounts(n: tuple[int, ...]) -> np.ndarray:
-    """D for counts 0, 1, 2 and 3 or more, kept within 0 and the count."""
-    n1, n2, n3, n4 = n
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    raw = [0.0] + [k - (k + 1) * y * b / a if a else 0.0 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([min(max(d, 0.0), float(k)) for k, d in enumerate(raw)])
+    """D for counts 0, 1, 2 and 3 or more: the usual estimate, or half the count where that isn't between 0 and the count.
+
+    So each context leaves something to its unseen words, also where few counts are 1, as in a
+    table of copies, and no probability is 0.
+    """
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0 for k in (1, 2, 3)]
+    return np.array([0.0] + [d if 0 < d < k else k / 2 for k, d in enumerate(raw, 1)])
 
 
 def _pieces(text: str | None) -> Iterator[np.ndarray]:

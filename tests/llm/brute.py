@@ -105,7 +105,8 @@ def lm_rows(docs):
     def d(counts):
         n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
-        return [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0, 0), k) for k in (1, 2, 3)]
+        raw = {k: k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0 for k in (1, 2, 3)}
+        return [0] + [x if 0 < x < k else k / 2 for k, x in raw.items()]
 
     def contexts(counts):
         total, followers = Counter(), defaultdict(Counter)
