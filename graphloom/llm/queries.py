@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, embedding_dups, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, token_files
+from graphloom.llm import chat, decontaminate, embedding_dups, fill_middle, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, token_files
 from graphloom.llm.common import id_crc, new_path, small_batches, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -89,10 +89,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-the-middle form, and rebuilt from it."""
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_token_files, op4_embedding_near_dups, op5_chat_format, op6_source_mix, op7_lm_score, op8_html_text, op9_ngram_join, op10_decontaminate,
+        op12_fill_in_middle,
     )
 }
 
@@ -127,5 +135,15 @@ hi as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) a
 select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from dw left join hw using (doc_id) left join hi using (doc_id)
+""",
+    "op12_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select *, len(u)::bigint as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form,
+  least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from h),
+p as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from f)
+select doc_id, n, form, case when form != 'plain' then length(p)::bigint end as prefix_chars, case when form != 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else t end) as output_sha256, sha256(t) as restored_sha256
+from p
 """,
 }

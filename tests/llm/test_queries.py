@@ -98,4 +98,4 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_no_hidden_limits():
-    assert len(QUERIES) == 10 and all(os.path.basename(f.__code__.co_filename) == "queries.py" for f in QUERIES.values())
+    assert len(QUERIES) == 13 and all(os.path.basename(f.__code__.co_filename) == "queries.py" for f in QUERIES.values())
