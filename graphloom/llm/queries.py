@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, embedding_dups, fill_middle, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, token_files
+from graphloom.llm import chat, decontaminate, embedding_dups, fill_middle, hard_negatives, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, token_files
 from graphloom.llm.common import id_crc, new_path, small_batches, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -89,6 +89,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score just below an anchor's positives, over whole numbers made of all embeddings."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+    def whole(x: Column) -> Column:
+        y = 256 * x.cast("double")
+        # from 2^53 on a double is whole; the bound also keeps what isn't a number
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label, vector=F.transform("embedding", whole))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in its fill-in-the-middle form, and rebuilt from it."""
     out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -100,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_token_files, op4_embedding_near_dups, op5_chat_format, op6_source_mix, op7_lm_score, op8_html_text, op9_ngram_join, op10_decontaminate,
-        op12_fill_in_middle,
+        op11_hard_negatives, op12_fill_in_middle,
     )
 }
 
