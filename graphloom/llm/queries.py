@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, embedding_dups, fill_middle, hard_negatives, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, token_files
+from graphloom.llm import chat, decontaminate, embedding_dups, fill_middle, hard_negatives, html_text, language_id, mixing, ngram_join, ngram_lm, secrets, substring_dups, token_files
 from graphloom.llm.common import id_crc, new_path, small_batches, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -108,11 +108,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that windows of 50 words repeat from earlier documents."""
+    out = substring_dups.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", substring_dups.n_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_token_files, op4_embedding_near_dups, op5_chat_format, op6_source_mix, op7_lm_score, op8_html_text, op9_ngram_join, op10_decontaminate,
-        op11_hard_negatives, op12_fill_in_middle,
+        op11_hard_negatives, op12_fill_in_middle, op13_substring_dedup,
     )
 }
 
