@@ -1,22 +1,34 @@
 """Communities by modularity, and a planted-partition graph to try them on.
 
-Local moving in rounds over DataFrames: every node weighs the communities around it, the
-nodes of one hash class move at once (so two neighbours seldom swap places), and a round that
-doesn't raise modularity ends its level; the communities then become the nodes of the next
-level. Work per round is one equi-join of the links and grouped sums, combined before their
-shuffle; no community or hub is gathered in one place.
+Links get numbered ends. As long as there are more links than one task may hold, rounds of
+contraction halve the graph: every node weighs its links by the gain in modularity of joining
+the two ends, a hash deals nodes into heads and tails, and a tail joins its best neighbour if
+that is a head. A round is a grouped maximum and two equi-joins of the links, combined before
+their shuffles, and no hub is gathered; as each one leaves fewer links, all rounds together cost
+little more than the first. The small graph that remains is finished in one task, by moving
+single nodes while modularity rises, and the same again with the communities as nodes. If there
+were rounds of contraction, nodes of the whole graph are then moved once more where that raises
+modularity. No number of rounds is fixed: each part ends when nothing improves.
 
 Defined cases: a node without links is a community of its own, loops count in a node's weight
-only, ties go to the least label, and an empty graph gives no rows.
+only, parallel links add up, ties go to the least label, and an empty graph gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import Graph
-from graphloom.plans.session import cut, number_rows
+from graphloom.plans.session import number_rows, released, stored
+
+#: Links (each from both ends) that one task may hold.
+ONE_TASK = 4_000_000
+_EPS = 1e-9
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -38,12 +50,89 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return _modularity(_links(edges), membership.select("id", F.col("community").alias("c")))
 
 
-def _moved(links: DataFrame, weights: DataFrame, of: DataFrame, total: float, turn: int) -> DataFrame:
-    """One round: nodes of this turn's hash class go to the community around them with the greatest gain."""
-    sums = of.join(weights, "id").groupBy("c").agg(F.sum("k").alias("sum"))
-    toward = links.filter("a != b").join(of.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
-    own = of.select("id", "c", F.lit(0.0).alias("w"))
-    choices = toward.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(weights, "id").join(of.select("id", F.col("c").alias("now")), "id")
+def _sweeps(near: list[list[tuple[int, float]]], k: list[float], total: float) -> list[int]:
+    """Each node's community: single nodes move to the neighbouring community of greatest gain until none improves."""
+    of, sums, moved = list(range(len(k))), list(k), True
+    while moved:
+        moved = False
+        for v, links in enumerate(near):
+            toward: dict[int, float] = defaultdict(float)
+            for u, w in links:
+                toward[of[u]] += w
+            own = of[v]
+            sums[own] -= k[v]
+            best, most = own, toward.get(own, 0.0) - k[v] * sums[own] / total
+            for c, w in toward.items():
+                gain = w - k[v] * sums[c] / total
+                if gain > most + _EPS or (gain > most - _EPS and c < best and best != own):
+                    best, most = c, gain
+            sums[best] += k[v]
+            if best != own:
+                of[v], moved = best, True
+    return of
+
+
+def _finished(table: pa.Table, total: float) -> pa.Table:
+    """(v, c) of a graph that one task holds: sweeps, then sweeps over the communities, until nothing merges."""
+    ids, at = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+    a, b, w = at[: table.num_rows], at[table.num_rows :], table["w"].to_numpy()
+    k = np.zeros(len(ids))
+    k[a] = table["ka"].to_numpy()
+    c = np.arange(len(ids))
+    while True:
+        near: list[list[tuple[int, float]]] = [[] for _ in k]
+        for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+            near[x].append((y, z))
+        names, of = np.unique(_sweeps(near, k.tolist(), total), return_inverse=True)
+        if len(names) == len(k):
+            break
+        c, k = of[c], np.bincount(of, k)
+        a, b = of[a], of[b]
+        apart = a != b
+        pairs, place = np.unique(a[apart] * len(names) + b[apart], return_inverse=True)
+        a, b, w = pairs // len(names), pairs % len(names), np.bincount(place, w[apart], len(pairs))
+    least = np.full(len(k), np.iinfo(np.int64).max)
+    np.minimum.at(least, c, ids)
+    return pa.table({"v": ids, "c": least[c]})
+
+
+def _contracted(e: DataFrame, total: float, turn: int) -> tuple[DataFrame, DataFrame] | None:
+    """(v, to) of a round's moves and the links between what is left; None if no pair would gain by joining.
+
+    ``e`` has each link from both ends with the ends' weights: a, ka, b, kb, w.
+    """
+    gain = F.col("w") - F.col("ka") * F.col("kb") / total
+    picks = e.withColumn("gain", gain).filter(F.col("gain") > _EPS).groupBy("a", "ka").agg(F.min_by("b", F.struct(-F.round("gain", 9), F.col("b"))).alias("to"))
+    picks = stored(picks)
+    if picks.isEmpty():
+        released(picks)
+        return None
+
+    def head(c: str) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
+
+    moves = stored(picks.filter(~head("a") & head("to")).select(F.col("a").alias("v"), "to", "ka"))
+    released(picks)
+    grown = moves.groupBy(F.col("to").alias("v")).agg(F.sum("ka").alias("more"))
+    # where each end goes and what it weighs there; heads that grow weigh more
+    weights = e.select(F.col("a").alias("v"), F.col("ka").alias("k")).distinct().join(grown, "v", "left").select("v", (F.col("k") + F.coalesce("more", F.lit(0.0))).alias("k"))
+    places = weights.select("v", F.col("v").alias("own")).join(moves.select("v", "to"), "v", "left").select("v", F.coalesce("to", "own").alias("to"))
+    places = stored(places.join(weights.select(F.col("v").alias("to"), "k"), "to").select("v", "to", "k"))
+    first, second = (places.select(F.col("v").alias(x), F.col("to").alias(f"t{x}"), F.col("k").alias(f"n{x}")) for x in "ab")
+    left = e.join(first, "a").join(second, "b").filter("ta != tb").groupBy(F.col("ta").alias("a"), F.col("na").alias("ka"), F.col("tb").alias("b"), F.col("nb").alias("kb")).agg(F.sum("w").alias("w"))
+    left = stored(left.select("a", "ka", "b", "kb", "w"))
+    released(places)
+    return moves, left
+
+
+def _moved(e: DataFrame, of: DataFrame, total: float, turn: int) -> DataFrame:
+    """One round over all nodes: those of this turn's hash class go to the community around them with the greatest gain."""
+    weights = e.select(F.col("a").alias("id"), F.col("ka").alias("k")).distinct()
+    held = weights.join(of, "id")
+    sums = held.groupBy("c").agg(F.sum("k").alias("sum"))
+    toward = e.select(F.col("a").alias("id"), F.col("b"), "w").join(of.select(F.col("id").alias("b"), "c"), "b").groupBy("id", "c").agg(F.sum("w").alias("w"))
+    own = held.select("id", "c", F.lit(0.0).alias("w"))
+    choices = toward.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(held.select("id", "k", F.col("c").alias("now")), "id")
     stays = F.col("c") == F.col("now")
     gain = F.col("w") - F.col("k") * (F.col("sum") - F.when(stays, F.col("k")).otherwise(0.0)) / total
     # staying wins ties
@@ -52,34 +141,61 @@ def _moved(links: DataFrame, weights: DataFrame, of: DataFrame, total: float, tu
     return best.select("id", F.when(mine, F.col("best")).otherwise(F.col("now")).alias("c"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, *, levels: int = 3, rounds: int = 6, least_gain: float = 1e-3) -> DataFrame:
-    """(id, community), a community called by its least member; ``levels`` and ``rounds`` bound the effort, not the input."""
-    links = cut(_links(edges))
-    total = links.agg(F.sum("w")).first()[0]
-    found = cut(nodes.select("id", F.col("id").alias("c")).distinct())
-    if not total:
-        return found.withColumnRenamed("c", "community")
-    for level in range(levels):
-        weights = cut(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
-        of = weights.select("id", F.col("id").alias("c"))
-        start = best = _modularity(links, of)
-        idle = 0
-        for turn in range(rounds):
-            tried = cut(_moved(links, weights, of, total, level * rounds + turn))
-            q = _modularity(links, tried)
-            # a class that finds nothing leaves the other one its turn
-            idle = 0 if q > best + least_gain else idle + 1
-            if q > best:
-                of, best = tried, q
-            if idle == 2:
-                break
-        if best <= start + least_gain:
-            break
-        found = cut(found.join(of.select(F.col("id").alias("c"), F.col("c").alias("to")), "c", "left").select("id", F.coalesce("to", "c").alias("c")))
-        a, b = (of.select(F.col("id").alias(e), F.col("c").alias(f"c{e}")) for e in "ab")
-        links = cut(links.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    names = found.groupBy("c").agg(F.min("id").alias("community"))
-    return found.join(names, "c").select("id", "community")
+def communities(nodes: DataFrame, edges: DataFrame, *, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, community), a community called by its least member."""
+    ids = number_rows(nodes.select("id").distinct(), "id", name="v")
+    ids = stored(ids)
+    a, b = (ids.select(F.col("id").alias(end), F.col("v").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
+    every = stored(_links(edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    k = stored(every.groupBy("a").agg(F.sum("w").alias("ka")))
+    total = k.agg(F.sum("ka")).first()[0] or 0.0
+    whole = every.filter("a != b").join(k, "a").join(k.select(F.col("a").alias("b"), F.col("ka").alias("kb")), "b").select("a", "ka", "b", "kb", "w")
+    whole = e = stored(whole)
+    released(k, every)
+    of = stored(ids.select("v", F.col("v").alias("c")))
+    turn = 0
+    while (n := e.count()) > one_task and (step := _contracted(e, total, turn)):
+        moves, left = step
+        of, old = stored(of.join(moves.select(F.col("v").alias("c"), "to"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))), of
+        released(old, moves)
+        if e is not whole:
+            released(e)
+        e, turn = left, turn + 1
+    if n <= one_task:
+        done = e.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _finished(t, total), "v long, c long")
+        done = done.select(F.col("v").alias("c"), F.col("c").alias("to"))
+        of, old = stored(of.join(done, "c", "left").select("v", F.coalesce("to", "c").alias("c"))), of
+        released(old)
+    if e is not whole:
+        released(e)
+        of = _refined(whole, of, total)
+    released(whole)
+    # numbers are in order of the ids
+    names = of.groupBy("c").agg(F.min("v").alias("least")).join(ids.select(F.col("v").alias("least"), F.col("id").alias("community")), "least")
+    out = stored(of.join(names, "c").join(ids, "v").select("id", "community"))
+    released(of, ids)
+    return out
+
+
+def _refined(e: DataFrame, of: DataFrame, total: float) -> DataFrame:
+    """Memberships after rounds of moves over the whole graph, as long as two in a row bring something."""
+    links = e.select("a", "b", "w")
+    loops = e.select("a", "ka").distinct().join(e.groupBy("a").agg(F.sum("w").alias("out")), "a").select("a", F.col("a").alias("b"), (F.col("ka") - F.col("out")).alias("w")).filter(F.col("w") > _EPS)
+    links = stored(links.unionByName(loops))
+    best, turn, idle = _modularity(links, of.withColumnRenamed("v", "id")), 0, 0
+    while idle < 2:
+        moved = _moved(e, of.withColumnRenamed("v", "id"), total, turn).withColumnRenamed("id", "v")
+        tried = stored(of.join(moved.withColumnRenamed("c", "new"), "v", "left").select("v", F.coalesce("new", "c").alias("c")))
+        q = _modularity(links, tried.withColumnRenamed("v", "id"))
+        if q > best + 1e-4:
+            released(of)
+            of, best, idle = tried, q, 0
+        else:
+            released(tried)
+            idle += 1
+        turn += 1
+    released(links)
+    return of
 
 
 def numbered(membership: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.communities import communities, numbered
 from graphloom.operators.filters import induced
 from graphloom.operators.updates import collapse, regroup_edges
 from graphloom.plans.graph import Graph, primary_type
+from graphloom.plans.session import joined, released, stored
 
 
 def created(membership: DataFrame, group: str, ids: DataFrame) -> DataFrame:
@@ -22,11 +26,15 @@ def dissolved(membership: DataFrame, group: str) -> DataFrame:
 
 def nested(membership: DataFrame) -> DataFrame:
     """(group, id): memberships of nodes in all groups around their own, for groups that are members of groups."""
-    out = level = membership.select("group", "id")
     inner = membership.select(F.col("group").alias("via"), "id")
-    while not (level := level.select("group", F.col("id").alias("via")).join(inner, "via").select("group", "id").join(out, ["group", "id"], "left_anti").distinct()).isEmpty():
-        out = out.unionAll(level)
-    return out.distinct()
+    parts = [stored(membership.select("group", "id").distinct())]
+    while True:
+        seen = reduce(DataFrame.unionAll, parts)
+        level = stored(parts[-1].select("group", F.col("id").alias("via")).join(inner, "via").select("group", "id").distinct().join(seen, ["group", "id"], "left_anti"))
+        if level.isEmpty():
+            released(level)
+            return joined(parts)
+        parts = [*(parts if len(parts) < 8 else [joined(parts)]), level]
 
 
 def breakdown(nodes: DataFrame, membership: DataFrame) -> DataFrame:
@@ -71,11 +79,14 @@ def subgraph(graph: Graph, ids: DataFrame, most: int = 1500) -> tuple[Graph, boo
     return induced(graph, chosen.orderBy("ord", "id").limit(most)), truncated
 
 
-def collapse_above(graph: Graph, cluster: str, *, threshold: int = 2000, ceiling: int = 200) -> tuple[Graph, bool]:
-    """The graph itself up to ``threshold`` nodes, else its clusters by a property; and whether it was collapsed."""
+def collapse_above(graph: Graph, cluster: str | None = None, *, threshold: int = 2000, ceiling: int = 200) -> tuple[Graph, bool]:
+    """The graph itself up to ``threshold`` nodes, else its clusters by a property, or by modularity without one; and whether it was collapsed."""
     if graph.nodes.limit(threshold + 1).count() <= threshold:
         return graph, False
-    return collapse(graph, F.col(cluster), ceiling=ceiling), True
+    if cluster is not None:
+        return collapse(graph, F.col(cluster), ceiling=ceiling), True
+    own = numbered(communities(graph.nodes, graph.edges)).withColumnRenamed("cluster", "__cluster")
+    return collapse(Graph(graph.nodes.join(own, "id"), graph.edges), F.col("__cluster"), ceiling=ceiling), True
 
 
 def ranked_members(nodes: DataFrame, group: str, order: str, most: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.values import local_part
 from graphloom.plans.graph import Graph
-from graphloom.plans.session import cut
+from graphloom.plans.session import joined, released, stored
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -57,27 +57,32 @@ def fold_lists(t: DataFrame) -> DataFrame:
     """
     first = t.filter(F.col("p") == FIRST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("v"))
     rest = t.filter(F.col("p") == REST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("next"))
-    cells = cut(first.join(rest, "cell", "full_outer"))
+    cells = stored(first.join(rest, "cell", "full_outer"))
     n = cells.count()
-    jump = cut(cells.select("cell", F.col("next").alias("to")).join(cells.select(F.col("cell").alias("to")), "to", "left_semi").select("cell", "to"))
+    jump = stored(cells.select("cell", F.col("next").alias("to")).join(cells.select(F.col("cell").alias("to")), "to", "left_semi").select("cell", "to"))
     jumps = []
     while not jump.isEmpty() and 2 ** len(jumps) <= n:
         jumps.append(jump)
-        jump = cut(jump.select("cell", F.col("to").alias("over")).join(jump.select(F.col("cell").alias("over"), "to"), "over").select("cell", "to"))
+        jump = stored(jump.select("cell", F.col("to").alias("over")).join(jump.select(F.col("cell").alias("over"), "to"), "over").select("cell", "to"))
     # what can still go on after as many steps as there are cells goes round
     endless = jump.select("cell")
     outer = t.filter(~F.col("p").isin(FIRST, REST))
     heads = outer.join(first.select(F.col("cell").alias("o")), "o", "left_semi").groupBy(F.col("o").alias("cell")).agg(F.max_by(F.struct("s", "p"), "ord").alias("up"), F.max("ord").alias("ord"))
-    heads = cut(heads.join(endless, "cell", "left_anti"))
-    members = heads.select(F.col("cell").alias("head"), "cell", F.lit(0).cast("long").alias("pos"))
+    heads = stored(heads.join(endless, "cell", "left_anti"))
+    members = stored(heads.select(F.col("cell").alias("head"), "cell", F.lit(0).cast("long").alias("pos")))
     for k in range(len(jumps) - 1, -1, -1):
-        members = cut(members.unionAll(members.join(jumps[k], "cell").select("head", F.col("to").alias("cell"), (F.col("pos") + 2**k).alias("pos"))))
+        further = members.join(jumps[k], "cell").select("head", F.col("to").alias("cell"), (F.col("pos") + 2**k).alias("pos"))
+        members, old = stored(members.unionAll(further)), members
+        released(old, jumps[k])
     items = members.join(cells.select("cell", "v"), "cell").groupBy("head").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])).alias("vs"))
     done = heads.join(items, heads["cell"] == items["head"])
-    gone = cut(members.select("cell").distinct())
+    gone = members.select("cell").distinct()
     plain = outer.join(gone.withColumnRenamed("cell", "s"), "s", "left_anti").join(gone.withColumnRenamed("cell", "o"), "o", "left_anti")
     round_ = t.filter(F.col("p").isin(FIRST, REST)).join(endless.withColumnRenamed("cell", "s"), "s", "left_semi")
-    return plain.select(t.columns).unionByName(round_.select(t.columns)).unionByName(_literal(done, F.col("up.s"), F.col("up.p"), F.to_json("vs"), F.col("ord")))
+    out = plain.select(t.columns).unionByName(round_.select(t.columns)).unionByName(_literal(done, F.col("up.s"), F.col("up.p"), F.to_json("vs"), F.col("ord")))
+    out = stored(out)
+    released(cells, jump, heads, members)
+    return out
 
 
 def fold_statements(t: DataFrame) -> DataFrame:
@@ -116,9 +121,13 @@ def project(triples: DataFrame, steps: list[Step]) -> Graph:
         last = t.filter(named & (F.col("otype") == "literal")).groupBy(F.col("s").alias("id"), local_part(F.col("p")).alias("k")).agg(F.max_by("o", "ord").alias("v"))
         return last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
 
-    # each step reads its input several times, so its result is kept
-    triples = cut(triples)
-    stepped = reduce(lambda t, step: cut(step(t)), steps, triples)
+    # each step reads its input several times, so its result is kept until the next one is there
+    triples = stored(triples)
+    stepped = triples
+    for step in steps:
+        stepped, old = stored(step(stepped)), stepped
+        if old is not triples:
+            released(old)
     edges = stepped.filter(named & (F.col("otype") == "uri") & ~F.col("o").startswith("_:"))
     ids = triples.filter(named).select(F.col("s").alias("id")).unionAll(edges.select(F.col("o").alias("id"))).distinct()
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -158,50 +167,125 @@ def _is_builtin(p: Column) -> Column:
     return reduce(lambda a, b: a | b, (p.startswith(x) for x in _BUILTIN))
 
 
+#: So many axioms may be sent to every executor; more are joined by a shuffle.
+_AXIOMS = 200_000
+
+
+def _closed(pairs: DataFrame, through: Column | None = None) -> DataFrame:
+    """(a, b): what ``b`` can be reached from ``a``, not a itself, in as many rounds as the longest way has doublings; ``through`` limits the places between."""
+    known = new = stored(pairs.select("a", "b").filter("a != b").distinct())
+    while not new.isEmpty():
+        inner = (lambda df: df) if through is None else (lambda df: df.filter(through))
+        ways = [inner(x.select("a", F.col("b").alias("m"))).join(y.select(F.col("a").alias("m"), "b"), "m") for x, y in ((new, known), (known, new))]
+        fresh = reduce(DataFrame.unionAll, (w.select("a", "b") for w in ways)).filter("a != b").distinct().join(known, ["a", "b"], "left_anti")
+        fresh = stored(fresh)
+        whole = stored(known.unionAll(fresh))
+        released(*{x._stored_at: x for x in (known, new)}.values())
+        known, new = whole, fresh
+    released(new) if new is not known else None
+    return known
+
+
+class _Axioms:
+    """The classes' and properties' axioms among some triples, closed, as small tables."""
+
+    #: What axioms are made of.
+    KEYS = tuple(f"{RDFS}{k}" for k in ("subClassOf", "subPropertyOf", "domain", "range")) + tuple(f"{OWL}{k}" for k in ("equivalentClass", "inverseOf"))
+    KINDS = (f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty")
+
+    def __init__(self, known: DataFrame) -> None:
+        own = stored(known.filter(self.among()).select("s", "p", "o"))
+        n = own.count()
+
+        def of(p: str, a: str, b: str) -> DataFrame:
+            return own.filter(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
+
+        equal = of(f"{OWL}equivalentClass", "a", "b")
+        self.same = equal.filter("a = b")
+        self.sub = _closed(of(f"{RDFS}subClassOf", "a", "b").unionAll(equal).unionAll(equal.select("b", "a")))
+        # a property between two others hands on only what it states itself, and builtin ones state nothing
+        above = _closed(of(f"{RDFS}subPropertyOf", "a", "b"), ~_is_builtin(F.col("m")))
+        inverse = of(f"{OWL}inverseOf", "p", "q")
+        kind = own.filter(F.col("p") == TYPE)
+        self._steps = [own, self.sub, above]
+        small = F.broadcast if n <= _AXIOMS and max(self.sub.count(), above.count()) <= _AXIOMS else (lambda df: df)
+        self.sub_of, self.above = small(self.sub), small(above.select(F.col("a").alias("p"), F.col("b").alias("q")))
+        self.domain, self.range = small(of(f"{RDFS}domain", "p", "c").distinct()), small(of(f"{RDFS}range", "p", "c").distinct())
+        self.inverse = small(inverse.unionAll(inverse.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct())
+        self.symmetric, self.transitive = (small(kind.filter(F.col("o") == k).select(F.col("s").alias("p")).distinct()) for k in self.KINDS)
+
+    @classmethod
+    def among(cls) -> Column:
+        return F.col("p").isin(*cls.KEYS) | ((F.col("p") == TYPE) & F.col("o").isin(*cls.KINDS))
+
+    def lacks(self, triples: DataFrame) -> bool:
+        """Whether some triples are axioms that aren't in the closure yet."""
+        subclass = F.col("p") == f"{RDFS}subClassOf"
+        known = self.sub.select(F.col("a").alias("s"), F.col("b").alias("o"))
+        return not triples.filter(self.among()).join(known.withColumn("p", F.lit(f"{RDFS}subClassOf")), ["s", "p", "o"], "left_anti").filter(~subclass | (F.col("s") != F.col("o"))).isEmpty()
+
+    def release(self) -> None:
+        released(*self._steps)
+
+
 def infer(triples: DataFrame, passes: int | None = None) -> DataFrame:
     """New triples (s, p, o) by RDFS-plus rules, pass by pass until nothing is new, or an error after ``passes``.
 
     Subclass and subproperty closure, type inheritance, equivalent classes, domain, range,
-    inverse, symmetric and transitive properties.
+    inverse, symmetric and transitive properties. The axioms are closed first; a pass then joins
+    only the last pass's new triples with them and, for transitive properties, with all known
+    triples from both sides, so a chain's length doubles with each pass. A pass that brings new
+    axioms closes them anew and starts over from all triples.
     """
-    known = cut(triples.select("s", "p", "o", (F.col("otype") != "literal").alias("iri")).distinct())
-    base, done = known, 0
+    def made(df: DataFrame, s: str, p: Column | str, o: str, iri: Column | None = None) -> DataFrame:
+        return df.select(F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"), (iri if iri is not None else F.lit(True)).alias("iri"))
+
+    start = stored(triples.select("s", "p", "o", (F.col("otype") != "literal").alias("iri")).distinct())
+    parts, delta, rules, done = [start], start, None, 0
     while True:
         if passes is not None and done >= passes:
             raise RuntimeError(f"inference isn't finished after {passes} passes")
         done += 1
+        known = reduce(DataFrame.unionByName, parts)
+        if rules is None or rules.lacks(delta):
+            if rules is not None:
+                rules.release()
+            rules, delta = _Axioms(known), known
+            closure = [made(df, "a", f"{RDFS}subClassOf", "b") for df in (rules.sub, rules.same)]
+        else:
+            closure = []
+
+        facts = delta.filter(~_is_builtin(F.col("p")))
+        links = facts.filter("iri")
+        types = delta.filter(F.col("p") == TYPE).select(F.col("s").alias("x"), F.col("o").alias("a"))
+        here, all_ = (df.filter(~_is_builtin(F.col("p")) & F.col("iri")).join(rules.transitive, "p", "left_semi") for df in (delta, known))
 
-        def of(p: str, a: str, b: str, known: DataFrame = known) -> DataFrame:
-            return known.filter(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
-
-        def made(df: DataFrame, s: str, p: Column | str, o: str, iri: Column | None = None) -> DataFrame:
-            return df.select(F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"), (iri if iri is not None else F.lit(True)).alias("iri"))
+        def hop(first: DataFrame, second: DataFrame) -> DataFrame:
+            way = first.select("p", "s", F.col("o").alias("m")).join(second.select("p", F.col("s").alias("m"), "o"), ["p", "m"])
+            return made(way.filter("s != o"), "s", F.col("p"), "o")
 
-        sub, subp, types = of(f"{RDFS}subClassOf", "a", "b"), of(f"{RDFS}subPropertyOf", "p", "q"), of(TYPE, "x", "a")
-        equal = of(f"{OWL}equivalentClass", "a", "b")
-        facts = known.filter(~_is_builtin(F.col("p")))
-        links = facts.filter("iri")
-        kind = types.select(F.col("x").alias("p"), "a")
-        symmetric, transitive = (kind.filter(F.col("a") == OWL + k).select("p") for k in ("SymmetricProperty", "TransitiveProperty"))
-        inverse = of(f"{OWL}inverseOf", "p", "q")
-        inverse = inverse.unionAll(inverse.select(F.col("q").alias("p"), F.col("p").alias("q")))
-        hop = links.join(transitive, "p")
         new = [
-            made(sub.join(sub.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").filter("a != c"), "a", f"{RDFS}subClassOf", "c"),
-            made(equal, "a", f"{RDFS}subClassOf", "b"), made(equal, "b", f"{RDFS}subClassOf", "a"),
-            made(types.join(sub, "a"), "x", TYPE, "b"),
-            made(facts.join(subp, "p"), "s", F.col("q"), "o", F.col("iri")),
-            made(facts.join(of(f"{RDFS}domain", "p", "c"), "p"), "s", TYPE, "c"),
-            made(links.join(of(f"{RDFS}range", "p", "c"), "p"), "o", TYPE, "c"),
-            made(links.join(inverse, "p"), "o", F.col("q"), "s"),
-            made(links.join(symmetric, "p"), "o", F.col("p"), "s"),
-            made(hop.select("p", "s", F.col("o").alias("m")).join(hop.select("p", F.col("s").alias("m"), "o"), ["p", "m"]).filter("s != o"), "s", F.col("p"), "o"),
+            made(types.join(rules.sub_of, "a"), "x", TYPE, "b"),
+            made(facts.join(rules.above, "p"), "s", F.col("q"), "o", F.col("iri")),
+            made(facts.join(rules.domain, "p"), "s", TYPE, "c"),
+            made(links.join(rules.range, "p"), "o", TYPE, "c"),
+            made(links.join(rules.inverse, "p"), "o", F.col("q"), "s"),
+            made(links.join(rules.symmetric, "p", "left_semi"), "o", F.col("p"), "s"),
+            hop(here, all_), hop(all_, here), *closure,
         ]
-        fresh = cut(reduce(DataFrame.unionAll, new).distinct().join(known, ["s", "p", "o"], "left_anti"))
+        fresh = stored(reduce(DataFrame.unionAll, new).distinct().join(known, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
+            released(fresh)
             break
-        known = cut(known.unionByName(fresh))
-    return known.join(base, ["s", "p", "o"], "left_anti").select("s", "p", "o").distinct()
+        parts.append(fresh)
+        delta = fresh
+        if len(parts) > 8:
+            parts = [start, joined(parts[1:-1]), fresh]
+    rules.release()
+    empty = start.limit(0)
+    out = stored(reduce(DataFrame.unionByName, parts[1:], empty).select("s", "p", "o").distinct())
+    released(*parts)
+    return out
 
 
 def kinds(triples: DataFrame) -> DataFrame:

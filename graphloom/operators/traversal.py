@@ -1,12 +1,17 @@
-"""Breadth-first operators: frontier joins with checkpoints, so a loop's plan stays short."""
+"""Breadth-first operators: frontier joins whose steps are stored, so a loop's plan stays short."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.aggregates import both_ends
-from graphloom.plans.session import cut, number_rows
+from graphloom.plans.session import joined, number_rows, released, stored
 
 
 def _steps(edges: DataFrame, directed: bool, types: list[str] | None) -> DataFrame:
@@ -17,26 +22,39 @@ def _steps(edges: DataFrame, directed: bool, types: list[str] | None) -> DataFra
 
 #: A frontier of at most so many ids is sent to every executor; a larger one is joined by a shuffle.
 _FEW = 200_000
+#: Steps of a loop that are read side by side before they are written as one.
+_PARTS = 8
 
 
 def _onto(steps: DataFrame, frontier: DataFrame, on: str = "id") -> DataFrame:
-    few = frontier.limit(_FEW + 1).count() <= _FEW
-    return steps.join(F.broadcast(frontier) if few else frontier, on)
+    """``steps`` from a stored frontier, whose files tell its size."""
+    return steps.join(F.broadcast(frontier) if frontier.count() <= _FEW else frontier, on)
+
+
+def _levels(start: DataFrame, grow: Callable[[DataFrame, DataFrame, int], DataFrame], depth: int | None, end: Callable[[DataFrame], bool] = lambda _: False) -> DataFrame:
+    """Rows found level by level (``depth`` names the level): ``grow`` makes the next ones from the last ones and all before, until there are none."""
+    parts, level = [stored(start)], 0
+    while (depth is None or level < depth) and not end(parts[-1]):
+        if len(parts) > _PARTS:
+            parts = [joined(parts)]
+        last, level = parts[-1].filter(F.col("depth") == level), level + 1
+        new = stored(grow(last, reduce(DataFrame.unionByName, parts), level))
+        if new.isEmpty():
+            released(new)
+            break
+        parts.append(new)
+    return joined(parts)
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int | None = None, *, directed: bool = False, types: list[str] | None = None) -> DataFrame:
     """(id, depth) of all nodes within ``depth`` steps of the start ids, these at depth 0."""
     steps = _steps(edges, directed, types)
-    seen = frontier = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
-    level = 0
-    while depth is None or level < depth:
-        level += 1
-        new = _onto(steps, frontier.select("id")).select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = cut(new.withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionAll(frontier)) if level % 4 == 0 else seen.unionAll(frontier)
-    return seen
+
+    def grow(last: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+        new = _onto(steps, last.select("id")).select(F.col("other").alias("id")).distinct()
+        return new.join(seen, "id", "left_anti").withColumn("depth", F.lit(level))
+
+    return _levels(start.select("id").distinct().withColumn("depth", F.lit(0)), grow, depth)
 
 
 def neighbors(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,19 +69,18 @@ def shortest_path(edges: DataFrame, source: str, target: str, *, max_hops: int |
     """
     spark = edges.sparkSession
     steps = _steps(edges, directed, types)
-    seen = frontier = spark.createDataFrame([(source, None, 0)], "id string, parent string, depth int")
-    level = 0
-    while (max_hops is None or level < max_hops) and frontier.filter(F.col("id") == target).isEmpty():
-        level += 1
-        new = _onto(steps, frontier.select("id")).groupBy("other").agg(F.min("id").alias("parent"))
-        frontier = cut(new.select(F.col("other").alias("id"), "parent", F.lit(level).alias("depth")).join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionAll(frontier))
+
+    def grow(last: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+        new = _onto(steps, last.select("id")).groupBy("other").agg(F.min("id").alias("parent"))
+        return new.select(F.col("other").alias("id"), "parent", F.lit(level).alias("depth")).join(seen, "id", "left_anti")
+
+    start = spark.createDataFrame([(source, None, 0)], "id string, parent string, depth int")
+    seen = _levels(start, grow, max_hops, lambda level: not level.filter(F.col("id") == target).isEmpty())
     path, at = [], target
     while at is not None and (row := seen.filter(F.col("id") == at).first()):
         path.append((row["depth"], at))
         at = row["parent"]
+    released(seen)
     return spark.createDataFrame(path[::-1], "step int, id string")
 
 
@@ -91,32 +108,96 @@ def simple_paths(edges: DataFrame, start: DataFrame, max_depth: int, *, ends: Da
     return result
 
 
+def paths_of_length(edges: DataFrame, sources: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
+    """(path): undirected paths of exactly ``steps`` steps from a source to a target, no node twice; parallel edges count once.
+
+    Half paths grow from both ends and meet in the middle, so none is longer than half the way.
+    """
+    links = both_ends(edges).filter("id != other").distinct()
+
+    def grown(ends: DataFrame, far: int) -> DataFrame:
+        out = ends.select("id").distinct().select(F.col("id").alias("at"), F.array("id").alias("path"))
+        for _ in range(far):
+            step = out.join(links, out["at"] == links["id"]).filter(~F.array_contains("path", F.col("other")))
+            out = step.select(F.col("other").alias("at"), F.concat("path", F.array("other")).alias("path"))
+        return out
+
+    there, back = grown(sources, (steps + 1) // 2), grown(targets, steps // 2)
+    back = back.select("at", F.slice(F.reverse("path"), F.lit(2), F.lit(max(steps, 1))).alias("rest"))
+    met = there.join(back, "at").filter(~F.arrays_overlap("path", "rest"))
+    return met.select(F.concat("path", "rest").alias("path"))
+
+
+#: Links that are contracted together in a task.
+_CONTRACTED = 1_000_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) with v < u, a bounded number at a time, as links of each node to the least one they connect it with."""
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        u, v = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("u", "v"))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            # a node's root takes the least root around it, then all nodes go to their root's root
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"u": ids[some], "v": ids[root[some]]})
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= _CONTRACTED:
+            yield stars()
+    if held:
+        yield stars()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, by large-star and small-star rounds.
+    """(id, component): the least id reachable, by large-star and small-star rounds over numbered ids.
 
-    A round is a grouped minimum, combined before its shuffle, and an equi-join; links come to
-    hang on the least id, and no component or hub is gathered in one place.
+    Each task first contracts its own links, a bounded number at a time. A round is then a grouped
+    minimum, combined before its shuffle, and an equi-join; links come to hang on the least id,
+    and no component or hub is gathered in one place.
     """
-    e = cut(edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("u")).filter("u != v").distinct())
+    links = edges.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).filter("low != high").distinct()
+    ends = links.select(F.explode(F.array("low", "high")).alias("id")).distinct()
+    # numbers are in order of the ids, so the least number is that of the least id
+    named = stored(number_rows(ends, "id"))
+    low, high = (named.select(F.col("id").alias(c), F.col("n").alias(v)) for c, v in (("low", "v"), ("high", "u")))
+    e = stored(links.join(low, "low").join(high, "high").select("u", "v").mapInArrow(_contracted, "u long, v long").distinct())
     before = None
     while True:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = cut(small.filter("u != v").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        e, old = stored(small.filter("u != v").distinct()), e
+        released(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now[0] == now[2] and now == before:
             break
         before = now
-    of = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    least = named.select(F.col("n").alias("v"), F.col("id").alias("component"))
+    of = stored(e.join(least, "v").join(named.select("id", F.col("n").alias("u")), "u").select("id", "component"))
+    released(e, named)
     return nodes.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with components numbered from 0, the largest first, then by least id."""
-    of = cut(components(nodes, edges))
+    of = stored(components(nodes, edges))
     sizes = number_rows(of.groupBy(F.col("component").alias("least")).agg(F.count(F.lit(1)).alias("size")), F.desc("size"), "least")
     return of.join(sizes, of["component"] == sizes["least"]).select("id", (F.col("n") - 1).alias("component"))
 
@@ -124,16 +205,12 @@ def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def tree_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth, parent) of a spanning tree: each node hangs on its least parent at the first depth reached."""
     out = edges.select(F.col("src").alias("parent"), F.col("dst").alias("id")).distinct()
-    seen = frontier = cut(roots.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    level = 0
-    while max_depth is None or level < max_depth:
-        level += 1
-        new = _onto(out, frontier.select(F.col("id").alias("parent")), "parent").join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("parent").alias("parent"))
-        frontier = cut(new.select("id", F.lit(level).alias("depth"), "parent"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionAll(frontier)) if level % 8 == 0 else seen.unionAll(frontier)
-    return seen
+
+    def grow(last: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+        new = _onto(out, last.select(F.col("id").alias("parent")), "parent").join(seen.select("id"), "id", "left_anti")
+        return new.groupBy("id").agg(F.min("parent").alias("parent")).select("id", F.lit(level).alias("depth"), "parent")
+
+    return _levels(roots.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), grow, max_depth)
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -144,17 +221,13 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def breadcrumbs(edges: DataFrame, ids: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth, ancestor): up the first incoming edge of each node, with a guard against cycles."""
     up = edges.groupBy(F.col("dst").alias("at")).agg(F.min_by("src", "id").alias("up"))
-    now = ids.select("id", F.col("id").alias("at"), F.array("id").alias("seen"))
-    out = ids.select("id", F.lit(0).alias("depth"), F.col("id").alias("ancestor"))
-    level = 0
-    while max_depth is None or level < max_depth:
-        level += 1
-        now = cut(now.join(up, "at").filter(~F.array_contains("seen", F.col("up"))).select("id", F.col("up").alias("at"), F.concat("seen", F.array("up")).alias("seen")))
-        if now.isEmpty():
-            break
-        out = out.unionAll(now.select("id", F.lit(level).alias("depth"), F.col("at").alias("ancestor")))
-        out = cut(out) if level % 8 == 0 else out
-    return out
+
+    def grow(last: DataFrame, _: DataFrame, level: int) -> DataFrame:
+        above = last.withColumnRenamed("ancestor", "at").join(up, "at").filter(~F.array_contains("seen", F.col("up")))
+        return above.select("id", F.lit(level).alias("depth"), F.col("up").alias("ancestor"), F.concat("seen", F.array("up")).alias("seen"))
+
+    start = ids.select("id", F.lit(0).alias("depth"), F.col("id").alias("ancestor"), F.array("id").alias("seen"))
+    return _levels(start, grow, max_depth).drop("seen")
 
 
 def parallel_edges(edges: DataFrame) -> DataFrame:

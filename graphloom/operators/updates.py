@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.aggregates import both_ends
 from graphloom.plans.graph import Graph, primary_type
+from graphloom.plans.session import released, stored
 
 
 def update_join(target: DataFrame, rows: DataFrame, key: str, *, order: str | None = None) -> DataFrame:
@@ -76,16 +78,15 @@ def collapse(graph: Graph, cluster: Column, *, ceiling: int = 200) -> Graph:
 
 
 def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, label) by synchronous label propagation; the commonest label around wins, then the least."""
-    from graphloom.operators.aggregates import both_ends
-    from graphloom.plans.session import cut
-
-    links = cut(both_ends(edges).groupBy("id", "other").agg(F.count(F.lit(1)).alias("w")))
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    """(id, label) after ``rounds`` rounds of synchronous label propagation (the feature's own limit); the commonest label around wins, then the least."""
+    links = stored(both_ends(edges).groupBy("id", "other").agg(F.count(F.lit(1)).alias("w")))
+    labels = stored(nodes.select("id", F.col("id").alias("label")))
     for _ in range(rounds):
         votes = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("best"))
-        labels = cut(labels.join(best, "id", "left").select("id", F.coalesce("best", "label").alias("label")))
+        labels, old = stored(labels.join(best, "id", "left").select("id", F.coalesce("best", "label").alias("label"))), labels
+        released(old)
+    released(links)
     return labels
 
 

@@ -457,8 +457,15 @@ def _ontology(spark: SparkSession, d: str) -> DataFrame:
     return _triples(spark, d).unionAll(axioms)
 
 
+#: Inferred triples by application and folder, so that the queries over them share one evaluation.
+_KNOWN: dict[tuple[str, str], DataFrame] = {}
+
+
 def _inferred(spark: SparkSession, d: str) -> DataFrame:
-    return rdf.infer(_ontology(spark, d))
+    key = spark.sparkContext.applicationId, d
+    if key not in _KNOWN:
+        _KNOWN[key] = rdf.infer(_ontology(spark, d))
+    return _KNOWN[key]
 
 
 @query("select * from (values ('Customer', 'Thing'), ('Supplier', 'Thing')) t(s, o)")

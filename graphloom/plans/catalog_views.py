@@ -25,6 +25,27 @@ def scale_path(spark: SparkSession, d: str) -> DataFrame:
     return g.nodes.filter(F.lit(collapsed)).select("cluster", "members")
 
 
+@query(
+    "with l as (select 'customer:' || c_custkey as id, c_nationkey as k from customer union all select 'supplier:' || s_suppkey, s_nationkey from supplier union all select 'nation:' || n_nationkey, n_nationkey from nation), "
+    "m as (select k, min(id) as community from l group by k) select id, community from l join m using (k) union all select 'region:' || r_regionkey, 'region:' || r_regionkey from region"
+)
+def communities_of_stars(spark: SparkSession, d: str) -> DataFrame:
+    # each nation with all that lies in it hangs together and with nothing else, so these are the communities
+    return communities.communities(star_nodes(spark, d, ("Region", "Nation", "Customer", "Supplier")), star_edges(spark, d, ("locatedIn",)))
+
+
+@query()
+def communities_of_all(spark: SparkSession, d: str) -> DataFrame:
+    found = communities.communities(star_nodes(spark, d), star_edges(spark, d))
+    return communities.numbered(found).groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query()
+def scale_path_by_modularity(spark: SparkSession, d: str) -> DataFrame:
+    g, collapsed = groups.collapse_above(Graph(star_nodes(spark, d), star_edges(spark, d)), threshold=100)
+    return g.edges.filter(F.lit(collapsed))
+
+
 @query("select 'part:' || p_partkey as id from part where p_size = 7")
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
     labels = overlays.cluster_labels(star_nodes(spark, d, ("Part",)), "tier", tier="size")

@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import values
-from graphloom.operators import communities, views
+from graphloom.operators import communities, groups, views
 from graphloom.plans.graph import Graph
 from graphloom.sources import readers
 
@@ -19,17 +20,60 @@ def _plain_modularity(edges, of):
     return inside / two_m - sum(k * k for k in weight.values()) / two_m**2
 
 
-def test_communities(spark):
-    g = communities.planted(spark, groups=4, members=12)
-    found = communities.communities(g.nodes, g.edges)
-    of = {r["id"]: r["community"] for r in found.collect()}
+def _plain_louvain(edges):
+    """Single moves and merged levels over dictionaries, nodes in order."""
+    of, graph = {}, {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            graph.setdefault(x, {}).setdefault(y, 0)
+            graph[x][y] += 1
+    of, two_m = {v: v for v in graph}, 2 * len(edges)
+    while True:
+        k = {v: sum(n.values()) for v, n in graph.items()}
+        c, sums, go = {v: v for v in graph}, dict(k), True
+        while go:
+            go = False
+            for v, n in graph.items():
+                toward = {c[v]: 0}
+                for u, w in n.items():
+                    if u != v:
+                        toward[c[u]] = toward.get(c[u], 0) + w
+                sums[c[v]] -= k[v]
+                best = max(toward, key=lambda x, v=v, t=toward: (t[x] - k[v] * sums[x] / two_m, x == c[v]))
+                if best != c[v] and toward[best] - k[v] * sums[best] / two_m > toward[c[v]] - k[v] * sums[c[v]] / two_m + 1e-9:
+                    c[v], go = best, True
+                sums[c[v]] += k[v]
+        if len(set(c.values())) == len(graph):
+            return of
+        of, merged = {v: c[x] for v, x in of.items()}, {}
+        for v, n in graph.items():
+            for u, w in n.items():
+                merged.setdefault(c[v], {}).setdefault(c[u], 0)
+                merged[c[v]][c[u]] += w
+        graph = merged
+
+
+@pytest.mark.parametrize(("groups_", "members", "one_task"), [(4, 12, 4_000_000), (40, 50, 4_000_000), (40, 50, 2_000)])
+def test_communities(spark, groups_, members, one_task):
+    g = communities.planted(spark, groups=groups_, members=members)
+    of = {r["id"]: r["community"] for r in communities.communities(g.nodes, g.edges, one_task=one_task).collect()}
     edges = [(r["src"], r["dst"]) for r in g.edges.collect()]
     own = {r["id"]: r["group"] for r in g.nodes.collect()}
     assert set(of) == set(own)
     got = communities.modularity(g.edges, spark.createDataFrame(list(of.items()), "id string, community string"))
     assert abs(got - _plain_modularity(edges, of)) < 1e-9
-    assert got >= 0.9 * _plain_modularity(edges, own)
-    assert all(c == min(i for i in of if of[i] == c) for c in of.values())
+    assert got >= 0.9 * _plain_modularity(edges, own) and got >= 0.9 * _plain_modularity(edges, _plain_louvain(edges))
+    members_of = {}
+    for i, c in of.items():
+        members_of.setdefault(c, []).append(i)
+    assert all(c == min(m) for c, m in members_of.items())
+
+
+def test_collapsing_without_a_property(spark):
+    g = communities.planted(spark, groups=4, members=12)
+    small, collapsed = groups.collapse_above(g, threshold=40)
+    assert collapsed and small.nodes.agg(F.sum("members")).first()[0] == 48
+    assert groups.collapse_above(g, threshold=48) == (g, False)
 
 
 def test_communities_without_links(spark):
