@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import Graph
+from graphloom.plans.session import released, stored
 
 #: Edge types a chain follows (fixed values of the vocabulary).
 CHAIN = ("wasAttributedTo", "wasGeneratedBy", "wasAssociatedWith", "used", "wasDerivedFrom")
@@ -35,13 +36,15 @@ def build(agents: DataFrame, activities: DataFrame, entities: DataFrame) -> Grap
 
 
 def chains(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(root, id, depth, parent, via, absence): what each root comes from, along out-edges of the chain's types.
+    """(root, id, depth, parent, via, absence, place): what each root comes from, along out-edges of the chain's types, depth first.
 
-    A node counts once for each root, where it comes first in order of the edges' ids. An entity
-    that is a leaf without attribution is followed by a row that marks the gap. ``max_depth`` is
-    the feature's own limit.
+    Children go by their edges' ids, and a node counts once for each root, where the walk comes
+    to it first; from there alone it goes on, so no way through a later place counts. An entity that is
+    a leaf without attribution is followed by a row that marks the gap. ``place`` numbers a
+    root's rows in the order of the walk. ``max_depth`` is the feature's own limit.
     """
-    steps = graph.edges.filter(F.col("type").isin(*CHAIN)).select(F.col("src").alias("id"), "dst", "type", F.col("id").alias("edge"))
+    steps = graph.edges.filter(F.col("type").isin(*CHAIN)).groupBy(F.col("src").alias("id"), "dst").agg(F.min(F.struct("id", "type")).alias("e"))
+    steps = steps.select("id", "dst", F.col("e.type").alias("type"), F.col("e.id").alias("edge"))
     none = F.lit(None).cast("string")
     level = roots.select(F.col("id").alias("root"), "id", none.alias("parent"), none.alias("via"), F.array("id").alias("path"), F.array().cast("array<string>").alias("order"))
     found = [level.withColumn("depth", F.lit(0))]
@@ -49,12 +52,34 @@ def chains(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
         grown = level.select("root", "id", "path", "order").join(steps, "id").filter(~F.array_contains("path", F.col("dst")))
         level = grown.select("root", F.col("dst").alias("id"), F.col("id").alias("parent"), F.col("type").alias("via"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("edge")).alias("order"))
         found.append(level.withColumn("depth", F.lit(depth)))
-    every = reduce(DataFrame.unionByName, found)
-    first = every.groupBy("root", "id").agg(F.min(F.struct("order", "depth", "parent", "via")).alias("x")).select("root", "id", "x.depth", "x.parent", "x.via", F.lit(False).alias("absence"))
+    every = stored(reduce(DataFrame.unionByName, found))
+    first = _first_ways(every)
     bare = graph.nodes.filter(F.array_contains("types", "Entity") & ~F.coalesce("attributed", F.lit(True))).select("id")
-    leaves = first.join(bare, "id", "left_semi").join(steps.select("id").distinct(), "id", "left_anti")
-    gaps = leaves.select("root", F.concat("id", F.lit("::absence")).alias("id"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), none.alias("via"), F.lit(True).alias("absence"))
-    return first.unionByName(gaps)
+    # a leaf is where the walk doesn't go on, for want of edges, depth or nodes not met yet
+    parents = first.select("root", F.col("parent").alias("id")).distinct()
+    leaves = first.join(bare, "id", "left_semi").join(parents, ["root", "id"], "left_anti")
+    gaps = leaves.select("root", F.concat("id", F.lit("::absence")).alias("id"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), none.alias("via"), F.lit(True).alias("absence"), F.concat("order", F.array(F.lit(""))).alias("order"))
+    rows = first.withColumn("absence", F.lit(False)).unionByName(gaps)
+    # a root's rows are bounded by the walk's depth and its nodes' out-edges
+    place = F.row_number().over(Window.partitionBy("root").orderBy("order", "absence")) - 1
+    return rows.select("root", "id", "depth", "parent", "via", "absence", place.alias("place"))
+
+
+def _first_ways(every: DataFrame) -> DataFrame:
+    """(root, id, order, depth, parent, via): the first way to each node, of ways that come to every node between by its own first way."""
+    while True:
+        first = stored(every.groupBy("root", "id").agg(F.min(F.struct("order", "depth", "parent", "via")).alias("x")).select("root", "id", "x.*"))
+        # a way to a parent that isn't the parent's first one is none
+        own = first.select("root", F.col("id").alias("parent"), F.col("order").alias("before"))
+        held = every.join(own, ["root", "parent"], "left")
+        kept = stored(held.filter(F.col("parent").isNull() | (F.col("before") == F.slice("order", F.lit(1), F.greatest(F.size("order") - 1, F.lit(0))))).select(*every.columns))
+        same = kept.count() == every.count()
+        released(every)
+        if same:
+            released(kept)
+            return first
+        released(first)
+        every = kept
 
 
 def events(nodes: DataFrame) -> DataFrame:
@@ -86,8 +111,12 @@ def hidden(graph: Graph, start: Column, end: Column) -> DataFrame:
     return timed.filter("not seen").select("id").unionAll(around.groupBy("id").agg(F.max("seen").alias("seen")).filter("not seen").select("id"))
 
 
-#: Vocabulary keys and the keys they are copied to (fixed values).
+_PROV = "http://www.w3.org/ns/prov#"
+#: Vocabulary keys and the keys they are copied to (fixed values): full addresses, then prefixed and plain names.
 COPIED = {
+    f"{_PROV}startedAtTime": "temporal_start", f"{_PROV}endedAtTime": "temporal_end", f"{_PROV}generatedAtTime": "temporal_generated",
+    f"{_PROV}wasGeneratedBy": "generatedBy", f"{_PROV}wasAttributedTo": "attributedTo", f"{_PROV}wasDerivedFrom": "derivedFrom",
+    f"{_PROV}used": "used", f"{_PROV}wasAssociatedWith": "associatedWith",
     "prov:startedAtTime": "temporal_start", "prov:endedAtTime": "temporal_end", "prov:generatedAtTime": "temporal_generated",
     "startedAtTime": "temporal_start", "endedAtTime": "temporal_end",
 }
@@ -95,10 +124,9 @@ COPIED = {
 
 def copied_properties(props: Column, mapping: dict[str, str] | None = None) -> Column:
     """A props map with mapped keys copied to their targets, unless a target exists; of several keys the last in the map counts."""
-    mapping, out = mapping or COPIED, props
-    for target in dict.fromkeys(mapping.values()):
-        sources = [k for k, t in mapping.items() if t == target]
-        keys = F.array_intersect(F.map_keys(props), F.array(*map(F.lit, sources)))
-        new = F.map_from_arrays(F.array(F.lit(target)), F.array(F.element_at(props, F.element_at(keys, -1))))
-        out = F.when((F.size(keys) > 0) & ~F.map_contains_key(props, target), F.map_concat(out, new)).otherwise(out)
-    return out
+    targets = F.create_map(*(F.lit(x) for kv in (mapping or COPIED).items() for x in kv))
+    named = F.transform(F.map_entries(props), lambda e: F.struct(F.try_element_at(targets, e["key"]).alias("key"), e["value"].alias("value")))
+    new = F.filter(named, lambda e: e["key"].isNotNull() & ~F.map_contains_key(props, e["key"]))
+    nothing = F.map_filter(props, lambda k, v: F.lit(False))
+    last = F.aggregate(new, nothing, lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
+    return F.when(F.size(new) > 0, F.map_concat(props, last)).otherwise(props)

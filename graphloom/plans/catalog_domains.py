@@ -32,10 +32,10 @@ def prov_attributed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "with l as (select distinct 'line:' || l_orderkey || '-' || l_linenumber as root, l_orderkey, l_suppkey, l_returnflag from lineitem), ok as (select * from l where l_returnflag != 'R') "
-    "select distinct root, root as id, 0 as depth, null as parent, null as via, false as absence from l union select root, 'supplier:' || l_suppkey, 1, root, 'wasAttributedTo', false from ok "
-    "union select root, 'order:' || l_orderkey, 1, root, 'wasGeneratedBy', false from ok union select root, 'customer:' || o_custkey, 2, 'order:' || l_orderkey, 'wasAssociatedWith', false from ok join orders on o_orderkey = l_orderkey "
-    "union select root, root || '::absence', 1, root, null, true from l where root not in (select root from ok)"
+    "with l as (select distinct 'line:' || l_orderkey || '-' || l_linenumber as root, 'order:' || l_orderkey as o, 'supplier:' || l_suppkey as s, l_returnflag, l_orderkey from lineitem), ok as (select * from l where l_returnflag != 'R'), "
+    "w as (select distinct root, root as id, 0 as depth, null as parent, null as via, false as absence, []::varchar[] as ways from l union select root, s, 1, root, 'wasAttributedTo', false, ['wasAttributedTo/' || root || '/' || s] from ok "
+    "union select root, o, 1, root, 'wasGeneratedBy', false, ['wasGeneratedBy/' || root || '/' || o] from ok union select root, 'customer:' || o_custkey, 2, o, 'wasAssociatedWith', false, ['wasGeneratedBy/' || root || '/' || o, 'wasAssociatedWith/' || o || '/customer:' || o_custkey] from ok join orders on o_orderkey = l_orderkey "
+    "union select root, root || '::absence', 1, root, null, true, [''] from l where root not in (select root from ok)) select root, id, depth, parent, via, absence, row_number() over (partition by root order by ways) - 1 as place from w"
 )
 def prov_chains(spark: SparkSession, d: str) -> DataFrame:
     g = _prov(spark, d)
