@@ -223,3 +223,10 @@ def test_copied_properties(spark):
 def test_hidden_types(spark):
     nodes = spark.createDataFrame([("a", ["T"]), ("b", ["U"])], "id string, types array<string>")
     assert [r["id"] for r in filters.without_types(nodes, ["T"]).collect()] == ["b"]
+
+
+def test_full_addresses_are_copied(spark):
+    p = "http://www.w3.org/ns/prov#"
+    props = F.create_map(*map(F.lit, (f"{p}startedAtTime", "1", "prov:startedAtTime", "2", f"{p}used", "u", f"{p}wasDerivedFrom", "d", "derivedFrom", "own", f"{p}other", "x")))
+    got = spark.range(1).select(provenance.copied_properties(props).alias("p")).first()["p"]
+    assert (got["temporal_start"], got["used"], got["derivedFrom"], len(got)) == ("2", "u", "own", 8) and len(provenance.COPIED) == 13
