@@ -6,8 +6,9 @@ over the page's order of nodes, are fused to the path's weight. Paths whose weig
 share of the page's mean are content. Elements that HTML itself sets apart (menus, forms,
 asides, hidden ones) are no text of the page; a class, id or role that names something else
 (adverts, reader comments and the like), links, and a place outside the one article of a page
-only lower a weight, the first never for an element that holds most of the text. Short blocks
-between selected ones and headings in front of them are kept.
+only lower a weight, the first never for an element that holds most of the text. Blocks between
+selected ones, headings in front of them, and what shares the element that holds them all, before and
+behind them, are kept unless they are named otherwise or mostly links.
 
 Defined cases: null or empty html, or none of it text, gives empty text; broken markup is read
 as browsers do in the common cases (implied ends, stray ends ignored, an open comment or script
@@ -51,6 +52,9 @@ ASIDE = frozenset(
 )
 PAGE_HEAD = frozenset(["header", "topbar"])
 KEEPERS = frozenset(["html", "body", "article", "main"])
+#: Elements that running text, lists and tables are made of.
+FLOW = frozenset("p blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption h1 h2 h3 h4 h5 h6".split())
+_PARAGRAPHS = frozenset("p blockquote pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements are nested no deeper, as in browsers; deeper ones follow one another.
 _DEEPEST = 512
@@ -248,6 +252,32 @@ def path_weights(found: list[tuple[_Element, str, float]], share: float = 0.8, l
     return weights
 
 
+def _container(elements: list[_Element]) -> _Element:
+    """The innermost element, but for one of running text, that holds all the given ones."""
+    common = list(_above(elements[0]))[::-1]
+    for e in elements[1:]:
+        own = {id(x) for x in _above(e)}
+        common = [x for x in common if id(x) in own]
+    while len(common) > 1 and (common[-1].tag in INLINE or common[-1].tag in FLOW):
+        common.pop()
+    return common[-1]
+
+
+def _belongs(e: _Element, container: _Element) -> bool:
+    """Whether a block lies in the container of the selected ones, or is a paragraph right beside it.
+
+    Of a whole page's body only blocks of running text, lists and tables do: a bare division there may be anything.
+    """
+    way: list[_Element] = []
+    for x in _above(e):
+        if x is container:
+            return container.tag not in ("#", "html", "body") or all(y.tag in FLOW or y.tag in INLINE for y in way)
+        if x is container.parent:
+            return any(y.tag in FLOW for y in way) and all(y.tag in _PARAGRAPHS or y.tag in INLINE for y in way)
+        way.append(x)
+    return False
+
+
 def main_text(html: str | None, share: float = 0.8, least: float = 0.1) -> str:
     """The article of one page: blocks whose path weighs ``least`` of the mean character, and what belongs to them.
 
@@ -262,9 +292,10 @@ def main_text(html: str | None, share: float = 0.8, least: float = 0.1) -> str:
     chosen = np.flatnonzero(keep)
     low, high = int(chosen[0]), int(chosen[-1])
     inside = [e.inside for e, _, _ in found]
+    container = _container([found[k][0] for k in chosen])
     for k, (e, _, linked) in enumerate(found):
-        # short blocks between selected ones, or in the article that holds them
-        near = low < k < high or inside[k] and (inside[low] or inside[high])
+        # blocks between selected ones, in the article that holds them, or beside them in what holds them all
+        near = low < k < high or inside[k] and (inside[low] or inside[high]) or _belongs(e, container)
         if not keep[k] and near and linked <= 0.5 and not any(x.named for x in _above(e)):
             keep[k] = True
     for k in range(len(found) - 2, -1, -1):
