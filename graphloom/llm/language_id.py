@@ -195,12 +195,12 @@ class Labeller:
 def training_windows(docs: DataFrame, *, lang: str = "lang", text: str = "text", docs_a_language: int = 400, windows: int = 4, length: int = 64) -> tuple[list[tuple[bytes, int]], list[str]]:
     """Windows at hashed places of a bounded sample of the labelled rows of ``docs``."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    different = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
+    langs = sorted(different)
     if not langs:
         return [], []
-    # twice the wanted number by a hash of the text; only these lose their copies, and only the bound is ranked
-    every = F.element_at(F.create_map(*(F.lit(v) for k in langs for v in (k, max(1, counts[k] // (2 * docs_a_language))))), F.col("lang"))
+    # about four times the wanted number of the different texts by their hash, so copies make no share smaller; then copies go, and only the bound is ranked
+    every = F.element_at(F.create_map(*(F.lit(v) for k in langs for v in (k, max(1, different[k] // (4 * docs_a_language))))), F.col("lang"))
     at = [F.substring("text", (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.lit(1), F.length("text") - length)) + 1).cast("int"), F.lit(length)) for k in range(windows)]
     chosen = rows.filter(F.pmod("h", every) == 0).select("lang", "h", F.array(*at).alias("w")).groupBy("lang", "h").agg(F.min("w").alias("w"))
     ranked = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit("order")), "h"))).filter(F.col("nth") <= docs_a_language)

@@ -196,3 +196,20 @@ def contaminated(words, windows):
             if tuple(words[k : k + n]) in windows:
                 hit.update(range(k, k + n))
     return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def test_a_language_of_mostly_copies_is_learned(spark):
+    """30 different texts and a great many copies of one more teach as much as the 31 texts alone."""
+    rng = random.Random(3)
+    words = {"en": "the of and to in that was with for they this from".split(), "fi": "ja on ei että se hän oli mutta kun niin minä sinä".split()}
+    texts = {k: [" ".join(rng.choices(w, k=40)) for _ in range(31)] for k, w in words.items()}
+    rows = [(t, k) for k, ts in texts.items() for t in ts]
+    copies = spark.range(200_000).select(F.lit(texts["fi"][0]).alias("text"), F.lit("fi").alias("lang"))
+    docs = spark.createDataFrame(rows, "text string, lang string").unionByName(copies)
+    windows, langs = language_id.training_windows(docs)
+    assert langs == ["en", "fi"] and [sum(k == n for _, k in windows) for n in (0, 1)] == [124, 124]
+    assert windows == language_id.training_windows(docs.distinct())[0]
+    net = language_id.train(windows, langs)
+    found = spark.createDataFrame([(texts[k][5], k) for k in langs], "text string, lang string")
+    got = found.select("lang", language_id.predict(net, found, F.col("text")).alias("r")).collect()
+    assert all(r["r"]["lang"] == r["lang"] for r in got)
