@@ -2,34 +2,43 @@
 
 A run of token characters that no pattern covers, or a part of it, is a secret if a character model
 of random strings explains it better than one of ordinary identifiers, by the log-likelihood ratio of its
-character pairs. Both models are counted from labelled samples with Spark: random strings are
-drawn from hashes of numbers (base64, hexadecimal and alphanumeric), identifiers are words of a
-bounded sample of documents, alone and joined. The fitted table has a fixed size.
+character pairs. What is random depends on the letters and digits that a string draws on, so
+there is a pair of models for each alphabet (lower case, upper case, digits and what they
+combine to), and a run is judged by those of its own. The models are counted from labelled
+samples with Spark: random strings are drawn from hashes of numbers; identifiers are names of
+Python's standard library and short words of a bounded sample of documents, alone and joined
+(words shorter than any run, so that no key is taken for an identifier). Half of each sample is
+held out; the limit of an alphabet and a length lies above all but a thousandth of the held-out identifiers. The fitted
+tables have a fixed size.
 
 Spans are (kind, start, end) in code points, end exclusive. Defined cases: a null or empty text
-has no spans; repeated rows give repeated results; an empty table gives an empty result (the
-identifier model is then flat); other columns are never read.
+has no spans; repeated rows give repeated results; an empty table gives an empty result; numbers
+alone are no secrets, as random and ordinary ones look alike; other columns are never read.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
 import math
+from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The kinds in their order, each with its pattern and the least length of what must be long.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "markov")
 
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: What the models judge: runs, and the parts of a run between its separators.
-_RUN, _PART = r"[A-Za-z0-9+/_=-]{12,}", r"[A-Za-z0-9+]{12,}"
+_RUN, _PART = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+", r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{12,}+"
 #: Matches whose places are summed up together.
 _CHUNK = 64
 SPAN = "array<struct<start: int, end: int, kind: int, text: string>>"
@@ -40,11 +49,12 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _spans(text: Column, pattern: str, kind: int, value_of: tuple[int, int] | None = None) -> Column:
+def _spans(text: Column, pattern: str, kind: int, value_of: tuple[int, int] | None = None, holds: tuple[str, ...] = ()) -> Column:
     """All matches of a pattern with their places, from the pieces between them.
 
     ``value_of`` (group, length) drops matches whose group is shorter than that, after matching,
-    so that a dropped match still takes its characters. Places are summed up within chunks of
+    so that a dropped match still takes its characters. ``holds`` are lower-case texts one of which is in every
+    text with a match, which is quicker to tell. Places are summed up within chunks of
     matches and over the chunks, so many matches in one text cost little more than each does.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
@@ -73,13 +83,14 @@ def _spans(text: Column, pattern: str, kind: int, value_of: tuple[int, int] | No
         return F.flatten(F.transform(F.filter(F.arrays_zip(chunks.alias("local"), begins(chunks).alias("begin")), lambda c: c["local"].isNotNull()), moved))
 
     spans = _bound(pairs, lambda p: _bound(local(p), joined))
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), spans).otherwise(nothing)
+    may = reduce(lambda a, b: a | b, (F.lower(text).contains(h) for h in holds)) if holds else F.lit(True)
+    return F.when(F.coalesce(may & text.rlike(pattern), F.lit(False)), spans).otherwise(nothing)
 
 
 def base_spans(text: Column) -> Column:
     """The spans of the three fixed patterns, by start, then by kind."""
     every = F.concat(
-        _spans(text, ASSIGN, 0, (2, ASSIGN_VALUE)), _spans(text, ACCESS, 1), _spans(text, HEX, 2)
+        _spans(text, ASSIGN, 0, (2, ASSIGN_VALUE), ("passw", "secret", "token", "api")), _spans(text, ACCESS, 1, None, ("akia",)), _spans(text, HEX, 2)
     )
     return _in_order(every)
 
@@ -97,100 +108,202 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _random_samples(docs: DataFrame, n: int) -> DataFrame:
-    """Labelled random strings: hashes of numbers in the three usual notations."""
+#: Modules whose names are ordinary identifiers.
+_MODULES = "argparse ast asyncio collections configparser csv ctypes datetime decimal difflib email functools http inspect io itertools json logging math multiprocessing operator os pathlib pickle random re shutil signal socket sqlite3 ssl statistics string subprocess sys threading time tokenize traceback types typing unittest urllib.parse urllib.request uuid zipfile".split()
+#: Lengths from which on a class of lengths begins.
+_LENGTHS = (12, 16, 20, 28)
+
+
+def standard_names() -> list[str]:
+    """Names in the standard library, and in its classes."""
+    found: set[str] = set()
+    for module in map(importlib.import_module, _MODULES):
+        for name, value in vars(module).items():
+            found.add(name)
+            if isinstance(value, type):
+                found.update(vars(value))
+    return sorted(n.strip("_") for n in found if len(n.strip("_")) > 2)
+
+
+def _alphabet(token: Column) -> Column:
+    """1 for lower case, 2 for upper case and 4 for digits, added up."""
+    return sum((F.when(token.rlike(p), w).otherwise(0) for p, w in (("[a-z]", 1), ("[A-Z]", 2), ("[0-9]", 4))), F.lit(0))
+
+
+def _random_samples(spark: SparkSession, n: int) -> DataFrame:
+    """Random strings of every alphabet: hashes of numbers in base 64, 36 and 16, or their letters alone; and numbers."""
     h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 256)
     base64 = F.base64(F.unhex(h))
-    return docs.sparkSession.range(n).select(
-        F.lit(1).alias("label"),
-        F.explode(F.array(base64, F.substring(h, 1, 40), F.regexp_replace(base64, "[+/=]", ""), F.upper(F.regexp_replace(base64, "[+/=]", "")), F.upper(F.substring(h, 9, 40)))).alias("token"),
-    )
+    plain, letters = F.regexp_replace(base64, "[+/=]", ""), F.regexp_replace(base64, "[^A-Za-z]", "")
+    base36 = F.concat(*(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 36) for k in range(5)))
+    each = [base64, plain, letters, F.lower(letters), F.upper(letters), F.lower(base36), F.upper(base36), F.substring(h, 1, 40), F.upper(F.substring(h, 9, 40)), F.regexp_replace(h, "[a-f]", "")]
+    lengths = F.element_at(F.array(*map(F.lit, (40, 32, 24, 20, 16, 12))), (F.pmod("id", F.lit(6)) + 1).cast("int"))
+    return spark.range(n).select(F.lit(1).alias("label"), F.explode(F.array(*each)).alias("token"), lengths.alias("m")).select("label", F.expr("substring(token, 1, m)").alias("token"))
 
 
 def _identifier_samples(docs: DataFrame, text: str, n_docs: int) -> DataFrame:
-    """Labelled identifiers: words of about ``n_docs`` documents chosen by a hash of the text, alone and joined.
+    """Ordinary identifiers: standard names and short words of about ``n_docs`` documents chosen by a hash of the text, alone and joined, in both cases.
 
     Texts that begin alike are chosen together, so each beginning counts once: a large group of copies
     makes the sample no larger.
     """
+    spark = docs.sparkSession
     every = docs.count() // max(1, n_docs) + 1
     chosen = docs.filter(F.pmod(F.xxhash64(F.substring(text, 1, 200)), F.lit(every)) == 0).groupBy(F.substring(text, 1, 200).alias("begin")).agg(F.min(F.substring(text, 1, 4000)).alias("head"))
-    found = F.filter(F.regexp_extract_all("head", F.lit("[A-Za-z][A-Za-z0-9]{2,}"), F.lit(0)), lambda w: F.length(w) < 20)
-    joined = F.transform(
-        F.sequence(F.lit(1), F.size("w") - 1),
-        lambda i: F.concat(F.element_at("w", i), F.element_at(F.array(*map(F.lit, "_-/")), i % 3 + 1), F.initcap(F.element_at("w", i + 1)), (i % 10).cast("string")),
-    )
-    return chosen.select(found.alias("w")).filter(F.size("w") > 1).select(F.lit(0).alias("label"), F.explode(F.concat("w", joined)).alias("token"))
+    # no longer than a run can be short; these are words, as keys of that length aren't judged
+    found = F.filter(F.regexp_extract_all("head", F.lit("[A-Za-z][A-Za-z0-9]*"), F.lit(0)), lambda w: F.length(w).between(3, 11) & ~w.rlike("[0-9]"))
+    words = chosen.select(found.alias("w")).unionAll(spark.createDataFrame([(standard_names(),)], "w array<string>")).filter(F.size("w") > 3)
 
+    def word(i: Column, k: int) -> Column:
+        return F.element_at("w", i + k)
 
-def fit_pairs(docs: DataFrame, text: str = "text", *, sample_docs: int = 1000, sample_strings: int = 5000) -> list[float]:
-    """Log-likelihood ratio of each pair of characters, from bounded labelled samples.
+    def digit(i: Column) -> Column:
+        return (i % 100).cast("string")
 
-    At most about ``sample_docs`` documents (their first 4,000 characters) and ``sample_strings``
-    random strings in each notation are counted; only the counts by pair come to the driver.
+    forms = [
+        lambda i: word(i, 0), lambda i: F.concat(word(i, 0), F.element_at(F.array(*map(F.lit, "_-/")), (i % 3 + 1).cast("int")), word(i, 1), F.when(i % 5 == 0, F.concat(F.lit("_v"), digit(i))).otherwise("")),
+        lambda i: F.concat(word(i, 0), F.initcap(word(i, 1)), F.initcap(word(i, 2)), F.when(i % 4 == 0, digit(i)).otherwise("")),
+        lambda i: F.concat_ws("_", word(i, 0), word(i, 1), word(i, 2)), lambda i: F.concat(word(i, 0), word(i, 1)), lambda i: F.concat(F.initcap(word(i, 1)), F.initcap(word(i, 0)), digit(i)),
+        lambda i: F.concat(word(i, 0), digit(i), F.lit("-"), word(i, 1), F.lit("-"), word(i, 2)),
+    ]
+    def form(i: Column) -> Column:
+        out = F.when(i % len(forms) == 0, forms[0](i))
+        for k, f in enumerate(forms[1:], 1):
+            out = out.when(i % len(forms) == k, f(i))
+        return out
+
+    tokens = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), form)).alias("token"))
+    return tokens.select(F.lit(0).alias("label"), F.explode(F.array("token", F.upper("token"))).alias("token"))
+
+
+def _shape(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def _tables(counts: dict[tuple[int, int, str], int]) -> list[float]:
+    """Log-likelihood ratio of each pair of characters in each alphabet, from the numbers of (label, alphabet, pair).
+
+    Random strings have a full table for each alphabet. Identifiers have one for each alphabet of
+    what kind of character follows which kind, and one of all alphabets of what letter follows
+    what, whatever its case.
     """
-    samples = _random_samples(docs, sample_strings).unionAll(_identifier_samples(docs, text, sample_docs))
-    pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2))).alias("pair"))
-    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = []
-    totals = {(k, a): sum(counts.get((k, a + b), 0) for b in _CHARS) for k in (0, 1) for a in _CHARS}
-    for a in _CHARS:
-        for b in _CHARS:
-            p = [(counts.get((k, a + b), 0) + 0.5) / (totals[k, a] + 0.5 * len(_CHARS)) for k in (0, 1)]
-            table.append(round(math.log(p[1] / p[0]), 6))
+    n, table = len(_CHARS), []
+    letters: dict[tuple[str, str], int] = defaultdict(int)
+    for (label, _, pair), k in counts.items():
+        if label == 0 and pair[1].isalpha():
+            letters[pair[0].lower() if pair[0].isalpha() else "", pair[1].lower()] += k
+    sums: dict[str, int] = defaultdict(int)
+    for (a, _), k in letters.items():
+        sums[a] += k
+    for alphabet in range(8):
+        kinds = np.full((4, 4), 0.5)
+        drawn = np.zeros((n, n))
+        for i, a in enumerate(_CHARS):
+            for j, b in enumerate(_CHARS):
+                drawn[i, j] = counts.get((1, alphabet, a + b), 0)
+                kinds[_shape(a), _shape(b)] += counts.get((0, alphabet, a + b), 0)
+        held = drawn.sum(0) > 0
+        p = (drawn + 0.5) / (drawn.sum(1, keepdims=True) + 0.5 * max(1, held.sum()))
+        kinds /= kinds.sum(1, keepdims=True)
+        for i, a in enumerate(_CHARS):
+            before = a.lower() if a.isalpha() else ""
+            for j, b in enumerate(_CHARS):
+                if b.isalpha():
+                    follows = (letters[before, b.lower()] + 0.5) / (sums[before] + 13)
+                else:
+                    follows = 0.1 if b.isdigit() else 0.2
+                table.append(round(math.log(p[i, j] / (kinds[_shape(a), _shape(b)] * follows)), 4))
     return table
 
 
-def _ratio(token: Column, table: Column) -> Column:
-    """The sum of the table's entries over the character pairs of a token."""
+def fit_models(docs: DataFrame, text: str = "text", *, sample_docs: int = 400, sample_strings: int = 2000, margin: float = 0.12, over: float = 0.001) -> tuple[list[float], list[float]]:
+    """(tables, limits): ratios by alphabet and pair, and what a run's ratio for each pair must reach, by alphabet and length.
+
+    At most about ``sample_docs`` documents (their first 4,000 characters) and ``sample_strings``
+    random strings in each notation are counted; only counts by pair and the held-out
+    identifiers' high ratios come to the driver. A limit is ``margin`` above all but one in
+    ``1 / over`` of these.
+    """
+    spark = docs.sparkSession
+    samples = _random_samples(spark, sample_strings).unionAll(_identifier_samples(docs, text, sample_docs))
+    samples = samples.select("label", "token", _alphabet(F.col("token")).alias("alphabet"), (F.pmod(F.xxhash64("token"), F.lit(2)) == 1).alias("held_out"))
+    pairs = samples.filter("not held_out").select("label", "alphabet", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2))).alias("pair"))
+    counts = {(r["label"], r["alphabet"], r["pair"]): r["n"] for r in pairs.groupBy("label", "alphabet", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = _tables(counts)
+    judged = samples.filter("held_out and label = 0").filter(F.length("token") >= _LENGTHS[0]).distinct()
+    ratio = _ratio(F.col("token"), F.from_json(F.lit(json.dumps(table)), "array<double>"), F.col("alphabet")) / (F.length("token") - 1)
+    most = {(r["alphabet"], r["k"]): r["most"] for r in judged.groupBy("alphabet", _length_class(F.length("token")).alias("k")).agg(F.percentile(ratio, 1 - over).alias("most")).collect()}
+    limits = []
+    for alphabet in range(8):
+        if alphabet in (0, 4):
+            # separators or digits alone
+            limits += [1e9] * len(_LENGTHS)
+            continue
+        for k in range(len(_LENGTHS)):
+            seen = [most[alphabet, j] for j in range(k + 1) if (alphabet, j) in most]
+            # a length's longer runs are judged no more strictly than its shorter ones
+            limits.append(max(0.25, min(seen) + margin) if seen else 0.5)
+    return table, limits
+
+
+def _length_class(n: Column) -> Column:
+    return sum((F.when(n >= least, 1).otherwise(0) for least in _LENGTHS[1:]), F.lit(0))
+
+
+def _ratio(token: Column, table: Column, alphabet: Column) -> Column:
+    """The sum of the table's entries over the character pairs of a token of an alphabet."""
+    first = alphabet * len(_CHARS) ** 2
+
     def step(acc: Column, c: Column) -> Column:
         now = F.instr(F.lit(_CHARS), c)
-        pair = F.element_at(table, F.greatest(F.lit(1), (acc["last"] - 1) * len(_CHARS) + now))
+        pair = F.element_at(table, F.greatest(F.lit(1), first + (acc["last"] - 1) * len(_CHARS) + now).cast("int"))
         return F.struct(now.alias("last"), (acc["sum"] + F.when(acc["last"] > 0, pair).otherwise(0.0)).alias("sum"))
 
     chars = F.filter(F.split(token, ""), lambda c: F.length(c) > 0)
     return F.aggregate(chars, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
-def _blanked(text: Column, pattern: str, value_of: tuple[int, int] | None = None) -> Column:
-    """The text with spaces in place of the pattern's matches, so that all places stay."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans (sorted, they may overlap), so that all places stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def part(x: Column) -> Column:
-        blank = F.repeat(F.lit(" "), F.length(x["found"]))
-        if value_of:
-            blank = F.when(F.length(F.regexp_extract(x["found"], pattern, value_of[0])) >= value_of[1], blank).otherwise(x["found"])
-        return F.concat(x["piece"], F.coalesce(blank, F.lit("")))
+    def step(acc: Column, s: Column) -> Column:
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["done"], text.substr(acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("done"))
 
-    return F.when(text.rlike(pattern), F.array_join(F.transform(pairs, part), "")).otherwise(text)
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], text.substr(acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", per_char: float = 1.3, least: float = 12.0) -> DataFrame:
+def find_secrets(docs: DataFrame, *, text: str = "text", least: float = 9.0) -> DataFrame:
     """``docs`` with a struct column ``secrets`` (base, spans): the fixed patterns' spans, and all spans.
 
-    Outside the spans of the fixed patterns, a run of at least 12 characters with a letter and a
-    digit (names and numbers alone are too like either model) joins the spans if its ratio is ``least`` or more in all and ``per_char`` or more for each character pair; of any
-    other run, the parts between its separators (``/ _ = -``) do by the same rule.
+    Outside the spans of the fixed patterns, a run of at least 12 characters joins the spans if its ratio is
+    ``least`` or more in all and for each character pair reaches the fitted limit of its alphabet
+    and length; of any other run, the parts between its separators (``/ _ = -``) do by the same rule.
     """
-    table = F.from_json(F.lit(json.dumps(fit_pairs(docs, text))), "array<double>")
+    table, limits = fit_models(docs, text)
+    table, limits = (F.from_json(F.lit(json.dumps(x)), "array<double>") for x in (table, limits))
     out = docs.withColumn("__body", F.coalesce(F.col(text), F.lit(""))).withColumn("__base", base_spans(F.col("__body")))
-    # one projection after another, as each of them reads its text several times
-    for pattern, value_of in ((ASSIGN, (2, ASSIGN_VALUE)), (ACCESS, None), (HEX, None)):
-        out = out.withColumn("__body", _blanked(F.col("__body"), pattern, value_of))
-    def mixed(s: Column) -> Column:
-        return s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
-
-    out = out.withColumn("__runs", F.filter(_spans(F.col("__body"), _RUN, 3), mixed))
+    out = out.withColumn("__rest", _blanked(F.col("__body"), F.col("__base"))).withColumn("__runs", _spans(F.col("__rest"), _RUN, 3))
 
     def is_secret(s: Column) -> Column:
-        return _bound(_ratio(s["text"], table), lambda ratio: (ratio >= least) & (ratio >= per_char * (F.length(s["text"]) - 1)))
+        def judged(alphabet: Column) -> Column:
+            limit = F.element_at(limits, (alphabet * len(_LENGTHS) + _length_class(F.length(s["text"])) + 1).cast("int"))
+            return _bound(_ratio(s["text"], table, alphabet), lambda ratio: (ratio >= least) & (ratio >= limit * (F.length(s["text"]) - 1)))
+
+        return _bound(_alphabet(s["text"]), judged)
 
     def parts(run: Column) -> Column:
-        own = F.filter(F.filter(_spans(run["text"], _PART, 3), mixed), is_secret)
+        own = F.filter(_spans(run["text"], _PART, 3), is_secret)
         return F.transform(own, lambda s: F.struct((s["start"] + run["start"]).alias("start"), (s["end"] + run["start"]).alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
 
-    found = F.flatten(F.transform("__runs", lambda run: F.when(is_secret(run), F.array(run)).otherwise(parts(run))))
-    return out.withColumn("secrets", F.struct(F.col("__base").alias("base"), _in_order(F.concat("__base", found)).alias("spans"))).drop("__body", "__base", "__runs")
+    def found(run: Column) -> Column:
+        # a run without separators has no parts but itself
+        return F.when(is_secret(run), F.array(run)).when(run["text"].rlike("[/_=-]"), parts(run)).otherwise(F.array().cast(SPAN))
+
+    spans = F.flatten(F.transform("__runs", found))
+    return out.withColumn("secrets", F.struct(F.col("__base").alias("base"), _in_order(F.concat("__base", spans)).alias("spans"))).drop("__body", "__base", "__rest", "__runs")
 
 
 def counted(docs: DataFrame) -> DataFrame:
