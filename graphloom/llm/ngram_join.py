@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import by_size, released, small_batches, stored
@@ -38,7 +38,7 @@ _RUN_ROWS = 20_000
 _BITMAP_WORDS = 4
 #: So many ids with their text's hash (16 bytes each) may be sent to every executor; more are joined by a shuffle.
 _BROADCAST_IDS = 500_000
-#: Bytes of a shingle hash that whole sets are compared by.
+#: Bytes of a shingle hash that whole sets are compared by: two different shingles of a pair of sets agree in them with a chance of 2^-48.
 _SET_BYTES = 6
 _NULL_ID = -(1 << 63)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -283,7 +283,9 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text: str) ->
     # a row is a shingle, a group, and in one number the set's size, the place and whether the group has several classes
     place = F.shiftleft("n", 32) + F.col("pos") * 2 + F.col("many").cast("long")
     index = groups.select("grp", "n", "many", F.posexplode("prefix").alias("pos", "token")).select("token", "grp", place.alias("place"))
-    index = index.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("found > 1 or place % 2 = 1")
+    # counted before it is joined, so no shingle's groups are gathered
+    several = index.groupBy("token").agg(F.count(F.lit(1)).alias("found")).filter("found > 1").select("token", F.lit(True).alias("several"))
+    index = index.join(several, "token", "left").filter("several or place % 2 = 1")
     unpacked = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     index = stored(spark, index.select("token", "grp", unpacked.alias("pos"), F.shiftright("place", 32).alias("n")), "index")
     partners = stored(spark, classes.select("grp", "cls", "bits").join(index.select("grp").distinct(), "grp", "left_semi"), "partners")
