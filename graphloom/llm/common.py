@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (local tests) a temporary folder is used and set
-    as the checkpoint folder, so that ``DataFrame.checkpoint`` works as well.
+    Where the setting is missing in local mode (tests) a temporary folder is used and set
+    as the checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = sc.getCheckpointDir()
+    if base is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if base is None:
         base = tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(base)
@@ -84,16 +88,24 @@ def released(spark: SparkSession, *steps: DataFrame) -> None:
         remove_path(spark, df._stored_at)
 
 
+def workers_path(spark: SparkSession, path: str) -> str:
+    """What ``local_path`` finds a folder of the shared folder by in every worker: itself if it is a local path, or a copy that Spark fetches."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        return url.path
+    spark.sparkContext.addFile(path, recursive=True)
+    return "files:" + path.rsplit("/", 1)[1]
+
+
+def local_path(path: str) -> str:
+    return SparkFiles.get(path[6:]) if path.startswith("files:") else path
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text, the hash that the held-out splits use."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def keep_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra or clashing columns of the input never matter."""
-    return df.select(*names)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Hold Arrow batches of whole texts to ``rows`` records and about ``size`` bytes, so that a worker's memory stays bounded.
 

@@ -12,6 +12,7 @@ reported; an empty benchmark leaves every document clean; other columns are neve
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import local_path, new_path, small_batches, workers_path
 
 #: ASCII letters to lower case, every other ASCII character but digits to a space.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -89,12 +91,8 @@ def _result(text: str | None, matchers: list[Matcher]) -> dict:
     return {"n_words": len(tokens), "n_hit": int(hit.sum()), "item_ids": sorted(items), "spans": spans}
 
 
-def benchmark_shards(benchmark: DataFrame, item: str, text: str, shard_chars: int) -> list[list[tuple[str, str]]]:
-    """The items in lists of about ``shard_chars`` characters, so that no automaton outgrows a worker."""
-    b = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    total = b.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = total // shard_chars + 1
-    return [[tuple(r) for r in b.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()] for k in range(n)]
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
 
 def contamination(
@@ -102,25 +100,57 @@ def contamination(
 ) -> Column:
     """A struct column (n_words, n_hit, item_ids, spans) for a text column.
 
-    The benchmark's own size is checked: beyond ``shard_chars`` it becomes several automata,
-    built one after the other for each batch of documents, so memory stays bounded.
+    The benchmark's own size is checked: up to ``shard_chars`` its items are sent to the workers,
+    a larger one is dealt over files in the shared folder, and each task builds one shard's
+    automaton after the other for a bounded amount of text at a time. So neither the driver nor a worker ever holds
+    more than one shard.
     """
-    shards = [benchmark.sparkSession.sparkContext.broadcast(s) for s in benchmark_shards(benchmark, item, item_text, shard_chars)]
-    small_batches(benchmark.sparkSession)
+    spark = benchmark.sparkSession
+    items = _items(benchmark, item, item_text)
+    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    n = total // shard_chars + 1
+    small_batches(spark)
+    if n == 1:
+        held = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        shards = None
+    else:
+        path = new_path(spark, "benchmark")
+        items.withColumn("k", F.pmod(F.xxhash64("i"), F.lit(n))).repartition("k").write.partitionBy("k").parquet(path)
+        held, shards = None, workers_path(spark, path)
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = [Matcher(shards[0].value, width)] if len(shards) == 1 else None
-        for texts in batches:
-            if one:
-                rows = [_result(t, one) for t in texts.to_pylist()]
-            else:
-                rows = _scan_in_turn(texts.to_pylist(), (Matcher(s.value, width) for s in shards))
-            yield pa.array(rows, _RESULT)
+        if shards is None:
+            one = [Matcher(held.value, width)]
+            for texts in batches:
+                yield pa.array([_result(t, one) for t in texts.to_pylist()], _RESULT)
+            return
+        files = sorted(glob.glob(f"{local_path(shards)}/k=*"))
+        for texts in _gathered(batches):
+            yield pa.array(_scan_in_turn(texts, (Matcher(_read(f), width) for f in files)), _RESULT)
 
     scan.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scan, RESULT).asNondeterministic()(text)
 
 
+def _read(folder: str) -> list[tuple[str, str]]:
+    found = pq.read_table(folder, columns=["i", "t"], partitioning=None)
+    return list(zip(found["i"].to_pylist(), found["t"].to_pylist(), strict=True))
+
+
+def _gathered(batches: Iterator[pa.Array], chars: int = 32 << 20) -> Iterator[list[str | None]]:
+    """The texts of several batches at a time, about ``chars`` characters, so that an automaton is built for more than one batch."""
+    held, n = [], 0
+    for b in batches:
+        texts = b.to_pylist()
+        held += texts
+        n += sum(len(t) for t in texts if t)
+        if n > chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 class _Seen:
     """Stands for a matcher whose findings are known already."""
 
