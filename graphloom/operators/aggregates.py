@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.values import to_number
 from graphloom.plans.graph import primary_type
 from graphloom.plans.session import number_rows
 
@@ -43,6 +44,21 @@ def degree_distribution(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(d, "id", "left").groupBy(F.coalesce("d", F.lit(0)).cast("long").alias("degree")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """A column as a number: text is read, flags are 0 and 1, anything else that isn't a number is missing."""
+    kind = dict(df.dtypes)[name]
+    if kind == "string":
+        return to_number(F.col(name))
+    return F.col(name).cast("double") if kind in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal") else F.lit(None).cast("double")
+
+
+def points(nodes: DataFrame, x: str, y: str) -> DataFrame:
+    """(id, label, x, y) of the nodes that have a number in both columns; the label is the name, or the id."""
+    label = F.coalesce(F.col("name").cast("string"), F.col("id")) if "name" in nodes.columns else F.col("id")
+    p = nodes.select("id", label.alias("label"), number_of(nodes, x).alias("x"), number_of(nodes, y).alias("y"))
+    return p.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+
+
 def trend(points: DataFrame, x: str, y: str) -> DataFrame:
     """(n, slope, intercept, r2) of the least-squares line through the points that have both values."""
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -68,6 +84,16 @@ def timeline(df: DataFrame, time: Column) -> DataFrame:
     return b.groupBy("bucket", (F.col("lo") + F.col("bucket") * F.col("width")).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_buckets(df: DataFrame, value: Column, first: int, last: int, bins: int | None = None, ids: str = "id") -> DataFrame:
+    """(id): the rows behind the buckets ``first`` to ``last`` of a histogram or timeline, so that a selected range leads back to ids."""
+    return bucketed(df, value, bins).filter(F.col("bucket").between(first, last)).select(F.col(ids).alias("id"))
+
+
+def in_box(points: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
+    """(id): the points within a rectangle, its sides included."""
+    return points.filter(F.col("x").between(*x) & F.col("y").between(*y)).select("id")
+
+
 def histogram(df: DataFrame, value: Column, bins: int = 20) -> DataFrame:
     """(bucket, n) with empty bins kept."""
     counts = bucketed(df, value, bins).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.filters import induced
 from graphloom.plans.graph import Graph
 
 _PREFIX = "urn:node:"
@@ -44,6 +45,35 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
 
 
+def _elements(df: DataFrame, section: int) -> DataFrame:
+    """(section, key, line): the elements of a JSON list, by key; all but the first begin with a comma."""
+    rows = df.select(F.lit(section).alias("section"), F.col("id").cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
+    # repeated ids have different texts, or are the same element twice
+    first = rows.agg(F.min(F.struct("key", "json")).alias("first"))
+    comma = F.when(F.struct("key", "json").eqNullSafe(F.col("first")), "").otherwise(",")
+    return rows.distinct().join(F.broadcast(first)).select("section", "key", F.concat(comma, "json").alias("line"))
+
+
+def document(graph: Graph) -> DataFrame:
+    """(section, key, line): the lines of one JSON document {version, nodes, edges}, in the order of section, key and line without its comma.
+
+    The lines are written by as many tasks as there are partitions; null properties are left out.
+    """
+    spark = graph.nodes.sparkSession
+    frame = spark.createDataFrame([(0, "", '{"version":1,"nodes":['), (2, "", '],"edges":['), (4, "", "]}")], "section int, key string, line string")
+    return frame.unionByName(_elements(graph.nodes, 1)).unionByName(_elements(graph.edges, 3))
+
+
+def export(graph: Graph, fmt: str, ids: DataFrame | None = None) -> tuple[str, dict[str, DataFrame]]:
+    """(scope, tables of lines or rows) of the induced subgraph of ``ids`` as json, turtle or csv; without ids, or with none of them, of the whole graph."""
+    chosen = ids is not None and not ids.isEmpty()
+    part = induced(graph, ids) if chosen else graph
+    made = {"json": lambda: {"document": document(part)}, "turtle": lambda: {"lines": turtle(part)}, "csv": lambda: {"nodes": csv_ready(part.nodes), "edges": csv_ready(part.edges)}}
+    if fmt not in made:
+        raise ValueError(f"unknown format {fmt!r}")
+    return "selection" if chosen else "graph", made[fmt]()
+
+
 def csv_ready(df: DataFrame) -> DataFrame:
     """All columns as text: arrays joined by ``;``, other nested values as JSON, property columns sorted."""
     kinds = dict(df.dtypes)

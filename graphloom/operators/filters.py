@@ -48,6 +48,12 @@ def view_nodes(nodes: DataFrame, visible: DataFrame | None = None, hidden: DataF
     return out.filter(F.col("__pin") | (~F.col("__out") & F.col("__in"))).drop("__in", "__out", "__pin")
 
 
+def locked(nodes: DataFrame, pinned: DataFrame, all_pinned: bool = False) -> DataFrame:
+    """(id): the nodes that stay where they are, all or those of the pinned ids that exist."""
+    ids = nodes.select("id").distinct()
+    return ids if all_pinned else ids.join(pinned.select("id"), "id", "left_semi")
+
+
 def induced(graph: Graph, ids: DataFrame) -> Graph:
     """The nodes of an id set and the edges with both ends in it."""
     keep = ids.select("id").distinct()

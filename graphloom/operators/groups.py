@@ -37,6 +37,23 @@ def nested(membership: DataFrame) -> DataFrame:
         parts = [*(parts if len(parts) < 8 else [joined(parts)]), level]
 
 
+def serialized(membership: DataFrame, details: DataFrame) -> DataFrame:
+    """(id, json): one document a group of details(id, name, ...) with its sorted ``memberIds``; groups without members have an empty list.
+
+    A group's members are a selection somebody made, so they fit into a document.
+    """
+    m = membership.groupBy(F.col("group").alias("id")).agg(F.sort_array(F.collect_set("id")).alias("memberIds"))
+    whole = details.join(m, "id", "left").withColumn("memberIds", F.coalesce("memberIds", F.array().cast("array<string>")))
+    return whole.select("id", F.to_json(F.struct(*whole.columns)).alias("json"))
+
+
+def deserialized(docs: DataFrame, json: str) -> tuple[DataFrame, DataFrame, int]:
+    """(membership, details, the next group's number) of such documents; a document without an id is left out."""
+    d = docs.select(F.from_json(json, "id string, name string, memberIds array<string>").alias("g")).select("g.*").filter("id is not null")
+    last = d.agg(F.max(F.regexp_extract("id", r"^combo_(\d+)$", 1).try_cast("long"))).first()[0]
+    return d.select(F.col("id").alias("group"), F.explode("memberIds").alias("id")).distinct(), d.select("id", "name"), (last or 0) + 1
+
+
 def breakdown(nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """(group, members, types, label): members by type, and the commonest one's name; ties go to the lesser name."""
     per = membership.join(nodes.select("id", primary_type().alias("type")), "id").groupBy("group", "type").agg(F.count(F.lit(1)).alias("k"))

@@ -138,6 +138,41 @@ def project(triples: DataFrame, steps: list[Step]) -> Graph:
     return Graph(nodes, edges.select(F.concat_ws("|", "s", "p", "o").alias("id"), F.col("s").alias("src"), F.col("o").alias("dst"), local_part(F.col("p")).alias("type"), "ord"))
 
 
+def instances(triples: DataFrame, classes: list[str] | None = None) -> Graph:
+    """The graph of what has a type among ``classes`` (all types, if none are given).
+
+    Nodes have their types, a name (the last label, else the local part) and ``props``, a map from
+    local key to all values of it in order; edges are the links between such nodes but for types and subclasses.
+    """
+    t = triples.filter((F.col("p") == TYPE) & (F.col("otype") == "uri"))
+    t = t.filter(F.col("o").isin(classes)) if classes is not None else t
+    label = f"{RDFS}label"
+    types = t.groupBy(F.col("s").alias("id"), F.col("o")).agg(F.min("ord").alias("ord")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", local_part(F.col("o")).alias("t")))), lambda x: x["t"]).alias("types"))
+    names = triples.filter(F.col("p") == label).groupBy(F.col("s").alias("id")).agg(F.max_by("o", "ord").alias("label"))
+    values = triples.filter((F.col("otype") == "literal") & (F.col("p") != label)).groupBy(F.col("s").alias("id"), local_part(F.col("p")).alias("k"))
+    values = values.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "o"))), lambda x: x["o"]).alias("v"))
+    props = values.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
+    nodes = types.join(names, "id", "left").join(props, "id", "left")
+    empty = F.create_map().cast("map<string,array<string>>")
+    nodes = nodes.select("id", "types", F.coalesce("label", local_part(F.col("id"))).alias("name"), F.coalesce("props", empty).alias("props"))
+    links = triples.filter((F.col("otype") == "uri") & ~F.col("p").isin(TYPE, f"{RDFS}subClassOf"))
+    for end in ("s", "o"):
+        links = links.join(types.select(F.col("id").alias(end)), end, "left_semi")
+    return Graph(nodes, links.select(F.concat_ws("|", "s", "p", "o").alias("id"), F.col("s").alias("src"), F.col("o").alias("dst"), local_part(F.col("p")).alias("type"), F.lit(1.0).alias("confidence")))
+
+
+def answers(bindings: DataFrame, variables: dict[str, Column | str], *, where: Column | None = None, order: list[Column] | None = None, limit: int | None = None, distinct: bool = False) -> DataFrame:
+    """The variables of a pattern's bindings, filtered, ordered, made distinct and cut, in the order that queries do it."""
+    out = bindings if where is None else bindings.filter(where)
+    if order and not distinct:
+        out = out.orderBy(*order)
+    out = out.select(*((F.col(c) if isinstance(c, str) else c).alias(name) for name, c in variables.items()))
+    if distinct:
+        out = out.distinct()
+        out = out.orderBy(*order) if order else out
+    return out if limit is None else out.limit(limit)
+
+
 def match(triples: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     """Bindings of a basic graph pattern: one column a variable (``?x``), joined on shared variables.
 

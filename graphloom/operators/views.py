@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.aggregates import number_of
 from graphloom.operators.filters import induced
 from graphloom.operators.shapes import Shape
 from graphloom.operators.traversal import hops
@@ -140,9 +141,39 @@ def label_size(label: Column, *, header: bool = False) -> Column:
     return F.ceil(F.length(label) * per) + margin
 
 
+#: Endings of image files, and schemes whose addresses are taken for images.
+IMAGE_ENDINGS = ("png", "jpg", "jpeg", "webp", "gif", "svg")
+WEB_SCHEMES = ("http", "https")
+
+
 def is_image(ref: Column) -> Column:
-    """Whether text names an image: embedded data, a web address, or a file of a known ending (a query may follow)."""
-    return F.coalesce(ref.rlike(r"(?i)^(data:image/|https?://|/?\S+\.(png|jpe?g|webp|gif|svg)(\?\S*)?$)"), F.lit(False))
+    """Whether text names an image: embedded data, a web address, or a file whose ending (before any query) is an image's; no file name has white space."""
+    low = F.lower(ref)
+    scheme, rest = F.substring_index(low, ":", 1), F.substring(low, F.instr(low, ":") + 1, F.length(low))
+    embedded = (scheme == "data") & rest.startswith("image/")
+    web = scheme.isin(*WEB_SCHEMES) & rest.startswith("//")
+    name = F.substring_index(low, "?", 1)
+    dot = F.length(name) - F.length(F.substring_index(name, ".", -1))
+    # something has to stand in front of the dot
+    ended = (dot > 1) & F.substring_index(name, ".", -1).isin(*IMAGE_ENDINGS) & ~F.regexp_like(low, F.lit(r"\s")) & (F.substring(name, 1, dot - 1) != "/")
+    return F.coalesce((F.instr(low, ":") > 0) & (embedded | web) | ended, F.lit(False))
+
+
+def page(rows: DataFrame, order: list[Column | str], number: int = 0, size: int = 50) -> DataFrame:
+    """One page of a table in an order (a view's limit); later pages skip the rows before them."""
+    ordered = rows.orderBy(*order)
+    return ordered.offset(number * size).limit(size) if number else ordered.limit(size)
+
+
+def property_range(nodes: DataFrame, name: str) -> DataFrame:
+    """(least, most, missing) of a property's numbers."""
+    x = number_of(nodes, name)
+    return nodes.agg(F.min(x).alias("least"), F.max(x).alias("most"), F.count_if(x.isNull()).alias("missing"))
+
+
+def chart_rows(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, value) of an answer's rows that have a number in ``value``; text is read."""
+    return rows.select(F.col(label).cast("string").alias("label"), number_of(rows, value).alias("value")).filter("value is not null")
 
 
 # notes: a table (id, text, at), its last row of an id counting

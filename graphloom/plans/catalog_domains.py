@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import values
-from graphloom.operators import aggregates, edges, encodings, groups, ontology, overlays, provenance, rdf, traversal, updates
-from graphloom.plans.catalog import _CHECKS, _E, _N, _NE, _SUPPLIES, _flat, _ids, _inferred, _ontology, _read, _supplies, _triples, _validated, query
+from graphloom.operators import edges, encodings, groups, ontology, overlays, provenance, rdf, supply, traversal, updates, views
+from graphloom.plans.catalog import _CHECKS, _E, _MONTHLY, _N, _NE, _SUPPLIES, _even, _flat, _ids, _inferred, _monthly, _ontology, _read, _supplies, _triples, _validated, query
 from graphloom.operators import shapes
 from graphloom.plans.graph import Graph, star_edges, star_nodes
 
@@ -83,12 +82,9 @@ def prov_properties(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_SUPPLIES}, k as (select p, count(*) as n from s group by p), c as (select l_partkey as p, list_sort(list_distinct(list(l_linestatus))) as held from lineitem group by 1) select 'part:' || p_partkey as id, coalesce(n, 0) as supplier_count, array_to_string(held, ',') as held, case when held is null then 'n/a' when list_contains(held, 'F') then 'covered' else 'missing' end as status from part left join k on p = p_partkey left join c on c.p = p_partkey")
 def digital_thread(spark: SparkSession, d: str) -> DataFrame:
-    n = _supplies(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("supplier_count"))
-    # line states stand for certificates: as few values as the schema has
-    held = _read(spark, d, "lineitem").groupBy(F.concat(F.lit("part:"), "l_partkey").alias("id")).agg(F.sort_array(F.collect_set("l_linestatus")).alias("held"))
-    p = star_nodes(spark, d, ("Part",)).select("id").join(n, "id", "left").join(held, "id", "left")
-    status = F.when(F.col("held").isNull(), "n/a").when(F.array_contains("held", "F"), "covered").otherwise("missing")
-    return p.select("id", F.coalesce("supplier_count", F.lit(0)).alias("supplier_count"), F.array_join("held", ",").alias("held"), status.alias("status"))
+    # line states stand for certificates
+    held = _read(spark, d, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("id"), F.col("l_linestatus").alias("certificate"))
+    return supply.thread(star_nodes(spark, d, ("Part",)), _supplies(spark, d), held, "F").withColumn("held", F.array_join("held", ","))
 
 
 @query("select 'customer:' || c_custkey as id, c_mktsegment as label from customer where c_mktsegment is not null and c_mktsegment != ''")
@@ -112,14 +108,12 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlays.source_counts(star_nodes(spark, d, ("Part",)), "brand")
 
 
-_FOUND = f"with {_SUPPLIES}, o as (select p, min(s) as s from s group by p having count(*) = 1), g as (select 'part:' || p as id, case when p % 2 = 0 then 'violation' else 'warning' end as severity from o union all select 'supplier:' || s, 'warning' from o)"
+_FOUND = f"with {_MONTHLY}, o as (select p, min(k) as k, min(s) as s from s group by p having count(*) = 1), g as (select p as id, case when k % 2 = 0 then 'violation' else 'warning' end as severity from o union all select 'supplier:' || s, 'warning' from o)"
 
 
 @query(_FOUND + " select 'gap-' || case when bool_or(severity = 'violation') then 'violation' else 'warning' end as overlay, 'node' as element, id from g group by id")
 def gap_overlays(spark: SparkSession, d: str) -> DataFrame:
-    sole = aggregates.sole_sources(_supplies(spark, d))
-    bad = F.when(F.substring_index("part", ":", -1).cast("long") % 2 == 0, "violation").otherwise("warning")
-    return overlays.by_worst(sole.select(F.col("part").alias("id"), bad.alias("severity")).unionAll(sole.select(F.col("supplier").alias("id"), F.lit("warning").alias("severity"))))
+    return overlays.by_worst(supply.gaps(_monthly(spark, d), _even()).select("id", "severity"))
 
 
 @query(
@@ -171,7 +165,7 @@ def ontology_stats(spark: SparkSession, d: str) -> DataFrame:
     return ontology.stats(_ontology(spark, d)).groupBy("kind").agg(F.sum("n").alias("n"))
 
 
-@query("select * from (values ('Party', 'Customer'), ('Party', 'Supplier'), ('Thing', 'Party')) t(cls, child)")
+@query("select * from (values ('Party', 'Customer'), ('Party', 'Supplier'), ('Thing', 'Party'), ('Thing', 'Product')) t(cls, child) union all select distinct 'Product', p_brand from part")
 def ontology_children(spark: SparkSession, d: str) -> DataFrame:
     return ontology.children(_ontology(spark, d))
 
@@ -182,12 +176,12 @@ def ontology_types(spark: SparkSession, d: str) -> DataFrame:
     return ontology.types_of(flagged).filter(F.col("id").startswith("customer:"))
 
 
-@query("select * from (values ('Customer', 'SubClassOf Party'), ('Supplier', 'SubClassOf Party'), ('Party', 'SubClassOf Thing'), ('locatedIn', 'SubPropertyOf partOf'), ('locatedIn', 'Range Place'), ('holds', 'InverseOf locatedIn'), ('name', 'Domain Named'), ('partOf', 'TransitiveProperty'), ('near', 'SymmetricProperty')) t(id, axiom)")
+@query("select * from (values ('Customer', 'SubClassOf Party'), ('Supplier', 'SubClassOf Party'), ('Party', 'SubClassOf Thing'), ('locatedIn', 'SubPropertyOf partOf'), ('locatedIn', 'Range Place'), ('holds', 'InverseOf locatedIn'), ('name', 'Domain Named'), ('partOf', 'TransitiveProperty'), ('near', 'SymmetricProperty'), ('Product', 'SubClassOf Thing')) t(id, axiom) union all select distinct p_brand, 'SubClassOf Product' from part")
 def ontology_axioms(spark: SparkSession, d: str) -> DataFrame:
     return ontology.axioms(_ontology(spark, d))
 
 
-@query("select * from (values ('Customer', 'Party', true), ('Supplier', 'Party', true), ('Party', 'Thing', true), ('Customer', 'Thing', false), ('Supplier', 'Thing', false)) t(src, dst, asserted)")
+@query("select * from (values ('Customer', 'Party', true), ('Supplier', 'Party', true), ('Party', 'Thing', true), ('Customer', 'Thing', false), ('Supplier', 'Thing', false), ('Product', 'Thing', true)) t(src, dst, asserted) union all select distinct p_brand, unnest(['Product', 'Thing']), unnest([true, false]) from part")
 def class_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return ontology.class_hierarchy(ontology.with_inferred(_ontology(spark, d), _inferred(spark, d))).edges.select("src", "dst", "asserted")
 
@@ -317,4 +311,4 @@ def derived_engine(spark: SparkSession, d: str) -> DataFrame:
 @query("select p_brand as label, count(*) as value from part group by p_brand having count(*) is not null")
 def chart_data(spark: SparkSession, d: str) -> DataFrame:
     rows = star_nodes(spark, d, ("Part",)).groupBy("brand").agg(F.count(F.lit(1)).cast("string").alias("v"))
-    return rows.select(F.col("brand").alias("label"), values.to_number(F.col("v")).cast("long").alias("value")).filter("value is not null")
+    return views.chart_rows(rows, "brand", "v").withColumn("value", F.col("value").cast("long"))

@@ -14,9 +14,12 @@ from graphloom.sources import readers
 # communities and the way from a large graph to one of its clusters
 
 
-@query("select 'g' || g as \"group\", 200::bigint as members from range(40) r(g)")
+@query("select 'g' || (row_number() over (order by n_nationkey) - 1) as \"group\", (select count(*) from region) * 10 as members from nation")
 def scale_graph(spark: SparkSession, d: str) -> DataFrame:
-    return communities.planted(spark).nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    # as many groups as nations, ten members for each region
+    nations, regions = _read(spark, d, "nation").count(), _read(spark, d, "region").count()
+    g = communities.planted(spark, groups=nations, members=10 * regions)
+    return g.nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
 
 
 @query("select segment as cluster, count(*) as members from (select coalesce(c_mktsegment, 'unclustered') as segment from customer) group by 1 having (select count(*) from customer) > 100")
@@ -118,9 +121,13 @@ def timeline_overlap(spark: SparkSession, d: str) -> DataFrame:
 # tables, schema, reports
 
 
-@query("select * from (values (0, 'price', 'number'), (1, 'name', 'readonly'), (2, 'brand', 'text'), (3, 'kind', 'text'), (4, 'size', 'number')) t(place, key, widget)")
+@query("select place, key, widget, held from (select count(p_retailprice) as a, count(p_name) as b, count(p_brand) as c, count(p_type) as d, count(p_size) as e from part), lateral (values (0, 'price', 'number', a), (1, 'name', 'readonly', b), (2, 'brand', 'text', c), (3, 'kind', 'text', d), (4, 'size', 'number', e)) t(place, key, widget, held)")
 def inspector_fields(spark: SparkSession, d: str) -> DataFrame:
-    return views.fields(star_nodes(spark, d, ("Part",)), {"price": "number", "name": "readonly", "none": "text"})
+    p = star_nodes(spark, d, ("Part",))
+    shown = views.fields(p, {"price": "number", "name": "readonly", "none": "text"})
+    keys = [c for c in p.columns if c not in ("id", "types", "ord")]
+    held = p.agg(*(F.count(c).alias(c) for c in keys)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("held")) for c in keys))).alias("x")).select("x.*")
+    return shown.join(held, "key").select("place", "key", "widget", "held")
 
 
 @query("select 'Customer' as name, 'balance,name,segment' as properties, 3::bigint as constraints union all select 'Supplier', 'balance,name', 0 union all select 'Part', 'brand,kind,name,price,size', 0 union all select 'Order', 'price,priority,status,time', 0 union all select 'Nation', 'name', 0 union all select 'Region', 'name', 0")
@@ -129,10 +136,12 @@ def schema_view(spark: SparkSession, d: str) -> DataFrame:
     return views.schema_view(star_nodes(spark, d), [shapes.Shape("customer", "Customer", rules)])
 
 
-@query("select * from (values ('customer::prop::name', 'customer', 'name [1..*]', true), ('customer::prop::balance', 'customer', 'balance : number [0..*] (+2)', true), ('customer::prop::segment', 'customer', 'segment [0..*] (+1)', true)) t(row, shape, text, closed)")
+@query("select t.*, (select count(*) from customer) as nodes from (values ('customer::prop::name', 'customer', 'name [1..*]', true), ('customer::prop::balance', 'customer', 'balance : number [0..*] (+2)', true), ('customer::prop::segment', 'customer', 'segment [0..*] (+1)', true)) t(row, shape, text, closed)")
 def shape_rows(spark: SparkSession, d: str) -> DataFrame:
     rules = (shapes.Rule("name", min_count=1), shapes.Rule("balance", datatype="number", least=0, most=9000), shapes.Rule("segment", values=("BUILDING",)))
-    return views.shape_rows(spark, [shapes.Shape("customer", "Customer", rules, closed=True)])
+    rows = views.shape_rows(spark, [shapes.Shape("customer", "Customer", rules, closed=True)])
+    targets = star_nodes(spark, d).groupBy(F.lower(F.col("types")[0]).alias("shape")).agg(F.count(F.lit(1)).alias("nodes"))
+    return rows.join(targets, "shape")
 
 
 @query(
@@ -169,9 +178,11 @@ def label_sizes(spark: SparkSession, d: str) -> DataFrame:
     return star_nodes(spark, d, ("Part",)).select("id", views.label_size(F.col("name")).alias("width"))
 
 
-@query("select page_id, regexp_matches(url, '^https?://', 'i') as image from pages")
+@query("select page_id, page_id % 4 != 3 as image from pages")
 def image_references(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "pages").select("page_id", views.is_image(F.col("url")).alias("image"))
+    file = F.concat(F.lit("/pictures/"), F.col("page_id").cast("string"))
+    refs = F.array(F.col("url"), F.concat(file, F.lit(".PNG?size=2")), F.concat(F.lit("data:image/png;base64,"), file), F.concat(file, F.lit(".png.txt")))
+    return _read(spark, d, "pages").select("page_id", views.is_image(F.element_at(refs, (F.col("page_id") % 4 + 1).cast("int"))).alias("image"))
 
 
 @query("select 'customer:' || c_custkey as id, case when c_acctbal >= 0 then c_mktsegment end as note from customer")
@@ -259,4 +270,4 @@ def update_kind(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select min(p_size)::double as least, max(p_size)::double as most, count(*) filter (where p_size is null) as missing from part")
 def property_range(spark: SparkSession, d: str) -> DataFrame:
-    return star_nodes(spark, d, ("Part",)).agg(F.min(F.col("size").cast("double")).alias("least"), F.max(F.col("size").cast("double")).alias("most"), F.count_if(F.col("size").isNull()).alias("missing"))
+    return views.property_range(star_nodes(spark, d, ("Part",)), "size")

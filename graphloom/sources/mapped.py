@@ -35,15 +35,15 @@ class Mapping:
 
 
 def parsed(docs: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with a VARIANT column ``doc``, and the rejects (with ``reason``): null, or no JSON."""
-    d = docs.withColumn("doc", F.try_parse_json(json))
-    bad = d.filter("doc is null").drop("doc").withColumn("reason", F.when(F.col(json).isNull(), "no document").otherwise("not JSON"))
-    return d.filter("doc is not null"), bad
+    """Documents with a VARIANT column ``__doc``, and the rejects (with ``reason``): null, or no JSON."""
+    d = docs.withColumn("__doc", F.try_parse_json(json))
+    bad = d.filter("__doc is null").drop("__doc").withColumn("reason", F.when(F.col(json).isNull(), "no document").otherwise("not JSON"))
+    return d.filter("__doc is not null"), bad
 
 
 def _each(docs: DataFrame, order: list[str], place: int, items: Items) -> DataFrame:
     """(doc order, place, pos, x): the items of one path; a path that holds no array gives none."""
-    held = F.try_variant_get("doc", items.at, "array<variant>")
+    held = F.try_variant_get("__doc", items.at, "array<variant>")
     return docs.select(*order, F.lit(place).alias("__place"), F.posexplode(held).alias("__pos", "x"))
 
 
@@ -107,11 +107,11 @@ def algorithm_results(docs: DataFrame, json: str) -> tuple[DataFrame, DataFrame]
     properties. The version is a number: one as text is another version.
     """
     d, bad = parsed(docs, json)
-    version = F.when(F.schema_of_variant(F.try_variant_get("doc", "$.version", "variant")).isin("BIGINT", "DOUBLE") | F.schema_of_variant(F.try_variant_get("doc", "$.version", "variant")).startswith("DECIMAL"), F.try_variant_get("doc", "$.version", "double"))
+    version = F.when(F.schema_of_variant(F.try_variant_get("__doc", "$.version", "variant")).isin("BIGINT", "DOUBLE") | F.schema_of_variant(F.try_variant_get("__doc", "$.version", "variant")).startswith("DECIMAL"), F.try_variant_get("__doc", "$.version", "double"))
     overlay = "struct<id: string, label: string, nodeIds: array<string>, edgeIds: array<string>>"
     d = d.withColumns({
-        "version": version, "kind": F.try_variant_get("doc", "$.kind", "string"), "algorithm": F.try_variant_get("doc", "$.algorithm", "string"),
-        "properties": F.try_variant_get("doc", "$.properties", "map<string, map<string, variant>>"), "overlay": F.try_variant_get("doc", "$.overlay", overlay),
+        "version": version, "kind": F.try_variant_get("__doc", "$.kind", "string"), "algorithm": F.try_variant_get("__doc", "$.algorithm", "string"),
+        "properties": F.try_variant_get("__doc", "$.properties", "map<string, map<string, variant>>"), "overlay": F.try_variant_get("__doc", "$.overlay", overlay),
     })
     is_overlay = F.col("kind") == "overlay"
     reason = (
