@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.updates import diff
-from graphloom.plans.graph import Graph
+from graphloom.plans.graph import Graph, least_of_each
 
 
 def add_nodes(graph: Graph, rows: DataFrame) -> Graph:
-    """The graph with new nodes; an id that exists already keeps its node."""
-    new = rows.dropDuplicates(["id"]).join(graph.nodes.select("id"), "id", "left_anti")
+    """The graph with new nodes; an id that exists already keeps its node, of new rows with one id the least as JSON counts."""
+    new = least_of_each(rows, "id").join(graph.nodes.select("id"), "id", "left_anti")
     return Graph(graph.nodes.unionByName(new, allowMissingColumns=True), graph.edges)
 
 

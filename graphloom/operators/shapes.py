@@ -101,6 +101,16 @@ def findings(results: DataFrame) -> DataFrame:
     return results.select("id", "shape", F.explode("violations").alias("v")).select("id", "shape", "v.*")
 
 
+def of_shape(found: DataFrame, shape: str) -> DataFrame:
+    """The findings of one shape."""
+    return found.filter(F.col("shape") == shape)
+
+
+def of_nodes(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """The findings at some focus nodes."""
+    return found.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def summary(results: DataFrame) -> DataFrame:
     """(shape, total, passing, failing, violations)."""
     bad = F.size("violations") > 0

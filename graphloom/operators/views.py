@@ -40,7 +40,7 @@ def _first(nodes: DataFrame, names: tuple[str, ...], type_: str) -> Column:
 
 
 def geo_points(nodes: DataFrame, width: float = 800, height: float = 400) -> DataFrame:
-    """(id, name, type, x, y) of nodes with numbers for latitude and longitude, in an equirectangular projection."""
+    """(id, name, type, x, y) of nodes with latitude and longitude, in an equirectangular projection; text that holds a number is read as one."""
     lat, lon = _first(nodes, ("lat", "latitude"), "double"), _first(nodes, ("lon", "longitude"), "double")
     name = F.coalesce(F.col("name"), F.col("id")) if "name" in nodes.columns else F.col("id")
     x, y = (F.col("__lon") + 180) / 360 * width, (90 - F.col("__lat")) / 180 * height

@@ -25,6 +25,12 @@ def primary_type(types: str = "types") -> Column:
     return F.coalesce(F.get(types, 0), F.lit("Unknown"))
 
 
+def least_of_each(df: DataFrame, *key: str) -> DataFrame:
+    """One row of each key: the one that is least as JSON."""
+    row = F.struct(*df.columns)
+    return df.groupBy(*key).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+
+
 def _id(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 

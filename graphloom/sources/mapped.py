@@ -54,7 +54,7 @@ def _text(path: str) -> Column:
 def _properties(items: Items) -> Column:
     if isinstance(items.properties, str):
         held = F.try_variant_get("x", items.properties, "map<string, variant>")
-        texts = F.transform_values(held, lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+        texts = F.transform_values(held, lambda _, v: F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
     else:
         texts = F.create_map(*(c for name, path in items.properties.items() for c in (F.lit(name), _text(path)))) if items.properties else F.create_map()
         texts = texts.cast("map<string,string>")

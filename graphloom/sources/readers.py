@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.values import local_part, to_number
-from graphloom.plans.graph import Graph
+from graphloom.plans.graph import Graph, least_of_each
 
 _TERM = r'<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z-]+))?'
 
@@ -36,9 +36,9 @@ def csv_rows(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
 
 
 def json_graph(spark: SparkSession, path: str) -> Graph:
-    """{nodes: [...], edges: [...]} documents; ids are kept, edges without both ends are dropped."""
+    """{nodes: [...], edges: [...]} documents; ids are kept, of a repeated node the one that is least as JSON, edges without both ends are dropped."""
     d = spark.read.json(path, multiLine=True)
-    nodes = d.select(F.explode("nodes").alias("n")).select("n.*").dropDuplicates(["id"])
+    nodes = least_of_each(d.select(F.explode("nodes").alias("n")).select("n.*"), "id")
     edges = d.select(F.explode("edges").alias("e")).select("e.*")
     for end in ("src", "dst"):
         edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
@@ -108,7 +108,8 @@ def holons(d: DataFrame) -> Graph:
 
 def holon_interiors(d: DataFrame) -> Graph:
     """Interior nodes of holons (``nodes``: array of id, types) with their holon, and interior edges (``edges``: src, dst, type) whose ends are both inside it."""
-    nodes = d.select(F.col("id").alias("holon"), F.explode("nodes").alias("n")).select("holon", F.col("n.id").alias("id"), F.col("n.types").alias("types")).dropDuplicates(["holon", "id"])
+    nodes = d.select(F.col("id").alias("holon"), F.explode("nodes").alias("n")).select("holon", F.col("n.id").alias("id"), F.col("n.types").alias("types"))
+    nodes = least_of_each(nodes, "holon", "id")
     edges = d.select(F.col("id").alias("holon"), F.explode("edges").alias("e")).select("holon", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.type").alias("type"))
     for end in ("src", "dst"):
         edges = edges.join(nodes.select("holon", F.col("id").alias(end)), ["holon", end], "left_semi")

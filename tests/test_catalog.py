@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from graphloom.plans import catalog_domains, catalog_scale, catalog_views  # noqa: F401
+from graphloom.plans import catalog_domains, catalog_scale, catalog_sources, catalog_views  # noqa: F401
 from graphloom.plans.catalog import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
