@@ -152,7 +152,8 @@ def _identifier_samples(docs: DataFrame, text: str, n_docs: int) -> DataFrame:
     chosen = docs.filter(F.pmod(F.xxhash64(F.substring(text, 1, 200)), F.lit(every)) == 0).groupBy(F.substring(text, 1, 200).alias("begin")).agg(F.min(F.substring(text, 1, 4000)).alias("head"))
     # no longer than a run can be short; these are words, as keys of that length aren't judged
     found = F.filter(F.regexp_extract_all("head", F.lit("[A-Za-z][A-Za-z0-9]*"), F.lit(0)), lambda w: F.length(w).between(3, 11) & ~w.rlike("[0-9]"))
-    words = chosen.select(found.alias("w")).unionAll(spark.createDataFrame([(standard_names(),)], "w array<string>")).filter(F.size("w") > 3)
+    names = spark.range(1).select(F.from_json(F.lit(json.dumps(standard_names())), "array<string>").alias("w"))
+    words = chosen.select(found.alias("w")).unionAll(names).filter(F.size("w") > 3)
 
     def word(i: Column, k: int) -> Column:
         return F.element_at("w", i + k)
