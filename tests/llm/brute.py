@@ -135,3 +135,22 @@ def lm_rows(docs):
         score = sum(math.log10(p(*x)) for x in zip((["", ""] + w)[:-2], ([""] + w)[:-1], w, strict=True))
         out.append((i, zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(uni[x] > 0 for x in w), N, base, score))
     return sorted(out)
+
+
+def alnum_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate({c: c + 32 for c in range(65, 91)})) if text else []
+
+
+def windows(items, width=13):
+    """Windows of the benchmark's items, a shorter item being one."""
+    found = [alnum_words(t) for t in items]
+    return {tuple(w[k : k + width]) for w in found if w for k in range(max(1, len(w) - width + 1))}
+
+
+def contaminated(text, found):
+    w, hit = alnum_words(text), set()
+    for n in {len(x) for x in found}:
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in found:
+                hit.update(range(k, k + n))
+    return bool(hit) and 20 * len(hit) >= len(w)

@@ -45,13 +45,13 @@ def folders(spark, tmp_path_factory):
         df = spark.createDataFrame(given, schema)
         if name == "documents":
             df = df.withColumn("n_chars", F.length("text").cast("long"))
-        df = df.select("*", *clash[: None if name == "documents" else 0])
+        df = df.select("*", *clash)
         df.write.parquet(f"{base}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
     return base, empty
 
 
-INPUT = {"op4_embedding_near_dups": 7, "op8_html_text": 5, "op5_chat_format": 3}
+INPUT = {"op4_embedding_near_dups": 7, "op8_html_text": 5, "op5_chat_format": 3, "op11_hard_negatives": 0}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -82,6 +82,41 @@ def test_defined_results(spark, folders):
     assert langs[3] == langs[4] == langs[5] == "und"
 
 
+def test_defined_results_of_files_chats_and_mixes(spark, folders):
+    """A null id first, repeated ids after one another; null and empty turns; ties and sources without words; what no model has seen."""
+    import public_tokenizers
+
+    tokens = QUERIES["op3_token_files"](spark, folders[0]).collect()
+    given = [(i if i is not None else -(10**9), t) for i, t, _, _ in DOCUMENTS]
+    want = brute.token_rows(sorted(given, key=lambda d: d[0]), public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -(10**9), r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens)
+    assert got == sorted(want)
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = [(1, 0, "user", None), (1, 1, "assistant", ""), (2, 0, "user", "hi"), (2, 1, "assistant", "<|im_end|>\\x"), (-1, 0, "user", said), (-1, 1, "assistant", said)]
+    chats = QUERIES["op5_chat_format"](spark, folders[0]).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert sorted(tuple(r) for r in chats.collect()) == brute.chat_rows(turns)
+    mix = QUERIES["op6_source_mix"](spark, folders[0]).collect()
+    n = {}
+    for _, t, _, src in DOCUMENTS:
+        n[src] = n.get(src, 0) + len(brute.words(t))
+    sizes = {r["source_size"] for r in mix}
+    assert sizes == set(n.values()) and all(r["taken"] <= 3 * r["size"] and r["taken"] % max(r["size"], 1) == 0 for r in mix)
+    # the two equal rows are taken alike, and rows without words not at all
+    twice = [r["taken"] for r in mix if r["doc_id"] == 2]
+    assert len(twice) == 2 and all(r["taken"] == 0 for r in mix if r["size"] == 0)
+    scores = QUERIES["op7_lm_score"](spark, folders[0]).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in scores}[3] == 1 and all(r["score"] < 0 and r["score"] > float("-inf") for r in scores)
+
+
+def test_defined_results_of_the_new_operators(spark, folders):
+    middle = {r["doc_id"]: (r["n"], r["form"], r["output_sha256"] == r["restored_sha256"]) for r in QUERIES["op12_fill_in_middle"](spark, folders[0]).collect()}
+    assert middle[3] == middle[4] == (0, "plain", True) and middle[5][0] == 1 and middle[6][0] == 200_001
+    cut = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in QUERIES["op13_substring_dedup"](spark, folders[0]).collect()]
+    # documents 2 hold what document 1 holds; a text that repeats itself loses nothing
+    assert (1, 60, 0) in cut and cut.count((2, 60, 60)) == 2 and (6, 200_000, 0) in cut and (3, 0, 0) in cut and (None, 9, 0) in cut
+    assert QUERIES["op11_hard_negatives"](spark, folders[0]).columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_pipeline_stages(spark, folders, which):
     docs = spark.read.parquet(f"{folders[which]}/documents.parquet")

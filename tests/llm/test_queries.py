@@ -91,10 +91,22 @@ def test_pipeline(spark, sf_dir):
     near = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
     assert near.columns == names
     assert rows(near, "doc_id") == sorted({(c,) for _, _, c in brute.similarity_rows(list(texts.items()), 5, 80)})
-    out = corpus_pipeline.run(spark, sf_dir).collect()
-    ids = sorted(r["doc_id"] for r in out)
-    want = brute.token_rows([(i, texts[i]) for i in ids], public_tokenizers.path("byte_bpe_50k.json"))
-    assert sorted(tuple(r) for r in out) == want
+    # the whole: what language ID keeps goes through plain versions of the four other stages
+    kept = {r["doc_id"]: r["text"] for r in lang.collect()}
+    sources = dict(source(spark, sf_dir, "documents", "doc_id", "source"))
+    least = {i: c for i, _, c in brute.similarity_rows(list(kept.items()), 5, 80)}
+    one = {i: t for i, t in kept.items() if least[i] == i}
+    windows = brute.windows([t for _, t in source(spark, sf_dir, "benchmark", "item_id", "text")])
+    clean = {i: t for i, t in one.items() if not brute.contaminated(t, windows)}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, source varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [(i, sources[i], t) for i, t in clean.items()])
+    cur = con.execute(ORACLES["op6_source_mix"])
+    at = {c[0]: k for k, c in enumerate(cur.description)}
+    copies = {r[at["doc_id"]]: r[at["taken"]] // r[at["size"]] if r[at["size"]] else 0 for r in cur.fetchall()}
+    repeated = [(i, texts[i]) for i in sorted(copies) for _ in range(copies[i])]
+    want = brute.token_rows(repeated, public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
 
 
 def test_no_hidden_limits():
