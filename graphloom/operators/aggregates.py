@@ -111,7 +111,10 @@ def with_end_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def type_matrix(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src_type, dst_type, n, sources, targets): edges and different ends by pair of types."""
-    return with_end_types(edges, nodes).groupBy("src_type", "dst_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    # each edge once from either end; ends are counted by one grouping, not by two distinct counts
+    ends = F.array(F.struct(F.lit(True).alias("out"), F.col("src").alias("id")), F.struct(F.lit(False).alias("out"), F.col("dst").alias("id")))
+    per_end = with_end_types(edges.select("src", "dst"), nodes).select("src_type", "dst_type", F.explode(ends).alias("x")).groupBy("src_type", "dst_type", "x.out", "x.id").agg(F.count(F.lit(1)).alias("k"))
+    return per_end.groupBy("src_type", "dst_type").agg(F.sum(F.when(F.col("out"), F.col("k"))).alias("n"), F.count_if("out").alias("sources"), F.count_if(~F.col("out")).alias("targets"))
 
 
 def with_group_size(rows: DataFrame, key: str) -> DataFrame:
