@@ -91,3 +91,19 @@ def contrast(a: Column, b: Column) -> Column:
     """Contrast ratio of two colors."""
     x, y = luminance(a), luminance(b)
     return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
+
+
+#: What glyphs are drawn in on a dark and on a light fill, and the luminance that the dark one is taken to have (with 0.05 added).
+LIGHT_STROKE, DARK_STROKE, DARK_LUMINANCE = "#ffffff", "#1a1a1a", 0.0617
+
+
+def glyph_stroke(fill: Column) -> Column:
+    """The stroke that stands out more from a fill by contrast; the light one where the fill is no ``#rrggbb``."""
+    held = luminance(fill) + 0.05
+    return F.when(held / DARK_LUMINANCE > 1.05 / held, DARK_STROKE).otherwise(LIGHT_STROKE)
+
+
+def weak_colours(palette: list[str], background: str, least: float = 1.6) -> Column:
+    """The colours of a palette that contrast less than ``least`` with a background."""
+    every = F.array(*(F.struct(F.lit(c).alias("c"), contrast(F.lit(c), F.lit(background)).alias("r")) for c in palette))
+    return F.transform(F.filter(every, lambda x: x["r"] < least), lambda x: x["c"])

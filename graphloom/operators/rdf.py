@@ -207,18 +207,19 @@ _AXIOMS = 200_000
 
 
 def _closed(pairs: DataFrame, through: Column | None = None) -> DataFrame:
-    """(a, b): what ``b`` can be reached from ``a``, not a itself, in as many rounds as the longest way has doublings; ``through`` limits the places between."""
-    known = new = stored(pairs.select("a", "b").filter("a != b").distinct())
+    """(a, b): what ``b`` can be reached from ``a``, not a itself, in as many rounds as the longest way has doublings; ``through`` limits the places between (m)."""
+    known = stored(pairs.select("a", "b").filter("a != b").distinct())
+    new, parts = known, [known]
     while not new.isEmpty():
-        inner = (lambda df: df) if through is None else (lambda df: df.filter(through))
-        ways = [inner(x.select("a", F.col("b").alias("m"))).join(y.select(F.col("a").alias("m"), "b"), "m") for x, y in ((new, known), (known, new))]
-        fresh = reduce(DataFrame.unionAll, (w.select("a", "b") for w in ways)).filter("a != b").distinct().join(known, ["a", "b"], "left_anti")
-        fresh = stored(fresh)
-        whole = stored(known.unionAll(fresh))
-        released(*{x._stored_at: x for x in (known, new)}.values())
-        known, new = whole, fresh
-    released(new) if new is not known else None
-    return known
+        every = reduce(DataFrame.unionAll, parts)
+        ways = []
+        for x, y in ((new, every), (every, new)):
+            first = x.select("a", F.col("b").alias("m"))
+            first = first if through is None else first.filter(through)
+            ways.append(first.join(y.select(F.col("a").alias("m"), "b"), "m").select("a", "b"))
+        new = stored(reduce(DataFrame.unionAll, ways).filter("a != b").distinct().join(every, ["a", "b"], "left_anti"))
+        parts.append(new)
+    return joined(parts)
 
 
 class _Axioms:
@@ -331,6 +332,11 @@ def kinds(triples: DataFrame) -> DataFrame:
     return first.select(F.col("s").alias("id"), F.coalesce("k", F.lit("Individual")).alias("kind"))
 
 
+def observed_classes(triples: DataFrame) -> DataFrame:
+    """(cls, instances): the classes that anything is typed with, and how many things each has."""
+    return triples.filter(F.col("p") == TYPE).groupBy(F.col("o").alias("cls")).agg(F.countDistinct("s").alias("instances"))
+
+
 def ontology_summary(triples: DataFrame) -> DataFrame:
     """(predicate, domain, range, n): observed classes at both ends of each predicate."""
     t = triples.filter(F.col("p") == TYPE).groupBy("s").agg(F.max_by("o", "ord").alias("c"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import values
-from graphloom.operators import encoding_spec, groups, ontology, rdf, shapes, views
-from graphloom.plans.catalog import _CHECKS, _N, _NE, _inferred, _ontology, _read, _validated, query
+from graphloom.operators import encoding_spec, groups, ontology, rdf, shapes, summaries, views
+from graphloom.plans.catalog import _CHECKS, _N, _NE, _inferred, _ontology, _read, _triples, _validated, query
 from graphloom.plans.graph import Graph, star_edges, star_nodes
 from graphloom.plans.session import shared_dir
 from graphloom.sources import readers
@@ -181,6 +181,17 @@ def colour_contrasts(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "part").select(F.concat(F.lit("part:"), k).alias("id"), F.round(values.contrast(color, F.lit("#000000")), 6).alias("on_black"), F.round(values.contrast(F.lit("#ffffff"), color), 6).alias("on_white"))
 
 
+@query(
+    "with c as (select p_partkey as k, (p_partkey * 7) % 256 as r, (p_partkey * 13) % 256 as g, (p_partkey * 29) % 256 as b from part), "
+    f"l as (select k, 0.05 + 0.2126 * {_LIGHT.format('r')} + 0.7152 * {_LIGHT.format('g')} + 0.0722 * {_LIGHT.format('b')} as l from c) select 'part:' || k as id, case when k % 5 != 0 and l / 0.0617 > 1.05 / l then '#1a1a1a' else '#ffffff' end as stroke from l"
+)
+def glyph_strokes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    color = F.concat(F.lit("#"), *(F.lpad(F.upper(F.hex((k * f % 256).cast("long"))), 2, "0") for f in (7, 13, 29)))
+    fill = F.when(k % 5 == 0, F.concat(color, F.lit("ff"))).otherwise(color)
+    return _read(spark, d, "part").select(F.concat(F.lit("part:"), k).alias("id"), values.glyph_stroke(fill).alias("stroke"))
+
+
 @query("select event_id as id, case when event_id % 2 = 0 then user_id::double else 0 end as number, event_id % 3 != 0 as box, event_type as text from events")
 def edited_values(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.col("user_id").cast("string"))).otherwise(F.col("event_type"))
@@ -188,6 +199,29 @@ def edited_values(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "events").select(F.col("event_id").alias("id"), views.coerced("number", raw).alias("number"), views.coerced("checkbox", box).alias("box"), views.coerced("text", F.col("event_type")).alias("text"))
 
 
+# summaries that are registered, classes in use
+
+
+_ALL = "select 'count-by-type' as summary, type as label, count(*) as n from n group by type union all select 'edge-types', type, count(*) from e group by type union all select 'segments', coalesce(segment, 'Unknown'), count(*) from n group by 2"
+
+
+@query(_NE + _ALL)
+def registered_summaries(spark: SparkSession, d: str) -> DataFrame:
+    known = summaries.standard()
+    known.register(summaries.of_key("segments", "Nodes by segment", lambda g: g.nodes, lambda: F.col("segment")))
+    return known.run(Graph(star_nodes(spark, d), star_edges(spark, d)))
+
+
+@query(_N + "select id from n where type in ('Region', 'Supplier')")
+def selected_types(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.standard().get("count-by-type").selected(Graph(star_nodes(spark, d), star_edges(spark, d)), ["Region", "Supplier", "None"])
+
+
+@query(_N + "select type as cls, count(*) as instances from n group by type")
+def classes_in_use(spark: SparkSession, d: str) -> DataFrame:
+    return rdf.observed_classes(_triples(spark, d))
+
+
 # lookups
 
 

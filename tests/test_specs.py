@@ -45,3 +45,20 @@ def test_scales(spark):
     n, e = made({"color": {"driver": "rank", "scale": {"kind": "sequential", "ramp": "diverging", "domain": [1, 9]}}}, {"width": {"driver": "weight", "scale": {"kind": "sequential", "domain": "auto", "range": [1, 4]}}, "color": {"driver": "type", "scale": {"kind": "fixed", "value": "grey"}}, "label": {"driver": "type"}})
     assert [n[k]["color"] for k in "1234"] == ["cold", "mild", None, "hot"]
     assert [(e[k]["color"], e[k]["width"], e[k]["label"]) for k in ("e1", "e2")] == [("grey", 2.5, "to"), ("grey", None, "at")]
+
+
+def test_registry_and_strokes(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import values
+    from graphloom.operators import summaries
+
+    known = summaries.standard()
+    assert known.get("none") is None and known.remove("edge-types") and not known.remove("edge-types") and [s.id for s in known.list()] == ["count-by-type"]
+    known.register(summaries.of_key("count-by-type", "Again", lambda g: g.nodes, lambda: F.col("id")))
+    g = Graph(spark.createDataFrame([("a", ["T"]), ("b", ["T"])], "id string, types array<string>"), spark.createDataFrame([], "id string, src string, dst string, type string"))
+    assert sorted(map(tuple, known.run(g).collect())) == [("count-by-type", "a", 1), ("count-by-type", "b", 1)] and known.get("count-by-type").selected(g, ["b"]).collect()[0]["id"] == "b"
+    fills = ["#000000", "#ffffff", "#56B4E9", "blue", None]
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(fills)], "k int, f string").orderBy("k")
+    assert [r[0] for r in df.select(values.glyph_stroke(F.col("f"))).collect()] == ["#ffffff", "#1a1a1a", "#1a1a1a", "#ffffff", "#ffffff"]
+    assert spark.range(1).select(values.weak_colours(["#eeeeee", "#000000", "red"], "#ffffff")).first()[0] == ["#eeeeee"]
