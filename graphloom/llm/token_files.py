@@ -19,6 +19,7 @@ the files as any others are); an empty table writes no documents; other columns
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -44,7 +45,7 @@ _PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\xac\xae-ɏ]*")
 #: The byte-level splitting rule of this family of tokenizers (fixed by the format).
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\t\n {_LETTER}{_NUMBER}]+|[\t\n ]+(?![^\t\n ])|[\t\n ]+")
 #: Pieces an encoder remembers (some 0.3 KB each) before it starts anew.
-_CACHE_PIECES = 200_000
+_CACHE_PIECES = 300_000
 
 
 class _Pieces(dict):
@@ -71,6 +72,8 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
+        # a worker has one core; threads for lists of single pieces cost more than they bring
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -186,7 +189,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             for doc_id, ids in zip(b["doc_id"].to_pylist(), enc.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
                 for part in file.add(doc_id, np.concatenate([ids, end])):
                     yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.binary())})
-        enc.reset()  # a worker process outlives the task
         for part in file.end():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.binary())})
 
