@@ -30,7 +30,6 @@ DOCUMENTS = [
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     base, empty = (str(tmp_path_factory.mktemp(x)) for x in ("edges", "empty"))
-    clash = [F.lit("x").alias(c) for c in CLASHES]
     made = {
         "documents": (DOCUMENTS, "doc_id long, text string, lang string, source string"),
         "embeddings": (
@@ -45,7 +44,7 @@ def folders(spark, tmp_path_factory):
         df = spark.createDataFrame(given, schema)
         if name == "documents":
             df = df.withColumn("n_chars", F.length("text").cast("long"))
-        df = df.select("*", *clash)
+        df = df.select("*", *(F.lit("x").alias(c) for c in CLASHES if c not in df.columns))
         df.write.parquet(f"{base}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
     return base, empty
