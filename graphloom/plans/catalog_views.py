@@ -14,11 +14,10 @@ from graphloom.sources import readers
 # communities and the way from a large graph to one of its clusters
 
 
-@query("select 'g' || (row_number() over (order by n_nationkey) - 1) as \"group\", (select count(*) from region) * 10 as members from nation")
+@query("select 'g' || g as \"group\", 200::bigint as members from (select unnest(range(40 + (select count(*) from supplier))) as g)")
 def scale_graph(spark: SparkSession, d: str) -> DataFrame:
-    # as many groups as nations, ten members for each region
-    nations, regions = _read(spark, d, "nation").count(), _read(spark, d, "region").count()
-    g = communities.planted(spark, groups=nations, members=10 * regions)
+    # the standard graph of 40 groups of 200, and as large a group for each supplier
+    g = communities.planted(spark, groups=40 + _read(spark, d, "supplier").count())
     return g.nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
 
 
