@@ -204,6 +204,16 @@ def _is_builtin(p: Column) -> Column:
 
 #: So many axioms may be sent to every executor; more are joined by a shuffle.
 _AXIOMS = 200_000
+#: So many names may stand in a filter; more are joined.
+_NAMES = 1_000
+
+
+def _of_names(df: DataFrame, c: str, names: DataFrame) -> DataFrame:
+    """The rows whose column ``c`` is one of ``names`` (n)."""
+    few = names.distinct().limit(_NAMES + 1).collect()
+    if len(few) <= _NAMES:
+        return df.filter(F.col(c).isin([r["n"] for r in few]))
+    return df.join(names.distinct().withColumnRenamed("n", c), c, "left_semi").select(df.columns)
 
 
 def _closed(pairs: DataFrame, through: Column | None = None) -> DataFrame:
@@ -254,6 +264,20 @@ class _Axioms:
     def among(cls) -> Column:
         return F.col("p").isin(*cls.KEYS) | ((F.col("p") == TYPE) & F.col("o").isin(*cls.KINDS))
 
+    def touched(self, triples: DataFrame) -> DataFrame:
+        """The triples that some rule starts from or could derive: those of the axioms' properties, and types of the axioms' classes."""
+        def names(*parts: tuple[DataFrame, str]) -> DataFrame:
+            return reduce(DataFrame.unionAll, (df.select(F.col(c).alias("n")) for df, c in parts)).filter("n is not null")
+
+        fixed = triples.sparkSession.createDataFrame([(k,) for k in self.KEYS], "n string")
+        kinds = triples.sparkSession.createDataFrame([(k,) for k in self.KINDS], "n string")
+        properties = names((fixed, "n"), (self.above, "p"), (self.above, "q"), (self.domain, "p"), (self.range, "p"), (self.inverse, "p"), (self.inverse, "q"), (self.symmetric, "p"), (self.transitive, "p"))
+        classes = names((kinds, "n"), (self.sub, "a"), (self.sub, "b"), (self.domain, "c"), (self.range, "c"))
+        # a property may lead to types itself; then all of them count
+        if not properties.filter(F.col("n") == TYPE).isEmpty():
+            return _of_names(triples, "p", properties)
+        return _of_names(triples, "p", properties).unionAll(_of_names(triples.filter(F.col("p") == TYPE), "o", classes))
+
     def lacks(self, triples: DataFrame) -> bool:
         """Whether some triples are axioms that aren't in the closure yet."""
         subclass = F.col("p") == f"{RDFS}subClassOf"
@@ -271,22 +295,31 @@ def infer(triples: DataFrame, passes: int | None = None) -> DataFrame:
     inverse, symmetric and transitive properties. The axioms are closed first; a pass then joins
     only the last pass's new triples with them and, for transitive properties, with all known
     triples from both sides, so a chain's length doubles with each pass. A pass that brings new
-    axioms closes them anew and starts over from all triples.
+    axioms closes them anew and starts over from all triples. Triples that no rule starts from
+    and none could derive change nothing, so they are never stored or compared with the new ones.
     """
     def made(df: DataFrame, s: str, p: Column | str, o: str, iri: Column | None = None) -> DataFrame:
         return df.select(F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"), (iri if iri is not None else F.lit(True)).alias("iri"))
 
-    start = stored(triples.select("s", "p", "o", (F.col("otype") != "literal").alias("iri")).distinct())
-    parts, delta, rules, done = [start], start, None, 0
+    given = triples.select("s", "p", "o", (F.col("otype") != "literal").alias("iri"))
+    rules = _Axioms(given)
+    start = stored(rules.touched(given).distinct())
+    parts, delta, done, anew = [start], start, 0, True
     while True:
         if passes is not None and done >= passes:
             raise RuntimeError(f"inference isn't finished after {passes} passes")
         done += 1
+        if not anew and rules.lacks(delta):
+            old = rules
+            rules, anew = _Axioms(reduce(DataFrame.unionByName, parts)), True
+            # new axioms touch more of the given triples
+            start = stored(rules.touched(given).distinct())
+            old.release()
+            released(parts[0])
+            parts[0] = start
         known = reduce(DataFrame.unionByName, parts)
-        if rules is None or rules.lacks(delta):
-            if rules is not None:
-                rules.release()
-            rules, delta = _Axioms(known), known
+        if anew:
+            delta, anew = known, False
             closure = [made(df, "a", f"{RDFS}subClassOf", "b") for df in (rules.sub, rules.same)]
         else:
             closure = []

@@ -11,3 +11,12 @@ def test_scale_graph_is_the_standard_one_and_more(spark, sf_dir):
     got = {r["group"]: r["members"] for r in catalog_views.scale_graph(spark, sf_dir).collect()}
     assert all(got[f"g{k}"] == 200 for k in range(40))
     assert len(got) == 40 + spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+
+
+def test_inference_keeps_only_triples_that_rules_touch(spark):
+    rows = [(f"x{k}", "contains", f"y{k}") for k in range(50)] + [("x1", rdf.TYPE, "Order"), ("x2", rdf.TYPE, "Customer"), ("Customer", f"{rdf.RDFS}subClassOf", "Party"), ("x2", "in", "x3"), ("in", f"{rdf.RDFS}range", "Place")]
+    t = spark.createDataFrame([(*r, "uri") for r in rows], "s string, p string, o string, otype string").select("s", "p", "o", F.lit(True).alias("iri"))
+    rules = rdf._Axioms(t)
+    kept = {(r["s"], r["p"], r["o"]) for r in rules.touched(t).collect()}
+    assert kept == {r for r in rows if r[1] != "contains" and r[2] != "Order"}
+    rules.release()
