@@ -3,13 +3,15 @@
 A field matches if some part of its text is within a third or so of the query's length in edits. Each edit
 destroys at most q of the query's q-grams, so a field that matches holds at least a known number
 of them; only nodes with such a field are scored. A query so short that no q-gram need remain is scored on all
-nodes. The index is written once and sorted by gram, so a search reads few of its files.
+nodes. The index is written once and sorted by gram, so a search reads few of its files. Without an index the
+grams are looked for in the texts themselves, in one pass that shuffles nothing but the nodes found.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,9 +68,19 @@ def _distance(query: str, text: Column) -> Column:
     return F.arrow_udf(run, "int")(text)
 
 
+def _grams(query: str) -> Counter[str]:
+    """The query's grams, and how often it has each."""
+    return Counter(query[k : k + Q] for k in range(len(query) - Q + 1))
+
+
+def held(text: Column, query: str) -> Column:
+    """How many of the query's grams a text holds."""
+    return reduce(lambda a, b: a + b, (F.when(F.contains(text, F.lit(g)), n).otherwise(0) for g, n in _grams(query).items()))
+
+
 def candidates(index: DataFrame, query: str) -> DataFrame:
     """(id, field) of the texts that hold as many of the query's grams as a match needs."""
-    grams = Counter(query[k : k + Q] for k in range(len(query) - Q + 1))
+    grams = _grams(query)
     times = F.element_at(F.create_map(*(F.lit(x) for kv in grams.items() for x in kv)), F.col("gram"))
     held = index.filter(F.col("gram").isin(*grams)).groupBy("id", "field").agg(F.sum(times).alias("held"))
     return held.filter(F.col("held") >= needed(query)).select("id", "field")
@@ -85,7 +97,7 @@ def search(nodes: DataFrame, query: str, *, limit: int = 20, index: DataFrame |
     if len(q) < 2:
         return texts.select("id", F.lit(0.0).alias("score")).limit(0)
     if needed(q) > 0:
-        texts = texts.join(candidates(index if index is not None else gram_index(texts), q), ["id", "field"], "left_semi")
+        texts = texts.join(candidates(index, q), ["id", "field"], "left_semi") if index is not None else texts.filter(held(F.col("text"), q) >= needed(q))
     scored = texts.withColumn("edits", _distance(q, F.col("text"))).filter(F.col("edits") <= int(MOST * len(q)))
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("field"))
     total = scored.groupBy("id").agg(F.round(F.sum(weight * (1 - F.col("edits") / len(q))), 6).alias("score"))

@@ -1,10 +1,10 @@
 """Work that must not grow faster than the input, or be less than the whole job."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import rdf
-from graphloom.plans import catalog_views
+from graphloom.operators import rdf, search, traversal
+from graphloom.plans import catalog_scale, catalog_views
+from graphloom.plans.session import stored
 
 
 def test_scale_graph_is_the_standard_one_and_more(spark, sf_dir):
@@ -20,3 +20,36 @@ def test_inference_keeps_only_triples_that_rules_touch(spark):
     kept = {(r["s"], r["p"], r["o"]) for r in rules.touched(t).collect()}
     assert kept == {r for r in rows if r[1] != "contains" and r[2] != "Order"}
     rules.release()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_without_an_index_makes_none(spark):
+    nodes = spark.createDataFrame([("a", ["T"], 1, "harbour"), ("b", ["T"], 2, "hill")], "id string, types array<string>, ord long, name string")
+    found = search.search(nodes, "harbuor")
+    assert "Join" not in _plan(found) and [r["id"] for r in found.collect()] == ["a"]
+
+
+def test_first_incoming_edges_are_found_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(traversal, "stored", lambda df: kept.append(df.columns) or stored(df))
+    e = spark.createDataFrame([(f"e{k}", f"n{k}", f"n{k + 1}") for k in range(4)], "id string, src string, dst string")
+    got = traversal.breadcrumbs(e, spark.createDataFrame([("n4",)], "id string"))
+    assert kept.count(["at", "up"]) == 1
+    assert [r["ancestor"] for r in got.orderBy("depth").collect()] == ["n4", "n3", "n2", "n1", "n0"]
+
+
+def test_types_are_kept_up_without_the_edges(spark, sf_dir):
+    assert "lineitem" not in _plan(catalog_scale.incremental_types(spark, sf_dir))
+    assert "l_orderkey" not in _plan(catalog_scale.incremental_types(spark, sf_dir))
+
+
+def test_folds_that_find_nothing_write_nothing(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(rdf, "stored", lambda df: kept.append(df) or stored(df))
+    t = spark.createDataFrame([("a", "in", "b", "uri", None, None, 1), ("a", rdf.TYPE, "C", "uri", None, None, 2)], "s string, p string, o string, otype string, datatype string, lang string, ord long")
+    g = rdf.project(t, rdf.PRESETS["standard"])
+    assert [(r["src"], r["dst"]) for r in g.edges.collect()] == [("a", "b")] and g.nodes.count() == 2
+    assert len(kept) == 1
