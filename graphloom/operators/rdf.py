@@ -39,6 +39,8 @@ def drop_literals(t: DataFrame) -> DataFrame:
 def fold_blank_nodes(t: DataFrame) -> DataFrame:
     """A blank node's properties become literals of the named subject that refers to it last."""
     blank = F.col("s").startswith("_:")
+    if t.filter(blank | F.col("o").startswith("_:")).isEmpty():
+        return t
     parent = t.filter(~blank & F.col("o").startswith("_:")).groupBy(F.col("o").alias("b")).agg(F.max_by(F.struct("s", "p"), "ord").alias("up"), F.max("ord").alias("uo"))
     props = t.filter(blank).groupBy(F.col("s").alias("b"), local_part(F.col("p")).alias("k")).agg(F.max_by("o", "ord").alias("v"))
     held = parent.join(props, "b")
@@ -55,6 +57,8 @@ def fold_lists(t: DataFrame) -> DataFrame:
     Cells reach their elements by jumps of 1, 2, 4 ... cells, so a list of n takes about log n
     rounds. Chains that run into a cycle are no lists: all their triples stay.
     """
+    if t.filter(F.col("p").isin(FIRST, REST)).isEmpty():
+        return t
     first = t.filter(F.col("p") == FIRST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("v"))
     rest = t.filter(F.col("p") == REST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("next"))
     cells = stored(first.join(rest, "cell", "full_outer"))
@@ -88,6 +92,8 @@ def fold_lists(t: DataFrame) -> DataFrame:
 def fold_statements(t: DataFrame) -> DataFrame:
     """Reified statements: their further properties become ``edge-meta:<predicate>:<key>`` literals of the subject."""
     marked = t.filter((F.col("p") == TYPE) & (F.col("o") == f"{RDF}Statement")).select("s").distinct()
+    if marked.isEmpty():
+        return t
     own = t.join(marked, "s", "left_semi")
 
     def part(name: str) -> Column:
@@ -121,11 +127,17 @@ def project(triples: DataFrame, steps: list[Step]) -> Graph:
         last = t.filter(named & (F.col("otype") == "literal")).groupBy(F.col("s").alias("id"), local_part(F.col("p")).alias("k")).agg(F.max_by("o", "ord").alias("v"))
         return last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
 
-    # each step reads its input several times, so its result is kept until the next one is there
+    # each folding step reads its input several times, so its result is kept until the next one is there;
+    # filters, and folds that find nothing to fold, are not written again
     triples = stored(triples)
-    stepped = triples
+    stepped, kept = triples, triples
     for step in steps:
-        stepped, old = stored(step(stepped)), stepped
+        made, before = step(stepped), stepped
+        if step in (drop_types, drop_literals) or made is before:
+            stepped = made
+            continue
+        stepped, old = stored(made), kept
+        kept = stepped
         if old is not triples:
             released(old)
     edges = stepped.filter(named & (F.col("otype") == "uri") & ~F.col("o").startswith("_:"))
