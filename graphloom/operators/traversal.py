@@ -220,14 +220,17 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def breadcrumbs(edges: DataFrame, ids: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth, ancestor): up the first incoming edge of each node, with a guard against cycles."""
-    up = edges.groupBy(F.col("dst").alias("at")).agg(F.min_by("src", "id").alias("up"))
+    # one row a node that every level reads
+    up = stored(edges.groupBy(F.col("dst").alias("at")).agg(F.min_by("src", "id").alias("up")))
 
     def grow(last: DataFrame, _: DataFrame, level: int) -> DataFrame:
         above = last.withColumnRenamed("ancestor", "at").join(up, "at").filter(~F.array_contains("seen", F.col("up")))
         return above.select("id", F.lit(level).alias("depth"), F.col("up").alias("ancestor"), F.concat("seen", F.array("up")).alias("seen"))
 
     start = ids.select("id", F.lit(0).alias("depth"), F.col("id").alias("ancestor"), F.array("id").alias("seen"))
-    return _levels(start, grow, max_depth).drop("seen")
+    out = _levels(start, grow, max_depth)
+    released(up)
+    return out.drop("seen")
 
 
 def parallel_edges(edges: DataFrame) -> DataFrame:
