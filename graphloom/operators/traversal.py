@@ -163,6 +163,18 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+#: A key that so many rows share is sent to them instead of their being gathered at it.
+_HUB = 10_000
+
+
+def _spread(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Stored ``rows`` joined with ``table``, whose keys are unique, without gathering the rows of a frequent key."""
+    hubs = rows.groupBy(on).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _HUB).select(on)
+    far = F.broadcast(table.join(F.broadcast(hubs), on, "left_semi"))
+    rest = rows.join(F.broadcast(hubs), on, "left_anti").join(table, on)
+    return rows.join(far, on).unionByName(rest)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, by large-star and small-star rounds over numbered ids.
 
@@ -170,7 +182,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     minimum, combined before its shuffle, and an equi-join; links come to hang on the least id,
     and no component or hub is gathered in one place.
     """
-    links = edges.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).filter("low != high").distinct()
+    # parallel links go in the contraction
+    links = edges.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).filter("low != high")
     ends = links.select(F.explode(F.array("low", "high")).alias("id")).distinct()
     # numbers are in order of the ids, so the least number is that of the least id
     named = stored(number_rows(ends, "id"))
@@ -190,7 +203,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         before = now
     least = named.select(F.col("n").alias("v"), F.col("id").alias("component"))
-    of = stored(e.join(least, "v").join(named.select("id", F.col("n").alias("u")), "u").select("id", "component"))
+    of = stored(_spread(e, least, "v").join(named.select("id", F.col("n").alias("u")), "u").select("id", "component"))
     released(e, named)
     return nodes.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -199,7 +212,8 @@ def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with components numbered from 0, the largest first, then by least id."""
     of = stored(components(nodes, edges))
     sizes = number_rows(of.groupBy(F.col("component").alias("least")).agg(F.count(F.lit(1)).alias("size")), F.desc("size"), "least")
-    return of.join(sizes, of["component"] == sizes["least"]).select("id", (F.col("n") - 1).alias("component"))
+    numbers = sizes.select(F.col("least").alias("component"), (F.col("n") - 1).alias("number"))
+    return _spread(of, numbers, "component").select("id", F.col("number").alias("component"))
 
 
 def tree_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
