@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.graph import Graph
 
+#: So many ids may be sent to every executor.
+_FEW = 200_000
 _COMPARE = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
 
@@ -55,10 +57,15 @@ def locked(nodes: DataFrame, pinned: DataFrame, all_pinned: bool = False) -> Dat
 
 
 def induced(graph: Graph, ids: DataFrame) -> Graph:
-    """The nodes of an id set and the edges with both ends in it."""
+    """The nodes of an id set and the edges with both ends in it.
+
+    The ids are hashed, by every executor if they are few and else by partition, so the edges are never sorted.
+    """
     keep = ids.select("id").distinct()
-    edges = graph.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return Graph(graph.nodes.join(keep, "id", "left_semi"), edges.select(graph.edges.columns))
+    way = "broadcast" if keep.limit(_FEW + 1).count() <= _FEW else "shuffle_hash"
+    src, dst = (keep.select(F.col("id").alias(end)).hint(way) for end in ("src", "dst"))
+    edges = graph.edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi")
+    return Graph(graph.nodes.join(keep.hint(way), "id", "left_semi"), edges.select(graph.edges.columns))
 
 
 def facet_counts(nodes: DataFrame) -> DataFrame:

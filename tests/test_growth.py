@@ -1,9 +1,11 @@
 """Work that must not grow faster than the input, or be less than the whole job."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import rdf, search, traversal
+from graphloom.operators import filters, rdf, search, traversal
 from graphloom.plans import catalog_scale, catalog_views
+from graphloom.plans.graph import Graph
 from graphloom.plans.session import stored
 
 
@@ -53,3 +55,14 @@ def test_folds_that_find_nothing_write_nothing(spark, monkeypatch):
     g = rdf.project(t, rdf.PRESETS["standard"])
     assert [(r["src"], r["dst"]) for r in g.edges.collect()] == [("a", "b")] and g.nodes.count() == 2
     assert len(kept) == 1
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_induced_edges_are_not_sorted(spark, monkeypatch, few):
+    monkeypatch.setattr(filters, "_FEW", few)
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "b", "a"), ("e4", None, "a")], "id string, src string, dst string")
+    got = filters.induced(Graph(nodes, edges), spark.createDataFrame([("a",), ("b",), ("b",), ("z",)], "id string"))
+    plan = got.edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and ("ShuffledHashJoin" in plan) == (few == 0)
+    assert sorted(r["id"] for r in got.edges.collect()) == ["e1", "e3"] and sorted(r["id"] for r in got.nodes.collect()) == ["a", "b"]
