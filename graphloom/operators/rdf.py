@@ -90,20 +90,28 @@ def fold_lists(t: DataFrame) -> DataFrame:
 
 
 def fold_statements(t: DataFrame) -> DataFrame:
-    """Reified statements: their further properties become ``edge-meta:<predicate>:<key>`` literals of the subject."""
-    marked = t.filter((F.col("p") == TYPE) & (F.col("o") == f"{RDF}Statement")).select("s").distinct()
-    if marked.isEmpty():
+    """Reified statements: their further properties become ``edge-meta:<predicate>:<key>`` literals of the subject.
+
+    What makes up the statements is grouped once, one row a statement; only further properties are
+    joined with it, and the rest of a statement's own triples never moves again.
+    """
+    mark = F.coalesce((F.col("p") == TYPE) & (F.col("o") == f"{RDF}Statement"), F.lit(False))
+    if t.filter(mark).isEmpty():
         return t
-    own = t.join(marked, "s", "left_semi")
+    # these make up a statement, unless nothing marks their subject as one
+    own = F.coalesce(F.col("p").isin([RDF + n for n in ("type", "subject", "predicate", "object")]) & F.col("s").isNotNull(), F.lit(False))
 
     def part(name: str) -> Column:
-        return F.max(F.when(F.col("p") == RDF + name, F.col("o")))
-
-    heads = own.groupBy("s").agg(part("subject").alias("subj"), part("predicate").alias("pred"))
-    fixed = [RDF + n for n in ("type", "subject", "predicate", "object")]
-    meta = own.filter(~F.col("p").isin(fixed)).join(heads, "s")
-    made = _literal(meta, F.col("subj"), F.concat(F.lit("edge-meta:"), local_part(F.col("pred")), F.lit(":"), local_part(F.col("p"))), F.col("o"), F.col("ord"))
-    return t.join(marked, "s", "left_anti").select(t.columns).unionByName(made)
+        return F.when(F.col("p") == RDF + name, F.col("o"))
+
+    # narrow rows, as strings are grouped by sorting
+    narrow = t.filter(own).select("s", mark.alias("mark"), part("subject").alias("subj"), part("predicate").alias("pred"))
+    heads = stored(narrow.groupBy("s").agg(*(F.max(c).alias(c) for c in ("mark", "subj", "pred"))))
+    more = t.filter(~own).join(heads.filter("mark"), "s", "left")
+    folded = F.col("mark").isNotNull()
+    made = {"s": F.col("subj"), "p": F.concat(F.lit("edge-meta:"), local_part(F.col("pred")), F.lit(":"), local_part(F.col("p"))), "otype": F.lit("literal"), "datatype": F.lit(None), "lang": F.lit(None)}
+    more = more.filter(~folded | F.col("p").isNotNull()).select(*(F.when(folded, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in t.columns))
+    return more.unionByName(_of_names(t.filter(own), "s", heads.filter("not mark").select(F.col("s").alias("n"))))
 
 
 Step = Callable[[DataFrame], DataFrame]

@@ -66,3 +66,24 @@ def test_induced_edges_are_not_sorted(spark, monkeypatch, few):
     plan = got.edges._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and ("ShuffledHashJoin" in plan) == (few == 0)
     assert sorted(r["id"] for r in got.edges.collect()) == ["e1", "e3"] and sorted(r["id"] for r in got.nodes.collect()) == ["a", "b"]
+
+
+def test_statements_are_grouped_once_from_narrow_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(rdf, "stored", lambda df: kept.append(df.columns) or stored(df))
+    r, n = rdf.RDF, None
+    rows = [
+        ("st", rdf.TYPE, f"{r}Statement", "uri"), ("st", rdf.TYPE, "Claim", "uri"), ("st", f"{r}subject", "a", "uri"), ("st", f"{r}predicate", "http://x/knows", "uri"), ("st", f"{r}object", "b", "uri"),
+        ("st", "http://x/since", "1999", "literal"), ("st", "http://x/by", "c", "uri"), ("st", n, "lost", "literal"),
+        # no statements, so all of it stays
+        ("a", "http://x/knows", "b", "uri"), ("a", rdf.TYPE, "Person", "uri"), ("q", f"{r}object", "b", "uri"), ("q", "http://x/size", "2", "literal"), ("v", n, "kept", "literal"), (n, rdf.TYPE, "Person", "uri"),
+    ]
+    t = spark.createDataFrame([(*x, n, n, k) for k, x in enumerate(rows)], "s string, p string, o string, otype string, datatype string, lang string, ord long")
+    got = rdf.fold_statements(t)
+    made = [("a", "edge-meta:knows:since", "1999", "literal", 5), ("a", "edge-meta:knows:by", "c", "literal", 6)]
+    want = made + [(*x, k) for k, x in enumerate(rows) if k > 7]
+    assert got.columns == t.columns
+    assert sorted(((x["s"], x["p"], x["o"], x["otype"], x["ord"]) for x in got.collect()), key=str) == sorted(want, key=str)
+    assert kept == [["s", "mark", "subj", "pred"]]
+    monkeypatch.setattr(rdf, "_NAMES", 0)
+    assert sorted(((x["s"], x["p"], x["o"], x["otype"], x["ord"]) for x in rdf.fold_statements(t).collect()), key=str) == sorted(want, key=str)
