@@ -81,7 +81,9 @@ def node_summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     from graphloom.operators.aggregates import both_ends
 
     types = nodes.select(F.col("id").alias("other"), F.coalesce(F.get("types", 0), F.lit("Unknown")).alias("type"))
-    per = both_ends(edges).filter("id != other").distinct().join(types, "other").groupBy("id", "type").agg(F.count(F.lit(1)).alias("k"))
+    # each pair is made distinct once, before it counts from both ends
+    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src != dst").distinct()
+    per = both_ends(pairs).join(types, "other").groupBy("id", "type").agg(F.count(F.lit(1)).alias("k"))
     # one entry a type, so the list is as short as the schema
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "k"))), lambda x: F.concat(x["k"].cast("string"), F.lit(" "), x["type"])), ", ")
     return nodes.select("id").join(per.groupBy("id").agg(F.sum("k").alias("neighbours"), text.alias("breakdown")), "id", "left").select("id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), F.coalesce("breakdown", F.lit("")).alias("breakdown"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import filters, rdf, search, traversal
+from graphloom.operators import filters, overlays, rdf, search, traversal
 from graphloom.plans import catalog_scale, catalog_views
 from graphloom.plans.graph import Graph
 from graphloom.plans.session import stored
@@ -87,3 +87,13 @@ def test_statements_are_grouped_once_from_narrow_rows(spark, monkeypatch):
     assert kept == [["s", "mark", "subj", "pred"]]
     monkeypatch.setattr(rdf, "_NAMES", 0)
     assert sorted(((x["s"], x["p"], x["o"], x["otype"], x["ord"]) for x in rdf.fold_statements(t).collect()), key=str) == sorted(want, key=str)
+
+
+def test_pairs_of_neighbours_are_made_distinct_once(spark):
+    nodes = spark.createDataFrame([("a", ["T"]), ("b", ["U"]), ("c", None)], "id string, types array<string>")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("c", "a"), ("c", "c"), ("b", None)], "src string, dst string")
+    got = overlays.node_summaries(nodes, edges)
+    assert {tuple(r) for r in got.collect()} == {("a", 2, "1 U, 1 Unknown"), ("b", 1, "1 T"), ("c", 1, "1 T")}
+    plan = _plan(got)
+    # explode comes above the distinct pairs, not below
+    assert plan.index("Generate explode") < plan.index("least(")
