@@ -46,14 +46,20 @@ def chains(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
     steps = graph.edges.filter(F.col("type").isin(*CHAIN)).groupBy(F.col("src").alias("id"), "dst").agg(F.min(F.struct("id", "type")).alias("e"))
     steps = steps.select("id", "dst", F.col("e.type").alias("type"), F.col("e.id").alias("edge"))
     none = F.lit(None).cast("string")
-    level = roots.select(F.col("id").alias("root"), "id", none.alias("parent"), none.alias("via"), F.array("id").alias("path"), F.array().cast("array<string>").alias("order"))
+    level = roots.select("id").distinct().select(F.col("id").alias("root"), "id", none.alias("parent"), none.alias("via"), F.array("id").alias("path"), F.array().cast("array<string>").alias("order"))
     found = [level.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
         grown = level.select("root", "id", "path", "order").join(steps, "id").filter(~F.array_contains("path", F.col("dst")))
         level = grown.select("root", F.col("dst").alias("id"), F.col("id").alias("parent"), F.col("type").alias("via"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("edge")).alias("order"))
         found.append(level.withColumn("depth", F.lit(depth)))
-    every = stored(reduce(DataFrame.unionByName, found))
-    first = _first_ways(every)
+    every = stored(reduce(DataFrame.unionByName, found).drop("path"))
+    # only from roots whose ways meet again can a way not count
+    met = stored(every.groupBy("root", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root").distinct())
+    if met.isEmpty():
+        released(met)
+        first = every
+    else:
+        first = every.join(met, "root", "left_anti").unionByName(_first_ways(stored(every.join(met, "root", "left_semi"))))
     bare = graph.nodes.filter(F.array_contains("types", "Entity") & ~F.coalesce("attributed", F.lit(True))).select("id")
     # a leaf is where the walk doesn't go on, for want of edges, depth or nodes not met yet
     parents = first.select("root", F.col("parent").alias("id")).distinct()

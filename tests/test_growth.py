@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import filters, overlays, rdf, search, traversal
+from graphloom.operators import filters, overlays, provenance, rdf, search, traversal
 from graphloom.plans import catalog_scale, catalog_views
 from graphloom.plans.graph import Graph
 from graphloom.plans.session import stored
@@ -97,3 +97,19 @@ def test_pairs_of_neighbours_are_made_distinct_once(spark):
     plan = _plan(got)
     # explode comes above the distinct pairs, not below
     assert plan.index("Generate explode") < plan.index("least(")
+
+
+def test_only_roots_whose_ways_meet_are_walked_again(spark, monkeypatch):
+    again, plain = [], provenance._first_ways
+    monkeypatch.setattr(provenance, "_first_ways", lambda every: again.extend(r["root"] for r in every.select("root").distinct().collect()) or plain(every))
+    nodes = spark.createDataFrame([(v, ["Entity"], v != "d") for v in "abcde"], "id string, types array<string>, attributed boolean")
+    edges = [("e1", "a", "b", "used"), ("e2", "b", "c", "used"), ("e3", "e", "d", "used")]
+
+    def rows(more):
+        g = Graph(nodes, spark.createDataFrame(edges + more, "id string, src string, dst string, type string"))
+        roots = spark.createDataFrame([("a",), ("a",), ("e",)], "id string")
+        return {(r["root"], r["id"], r["depth"], r["place"]) for r in provenance.chains(g, roots).collect()}
+
+    tree = {("a", "a", 0, 0), ("a", "b", 1, 1), ("a", "c", 2, 2), ("e", "e", 0, 0), ("e", "d", 1, 1), ("e", "d::absence", 2, 2)}
+    assert rows([]) == tree and not again
+    assert rows([("e4", "a", "c", "used")]) == tree and again == ["a"]
