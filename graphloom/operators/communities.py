@@ -2,8 +2,9 @@
 
 Links get numbered ends. As long as there are more links than one task may hold, rounds of
 contraction halve the graph: every node weighs its links by the gain in modularity of joining
-the two ends, a hash deals nodes into heads and tails, and a tail joins its best neighbour if
-that is a head. A round is a grouped maximum and two equi-joins of the links, combined before
+the two ends, which is its pick. Nodes that nothing picks all join their picks in one round; what
+else there is, a hash deals into heads and tails, and a tail joins its pick if that is a head. A
+round is a grouped maximum and two equi-joins of the links, combined before
 their shuffles, and no hub is gathered; as each one leaves fewer links, all rounds together cost
 little more than the first. The small graph that remains is finished in one task, by moving
 single nodes while modularity rises, and the same again with the communities as nodes. If there
@@ -50,26 +51,41 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return _modularity(_links(edges), membership.select("id", F.col("community").alias("c")))
 
 
-def _sweeps(near: list[list[tuple[int, float]]], k: list[float], total: float) -> list[int]:
-    """Each node's community: single nodes move to the neighbouring community of greatest gain until none improves."""
-    of, sums, moved = list(range(len(k))), list(k), True
-    while moved:
+def _sweeps(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: list[float], total: float) -> list[int]:
+    """Each node's community: single nodes move to the neighbouring community of greatest gain until none improves.
+
+    After the first sweep only nodes beside a move are looked at, until they rest; the last sweep is over all.
+    """
+    order = np.argsort(a, kind="stable")
+    ends = np.searchsorted(a[order], np.arange(len(k) + 1)).tolist()
+    to, weight = b[order].tolist(), w[order].tolist()
+    of, sums, waiting = list(range(len(k))), list(k), range(len(k))
+    while True:
+        beside = bytearray(len(k))
         moved = False
-        for v, links in enumerate(near):
+        for v in waiting:
+            links = to[ends[v] : ends[v + 1]]
             toward: dict[int, float] = defaultdict(float)
-            for u, w in links:
-                toward[of[u]] += w
+            for u, x in zip(links, weight[ends[v] : ends[v + 1]], strict=True):
+                toward[of[u]] += x
             own = of[v]
             sums[own] -= k[v]
             best, most = own, toward.get(own, 0.0) - k[v] * sums[own] / total
-            for c, w in toward.items():
-                gain = w - k[v] * sums[c] / total
+            for c, x in toward.items():
+                gain = x - k[v] * sums[c] / total
                 if gain > most + _EPS or (gain > most - _EPS and c < best and best != own):
                     best, most = c, gain
             sums[best] += k[v]
             if best != own:
                 of[v], moved = best, True
-    return of
+                for u in links:
+                    beside[u] = 1
+        if moved:
+            waiting = np.flatnonzero(np.frombuffer(beside, np.uint8)).tolist()
+        elif len(waiting) == len(k):
+            return of
+        else:
+            waiting = range(len(k))
 
 
 def _finished(table: pa.Table, total: float) -> pa.Table:
@@ -80,10 +96,7 @@ def _finished(table: pa.Table, total: float) -> pa.Table:
     k[a] = table["ka"].to_numpy()
     c = np.arange(len(ids))
     while True:
-        near: list[list[tuple[int, float]]] = [[] for _ in k]
-        for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-            near[x].append((y, z))
-        names, of = np.unique(_sweeps(near, k.tolist(), total), return_inverse=True)
+        names, of = np.unique(_sweeps(a, b, w, k.tolist(), total), return_inverse=True)
         if len(names) == len(k):
             break
         c, k = of[c], np.bincount(of, k)
@@ -108,10 +121,17 @@ def _contracted(e: DataFrame, total: float, turn: int) -> tuple[DataFrame, DataF
         released(picks)
         return None
 
-    def head(c: str) -> Column:
+    def dealt(c: str) -> Column:
         return F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
 
-    moves = stored(picks.filter(~head("a") & head("to")).select(F.col("a").alias("v"), "to", "ka"))
+    # what a node picks that nothing picks stays, and all that pick it join it
+    ends = picks.join(picks.select(F.col("to").alias("a")).distinct(), "a", "left_anti").select("to").distinct().withColumn("stays", F.lit(True))
+    met = picks.join(ends, "to", "left").withColumnRenamed("stays", "to_stays").join(ends.withColumnRenamed("to", "a"), "a", "left")
+    met = met.filter("stays is null")
+    # dealt out are only those that neither stay nor join what stays
+    rest = met.filter("to_stays is null")
+    pairs = rest.filter(~dealt("a") & dealt("to")).join(rest.select(F.col("a").alias("to")), "to", "left_semi")
+    moves = stored(met.filter("to_stays").select("a", "to", "ka").unionByName(pairs.select("a", "to", "ka")).withColumnRenamed("a", "v"))
     released(picks)
     grown = moves.groupBy(F.col("to").alias("v")).agg(F.sum("ka").alias("more"))
     # where each end goes and what it weighs there; heads that grow weigh more

@@ -1,6 +1,7 @@
 """Communities against a plain computation, and views, sources and values on small rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,30 @@ def test_communities(spark, groups_, members, one_task):
     assert all(c == min(m) for c, m in members_of.items())
 
 
+def _weighed(spark, pairs):
+    links = spark.createDataFrame([(x, y, 1.0) for p in pairs for x, y in (p, p[::-1])], "a long, b long, w double")
+    k = links.groupBy("a").agg(F.sum("w").alias("ka"))
+    return links.join(k, "a").join(k.selectExpr("a as b", "ka as kb"), "b").select("a", "ka", "b", "kb", "w"), 2.0 * len(pairs)
+
+
+def test_what_nothing_picks_joins_in_one_round(spark):
+    # centres with 20 leaves each, tied in a ring
+    pairs = [(100 * c, 100 * c + k) for c in range(10) for k in range(1, 21)] + [(100 * c, 100 * ((c + 1) % 10)) for c in range(10)]
+    moves, left = communities._contracted(*_weighed(spark, pairs), 0)
+    assert {(r["v"], r["to"]) for r in moves.collect()} == {(y, x) for x, y in pairs if y % 100}
+    assert {(r["a"], r["b"]) for r in left.collect()} == {(x, y) for p in pairs if not p[1] % 100 for x, y in (p, p[::-1])}
+
+
+def test_no_node_joins_one_that_moves(spark):
+    rng = random.Random(3)
+    e, total = _weighed(spark, sorted({(v, rng.randrange(max(0, v - 9), v)) for v in range(1, 600) for _ in range(2)}))
+    e = e.cache()
+    for turn in range(3):
+        moves = [(r["v"], r["to"]) for r in communities._contracted(e, total, turn)[0].collect()]
+        assert len(moves) == len({v for v, _ in moves}) > 0 and not {v for v, _ in moves} & {to for _, to in moves}
+    e.unpersist()
+
+
 def test_collapsing_without_a_property(spark):
     g = communities.planted(spark, groups=4, members=12)
     small, collapsed = groups.collapse_above(g, threshold=40)
