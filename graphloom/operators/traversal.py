@@ -218,11 +218,12 @@ def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def tree_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth, parent) of a spanning tree: each node hangs on its least parent at the first depth reached."""
-    out = edges.select(F.col("src").alias("parent"), F.col("dst").alias("id")).distinct()
+    # parallel edges need not be made one first: the least parent is the same
+    out = edges.select(F.col("src").alias("parent"), F.col("dst").alias("id"))
 
     def grow(last: DataFrame, seen: DataFrame, level: int) -> DataFrame:
-        new = _onto(out, last.select(F.col("id").alias("parent")), "parent").join(seen.select("id"), "id", "left_anti")
-        return new.groupBy("id").agg(F.min("parent").alias("parent")).select("id", F.lit(level).alias("depth"), "parent")
+        new = _onto(out, last.select(F.col("id").alias("parent")), "parent").groupBy("id").agg(F.min("parent").alias("parent"))
+        return new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"), "parent")
 
     return _levels(roots.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), grow, max_depth)
 

@@ -128,6 +128,25 @@ def test_places_in_depth_first_order(spark, one_task):
     assert preorder.preorder(tree.limit(0)).count() == 0
 
 
+def test_long_tours_are_folded_by_ranges_and_thinned(spark, monkeypatch):
+    sizes, thin = [], preorder._thinned
+    monkeypatch.setattr(preorder, "_thinned", lambda now, turn: sizes.append(now.count()) or thin(now, turn))
+    rng = random.Random(7)
+    # two fans of leaves under one root, and a path whose ids are in no order
+    fans = {"a": None, "b": "a", "c": "a"} | {f"{p}{k:03}": p for p in "bc" for k in range(300)}
+    names = [f"p{k:03}" for k in range(120)]
+    rng.shuffle(names)
+    parent = fans | dict(zip(names, [None, *names[:-1]], strict=True))
+    children = {}
+    for v in sorted(parent):
+        children.setdefault(parent[v], []).append(v)
+    tree = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    got = {r["id"]: r["place"] for r in preorder.preorder(tree, one_task=100, wide=50).collect()}
+    assert got == {v: k for k, v in enumerate(_walk(children, children[None]))}
+    # 1446 ways: the fans' fold to a few, the path's do not; each round leaves fewer
+    assert sizes[0] < 300 and sizes == sorted(sizes, reverse=True)
+
+
 @pytest.mark.parametrize("steps", [1, 2, 3, 4, 5])
 def test_paths_of_exact_length(spark, steps):
     rng = random.Random(steps)
