@@ -59,9 +59,9 @@ def fold_lists(t: DataFrame) -> DataFrame:
     """
     if t.filter(F.col("p").isin(FIRST, REST)).isEmpty():
         return t
-    first = t.filter(F.col("p") == FIRST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("v"))
-    rest = t.filter(F.col("p") == REST).groupBy(F.col("s").alias("cell")).agg(F.max_by("o", "ord").alias("next"))
-    cells = stored(first.join(rest, "cell", "full_outer"))
+    first, rest = F.col("p") == FIRST, F.col("p") == REST
+    cells = t.filter(first | rest).groupBy(F.col("s").alias("cell"))
+    cells = stored(cells.agg(F.max_by("o", F.when(first, F.col("ord"))).alias("v"), F.max_by("o", F.when(rest, F.col("ord"))).alias("next"), F.bool_or(first).alias("filled")))
     n = cells.count()
     jump = stored(cells.select("cell", F.col("next").alias("to")).join(cells.select(F.col("cell").alias("to")), "to", "left_semi").select("cell", "to"))
     jumps = []
@@ -71,7 +71,7 @@ def fold_lists(t: DataFrame) -> DataFrame:
     # what can still go on after as many steps as there are cells goes round
     endless = jump.select("cell")
     outer = t.filter(~F.col("p").isin(FIRST, REST))
-    heads = outer.join(first.select(F.col("cell").alias("o")), "o", "left_semi").groupBy(F.col("o").alias("cell")).agg(F.max_by(F.struct("s", "p"), "ord").alias("up"), F.max("ord").alias("ord"))
+    heads = outer.join(cells.filter("filled").select(F.col("cell").alias("o")), "o", "left_semi").groupBy(F.col("o").alias("cell")).agg(F.max_by(F.struct("s", "p"), "ord").alias("up"), F.max("ord").alias("ord"))
     heads = stored(heads.join(endless, "cell", "left_anti"))
     members = stored(heads.select(F.col("cell").alias("head"), "cell", F.lit(0).cast("long").alias("pos")))
     for k in range(len(jumps) - 1, -1, -1):
@@ -80,10 +80,12 @@ def fold_lists(t: DataFrame) -> DataFrame:
         released(old, jumps[k])
     items = members.join(cells.select("cell", "v"), "cell").groupBy("head").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])).alias("vs"))
     done = heads.join(items, heads["cell"] == items["head"])
-    gone = members.select("cell").distinct()
+    gone = members.select("cell")
     plain = outer.join(gone.withColumnRenamed("cell", "s"), "s", "left_anti").join(gone.withColumnRenamed("cell", "o"), "o", "left_anti")
-    round_ = t.filter(F.col("p").isin(FIRST, REST)).join(endless.withColumnRenamed("cell", "s"), "s", "left_semi")
-    out = plain.select(t.columns).unionByName(round_.select(t.columns)).unionByName(_literal(done, F.col("up.s"), F.col("up.p"), F.to_json("vs"), F.col("ord")))
+    if not endless.isEmpty():
+        round_ = t.filter(F.col("p").isin(FIRST, REST)).join(endless.withColumnRenamed("cell", "s"), "s", "left_semi")
+        plain = plain.select(t.columns).unionByName(round_.select(t.columns))
+    out = plain.select(t.columns).unionByName(_literal(done, F.col("up.s"), F.col("up.p"), F.to_json("vs"), F.col("ord")))
     out = stored(out)
     released(cells, jump, heads, members)
     return out

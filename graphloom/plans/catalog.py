@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import values
 from graphloom.operators import aggregates, encodings, export, filters, rdf, shapes, supply, traversal, updates, views
 from graphloom.plans.graph import EDGES_SQL, NODES_SQL, Graph, primary_type, star_edges, star_nodes
+from graphloom.plans.session import released, stored
 from graphloom.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,13 +476,18 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_LINES} select 'order:' || o as s, 'items' as p, to_json(list('part:' || p order by k))::varchar as o from l group by o")
 def list_collapse(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
+    # folding reads its triples several times, so the lines are grouped once
+    lines = stored(_lines(spark, d))
     cell = F.concat(F.lit("cell:"), "o", F.lit("/"), "k")
     after = F.coalesce(F.concat(F.lit("cell:"), "o", F.lit("/"), "next"), F.lit(rdf.NIL))
     order = F.col("o") * 10 + F.col("k")
     cells = _terms(lines, (cell, F.lit(rdf.FIRST), F.concat(F.lit("part:"), "p"), "literal"), (cell, F.lit(rdf.REST), after, "uri"), order=order)
     heads = _terms(lines.filter("first"), (F.concat(F.lit("order:"), "o"), F.lit("items"), cell, "uri"), order=order)
-    return rdf.fold_lists(heads.unionAll(cells)).select("s", "p", "o")
+    triples = heads.unionAll(cells)
+    folded = rdf.fold_lists(triples)
+    if folded is not triples:
+        released(lines)
+    return folded.select("s", "p", "o")
 
 
 @query(f"with {_LINES} select 'order:' || o as s, 'contains' as p, 'part:' || p as o from l union all select 'order:' || o, 'edge-meta:contains:quantity', q::varchar from l")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import filters, overlays, provenance, rdf, search, traversal
-from graphloom.plans import catalog_scale, catalog_views
+from graphloom.plans import catalog, catalog_scale, catalog_views
 from graphloom.plans.graph import Graph
 from graphloom.plans.session import stored
 
@@ -68,6 +68,15 @@ def test_induced_edges_are_not_sorted(spark, monkeypatch, few):
     assert sorted(r["id"] for r in got.edges.collect()) == ["e1", "e3"] and sorted(r["id"] for r in got.nodes.collect()) == ["a", "b"]
 
 
+def test_lines_and_cells_of_lists_are_grouped_once(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(rdf, "stored", lambda df: plans.append(_plan(df)) or stored(df))
+    got = catalog.list_collapse(spark, sf_dir)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert not any("l_linenumber" in p for p in plans)
+    assert plans[0].count("Aggregate") == 1 and "Join" not in plans[0]
+
+
 def test_statements_are_grouped_once_from_narrow_rows(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(rdf, "stored", lambda df: kept.append(df.columns) or stored(df))
