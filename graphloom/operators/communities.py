@@ -1,18 +1,21 @@
 """Communities by modularity, and a planted-partition graph to try them on.
 
-Links get numbered ends. As long as there are more links than one task may hold, rounds of
+Links get 64-bit hashes of their ends, under a seed that gives no two nodes the same one, and lie
+in buckets by their first ends. As long as there are more links than one task may hold, rounds of
 contraction halve the graph: every node weighs its links by the gain in modularity of joining
 the two ends, which is its pick. Nodes that nothing picks all join their picks in one round; what
 else there is, a hash deals into heads and tails, and a tail joins its pick if that is a head. A
-round is a grouped maximum and two equi-joins of the links, combined before
-their shuffles, and no hub is gathered; as each one leaves fewer links, all rounds together cost
-little more than the first. The small graph that remains is finished in one task, by moving
-single nodes while modularity rises, and the same again with the communities as nodes. If there
-were rounds of contraction, nodes of the whole graph are then moved once more where that raises
-modularity. No number of rounds is fixed: each part ends when nothing improves.
+round is a grouped minimum and two equi-joins of the links, which are shuffled twice: to their
+second ends and to where these go. No hub is gathered, and each round leaves fewer links. The
+small graph that remains is finished in one task, by moving single nodes while modularity rises,
+and the same again with the communities as nodes. If there were rounds of contraction, nodes of
+the whole graph are then moved once more where that raises modularity. No number of rounds is
+fixed: each part ends when nothing improves.
 
 Defined cases: a node without links is a community of its own, loops count in a node's weight
-only, parallel links add up, ties go to the least label, and an empty graph gives no rows.
+only, parallel links add up, ties go to the least hash, and an empty graph gives no rows. An
+edge to a missing node doesn't count, unless that id shares its hash with a node's (less than one
+in 10^10 such ids with 100 million nodes).
 """
 
 from __future__ import annotations
@@ -25,17 +28,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import Graph
-from graphloom.plans.session import number_rows, released, stored
+from graphloom.plans.session import number_rows, released, stored, stored_by
 
 #: Links (each from both ends) that one task may hold.
 ONE_TASK = 4_000_000
 _EPS = 1e-9
+#: Modularity that a round of moves has to bring.
+_LEAST = 1e-4
+#: Nodes in one bucket of links.
+_NODES_A_PART = 100_000
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    """(a, b, w): each undirected link from both ends; a loop once, with twice its weight."""
+def _links(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """(a, b, w): each undirected link from both ends, dealt by the first one if ``parts`` is given; a loop once, with twice its weight."""
     ends = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
-    return edges.select(F.explode(ends).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    both = edges.select(F.explode(ends).alias("x")).select("x.a", "x.b")
+    return (both.repartition(parts, "a") if parts else both).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 def _modularity(links: DataFrame, of: DataFrame) -> float:
@@ -94,6 +102,11 @@ def _finished(table: pa.Table, total: float) -> pa.Table:
     a, b, w = at[: table.num_rows], at[table.num_rows :], table["w"].to_numpy()
     k = np.zeros(len(ids))
     k[a] = table["ka"].to_numpy()
+    # heavy nodes are looked at first
+    order = np.lexsort((ids, -k))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    ids, k, a, b = ids[order], k[order], place[a], place[b]
     c = np.arange(len(ids))
     while True:
         names, of = np.unique(_sweeps(a, b, w, k.tolist(), total), return_inverse=True)
@@ -109,72 +122,114 @@ def _finished(table: pa.Table, total: float) -> pa.Table:
     return pa.table({"v": ids, "c": least[c]})
 
 
-def _contracted(e: DataFrame, total: float, turn: int) -> tuple[DataFrame, DataFrame] | None:
-    """(v, to) of a round's moves and the links between what is left; None if no pair would gain by joining.
+def _contracted(e: DataFrame, total: float, turn: int, parts: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(v, to) of a round's moves and the links between what is left, in ``parts`` buckets; None if no pair would gain by joining.
 
     ``e`` has each link from both ends with the ends' weights: a, ka, b, kb, w.
     """
+    parts = parts or _parts(e.sparkSession)
     gain = F.col("w") - F.col("ka") * F.col("kb") / total
-    picks = e.withColumn("gain", gain).filter(F.col("gain") > _EPS).groupBy("a", "ka").agg(F.min_by("b", F.struct(-F.round("gain", 9), F.col("b"))).alias("to"))
-    picks = stored(picks)
+    # all nodes, also those that pick none
+    best = F.min(F.when(F.col("gain") > _EPS, F.struct(_rank(F.col("gain")).alias("rank"), "b")))
+    every = stored_by(e.withColumn("gain", gain).groupBy("a", "ka").agg(best["b"].alias("to")), "a", parts)
+    picks = every.filter("to is not null").select("a", "to")
     if picks.isEmpty():
-        released(picks)
+        released(every)
         return None
 
     def dealt(c: str) -> Column:
         return F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
 
     # what a node picks that nothing picks stays, and all that pick it join it
-    ends = picks.join(picks.select(F.col("to").alias("a")).distinct(), "a", "left_anti").select("to").distinct().withColumn("stays", F.lit(True))
-    met = picks.join(ends, "to", "left").withColumnRenamed("stays", "to_stays").join(ends.withColumnRenamed("to", "a"), "a", "left")
-    met = met.filter("stays is null")
+    ends = stored(picks.join(picks.select(F.col("to").alias("a")).distinct().hint("shuffle_hash"), "a", "left_anti").select("to").distinct())
+    met = picks.join(ends.withColumnRenamed("to", "a").hint("shuffle_hash"), "a", "left_anti").join(ends.withColumn("stays", F.lit(True)).hint("shuffle_hash"), "to", "left")
     # dealt out are only those that neither stay nor join what stays
-    rest = met.filter("to_stays is null")
+    met = stored(met.select("a", "to", "stays"))
+    rest = met.filter("stays is null")
     pairs = rest.filter(~dealt("a") & dealt("to")).join(rest.select(F.col("a").alias("to")), "to", "left_semi")
-    moves = stored(met.filter("to_stays").select("a", "to", "ka").unionByName(pairs.select("a", "to", "ka")).withColumnRenamed("a", "v"))
-    released(picks)
-    grown = moves.groupBy(F.col("to").alias("v")).agg(F.sum("ka").alias("more"))
-    # where each end goes and what it weighs there; heads that grow weigh more
-    weights = e.select(F.col("a").alias("v"), F.col("ka").alias("k")).distinct().join(grown, "v", "left").select("v", (F.col("k") + F.coalesce("more", F.lit(0.0))).alias("k"))
-    places = weights.select("v", F.col("v").alias("own")).join(moves.select("v", "to"), "v", "left").select("v", F.coalesce("to", "own").alias("to"))
-    places = stored(places.join(weights.select(F.col("v").alias("to"), "k"), "to").select("v", "to", "k"))
-    first, second = (places.select(F.col("v").alias(x), F.col("to").alias(f"t{x}"), F.col("k").alias(f"n{x}")) for x in "ab")
-    left = e.join(first, "a").join(second, "b").filter("ta != tb").groupBy(F.col("ta").alias("a"), F.col("na").alias("ka"), F.col("tb").alias("b"), F.col("nb").alias("kb")).agg(F.sum("w").alias("w"))
-    left = stored(left.select("a", "ka", "b", "kb", "w"))
+    moves = stored(met.filter("stays").select("a", "to").unionByName(pairs.select("a", "to")).withColumnRenamed("a", "v"))
+    # where each end goes and what it weighs there
+    placed = every.select(F.col("a").alias("v"), "ka").join(moves.hint("shuffle_hash"), "v", "left").select("v", F.coalesce("to", "v").alias("to"), "ka")
+    places = stored_by(placed.join(placed.groupBy("to").agg(F.sum("ka").alias("k")).hint("shuffle_hash"), "to").select("v", "to", "k").repartition(parts, "v"), "v", parts)
+    released(every, ends, met)
+    # links go to their other ends and from there to where these go
+    first, second = (places.select(F.col("v").alias(x), F.col("to").alias(f"t{x}"), F.col("k").alias(f"n{x}")).hint("shuffle_hash") for x in "ab")
+    left = e.join(first, "a").select("b", "ta", "na", "w").repartition(parts, "b").join(second, "b").filter("ta != tb")
+    left = left.select(F.col("tb").alias("a"), F.col("nb").alias("ka"), F.col("ta").alias("b"), F.col("na").alias("kb"), "w").repartition(parts, "a")
+    left = stored_by(left.groupBy("a", "ka", "b", "kb").agg(F.sum("w").alias("w")), "a", parts)
     released(places)
     return moves, left
 
 
-def _moved(e: DataFrame, of: DataFrame, total: float, turn: int) -> DataFrame:
-    """One round over all nodes: those of this turn's hash class go to the community around them with the greatest gain."""
-    weights = e.select(F.col("a").alias("id"), F.col("ka").alias("k")).distinct()
-    held = weights.join(of, "id")
-    sums = held.groupBy("c").agg(F.sum("k").alias("sum"))
-    toward = e.select(F.col("a").alias("id"), F.col("b"), "w").join(of.select(F.col("id").alias("b"), "c"), "b").groupBy("id", "c").agg(F.sum("w").alias("w"))
-    own = held.select("id", "c", F.lit(0.0).alias("w"))
-    choices = toward.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(held.select("id", "k", F.col("c").alias("now")), "id")
-    stays = F.col("c") == F.col("now")
-    gain = F.col("w") - F.col("k") * (F.col("sum") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+def _rank(gain: Column) -> Column:
+    """Less for greater gains, and the same for those that differ by rounding alone."""
+    return -F.rint(gain * 1e9)
+
+
+def _parts(spark: SparkSession, nodes: int = 0) -> int:
+    """Buckets of links, by their first ends."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes // _NODES_A_PART)
+
+
+def _choices(e: DataFrame, of: DataFrame, k: DataFrame, total: float, parts: int) -> DataFrame:
+    """(v, k, c, to, better, inside, out) of all nodes with links: the community around a node with the greatest gain over its own, if there is any, and its weight of links in its own and at all."""
+    held = of.join(k, "v")
+    held = stored(held.join(held.groupBy("c").agg(F.sum("k").alias("sum")), "c"))
+    ends = held.select(F.col("v").alias("a"), F.col("c").alias("to"), F.col("sum").alias("there"))
+    around = e.join(ends.hint("shuffle_hash"), "a").select("b", "to", "there", "w").repartition(parts, "b").groupBy("b", "to", "there").agg(F.sum("w").alias("w"))
+    seen = around.join(held.withColumnRenamed("v", "b").hint("shuffle_hash"), "b")
+    own = F.col("to") == F.col("c")
+    gain = F.col("w") - F.col("k") * F.col("there") / total
+    best = F.min(F.when(~own, F.struct(_rank(gain).alias("rank"), "to", gain.alias("gain"))))
+    seen = seen.groupBy("b", "k", "c", "sum").agg(best.alias("best"), F.sum(F.when(own, F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("out"))
+    better = F.col("best.gain") - (F.col("inside") - F.col("k") * (F.col("sum") - F.col("k")) / total)
     # staying wins ties
-    best = choices.withColumn("gain", gain).groupBy("id", "now").agg(F.min_by("c", F.struct(-F.round("gain", 9), (~stays).alias("moves"), "c")).alias("best"))
-    mine = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-    return best.select("id", F.when(mine, F.col("best")).otherwise(F.col("now")).alias("c"))
+    seen = seen.withColumn("better", better).withColumn("to", F.when(F.col("better") > _EPS, F.col("best.to")))
+    out = stored(seen.select(F.col("b").alias("v"), "k", "c", "to", "better", "inside", "out"))
+    released(held)
+    return out
+
+
+def _quality(choices: DataFrame, total: float) -> float:
+    """Modularity of the communities that ``choices`` were made from; what a node weighs beyond its links is loops."""
+    per = choices.groupBy("c").agg(F.sum("k").alias("k"), F.sum(F.col("inside") + F.col("k") - F.col("out")).alias("inside"))
+    row = per.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+    return (row["inside"] or 0.0) / total - (row["squares"] or 0.0) / total**2
+
+
+def _hashed(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(id, v) with a 64-bit hash for each id, and the seed under which no two of them share one."""
+    seed = 0
+    while True:
+        ids = stored(nodes.select("id").distinct().withColumn("v", F.xxhash64("id", F.lit(seed))))
+        if ids.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return ids, seed
+        released(ids)
+        seed += 1
 
 
 def communities(nodes: DataFrame, edges: DataFrame, *, one_task: int = ONE_TASK) -> DataFrame:
     """(id, community), a community called by its least member."""
-    ids = number_rows(nodes.select("id").distinct(), "id", name="v")
-    ids = stored(ids)
-    a, b = (ids.select(F.col("id").alias(end), F.col("v").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
-    every = stored(_links(edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    k = stored(every.groupBy("a").agg(F.sum("w").alias("ka")))
-    total = k.agg(F.sum("ka")).first()[0] or 0.0
-    whole = every.filter("a != b").join(k, "a").join(k.select(F.col("a").alias("b"), F.col("ka").alias("kb")), "b").select("a", "ka", "b", "kb", "w")
-    whole = e = stored(whole)
-    released(k, every)
+    ids, seed = _hashed(nodes)
+    parts = _parts(nodes.sparkSession, ids.count())
+    ends = edges.filter("src is not null and dst is not null").select(*(F.xxhash64(x, F.lit(seed)).alias(x) for x in ("src", "dst")))
+    every = stored_by(_links(ends, parts), "a", parts)
+    k = stored(every.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")))
+    if not k.join(ids, "v", "left_anti").isEmpty():
+        # edges to missing nodes don't count
+        a, b = (ids.select(F.col("v").alias(x)).hint("shuffle_hash") for x in "ab")
+        there = stored_by(every.join(a, "a", "left_semi").repartition(parts, "b").join(b, "b", "left_semi").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"), "a", parts)
+        released(every, k)
+        every, k = there, stored(there.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")))
+    total = k.agg(F.sum("k")).first()[0] or 0.0
+    first, second = (k.select(F.col("v").alias(x), F.col("k").alias(f"k{x}")).hint("shuffle_hash") for x in "ab")
+    # every link is there from both ends, so what comes to lie by its second end may as well be called by it
+    whole = every.filter("a != b").join(first, "a").repartition(parts, "b").join(second, "b")
+    whole = e = stored_by(whole.select(F.col("b").alias("a"), F.col("kb").alias("ka"), F.col("a").alias("b"), F.col("ka").alias("kb"), "w"), "a", parts)
+    released(every)
     of = stored(ids.select("v", F.col("v").alias("c")))
     turn = 0
-    while (n := e.count()) > one_task and (step := _contracted(e, total, turn)):
+    while (n := e.count()) > one_task and (step := _contracted(e, total, turn, parts)):
         moves, left = step
         of, old = stored(of.join(moves.select(F.col("v").alias("c"), "to"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))), of
         released(old, moves)
@@ -188,33 +243,33 @@ def communities(nodes: DataFrame, edges: DataFrame, *, one_task: int = ONE_TASK)
         released(old)
     if e is not whole:
         released(e)
-        of = _refined(whole, of, total)
-    released(whole)
-    # numbers are in order of the ids
-    names = of.groupBy("c").agg(F.min("v").alias("least")).join(ids.select(F.col("v").alias("least"), F.col("id").alias("community")), "least")
-    out = stored(of.join(names, "c").join(ids, "v").select("id", "community"))
+        of = _refined(whole, of, k, total, parts)
+    released(whole, k)
+    named = of.join(ids, "v")
+    out = stored(named.join(named.groupBy("c").agg(F.min("id").alias("community")), "c").select("id", "community"))
     released(of, ids)
     return out
 
 
-def _refined(e: DataFrame, of: DataFrame, total: float) -> DataFrame:
-    """Memberships after rounds of moves over the whole graph, as long as two in a row bring something."""
-    links = e.select("a", "b", "w")
-    loops = e.select("a", "ka").distinct().join(e.groupBy("a").agg(F.sum("w").alias("out")), "a").select("a", F.col("a").alias("b"), (F.col("ka") - F.col("out")).alias("w")).filter(F.col("w") > _EPS)
-    links = stored(links.unionByName(loops))
-    best, turn, idle = _modularity(links, of.withColumnRenamed("v", "id")), 0, 0
+def _refined(e: DataFrame, of: DataFrame, k: DataFrame, total: float, parts: int) -> DataFrame:
+    """Memberships after rounds of moves over the whole graph, each of a half of the nodes dealt by hash, as long as two in a row bring something."""
+    choices = _choices(e, of, k, total, parts)
+    best, turn, idle = _quality(choices, total), 0, 0
     while idle < 2:
-        moved = _moved(e, of.withColumnRenamed("v", "id"), total, turn).withColumnRenamed("id", "v")
-        tried = stored(of.join(moved.withColumnRenamed("c", "new"), "v", "left").select("v", F.coalesce("new", "c").alias("c")))
-        q = _modularity(links, tried.withColumnRenamed("v", "id"))
-        if q > best + 1e-4:
-            released(of)
-            of, best, idle = tried, q, 0
+        mine = choices.filter(F.col("to").isNotNull() & (F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0))
+        idle, turn = idle + 1, turn + 1
+        # where moves promise too little one by one, they aren't tried
+        if 2 * (mine.agg(F.sum("better")).first()[0] or 0.0) / total <= _LEAST:
+            continue
+        tried = stored(of.join(mine.select("v", "to"), "v", "left").select("v", F.coalesce("to", "c").alias("c")))
+        again = _choices(e, tried, k, total, parts)
+        q = _quality(again, total)
+        if q > best + _LEAST:
+            released(of, choices)
+            of, choices, best, idle = tried, again, q, 0
         else:
-            released(tried)
-            idle += 1
-        turn += 1
-    released(links)
+            released(tried, again)
+    released(choices)
     return of
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,15 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Lets a task that holds one bucket write it without sorting its rows by bucket first.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 #: Steps that are still there, with their session.
 _STEPS: dict[str, SparkSession] = {}
 
 
+def _table(path: str) -> str:
+    return path.rsplit("/", 1)[-1].replace("-", "_")
+
+
 def _remove(path: str) -> None:
     spark = _STEPS.pop(path, None)
     if spark is None:
         return
     try:
+        spark.sql(f"drop table if exists {_table(path)}")
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session may have ended before the interpreter
@@ -61,19 +71,47 @@ def stored(df: DataFrame) -> DataFrame:
     The files go with ``released``, or else when the interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    _STEPS[path] = spark
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = _new_path(spark)
+    with _set(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
+def stored_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``stored`` with one bucket of keys a file, so that later joins and groupings by ``key`` don't shuffle it.
+
+    ``df`` comes dealt into as many partitions by that key, as by ``repartition``.
+    """
+    spark = df.sparkSession
+    path = _new_path(spark)
+    with _set(spark, _CLEANUP, "true"), _set(spark, _WRITERS, "2"):
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(_table(path))
+    back = spark.table(_table(path))
+    back._stored_at = path
+    return back
+
+
+def _new_path(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    _STEPS[path] = spark
+    return path
+
+
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def released(*steps: DataFrame) -> None:
     """Delete the files of stored steps that nothing reads any more."""
     for df in steps:

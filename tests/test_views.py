@@ -94,6 +94,35 @@ def test_no_node_joins_one_that_moves(spark):
     e.unpersist()
 
 
+def test_picks_come_from_links_where_they_lie(spark, monkeypatch):
+    plans, kept = [], communities.stored_by
+    monkeypatch.setattr(communities, "stored_by", lambda df, *x: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or kept(df, *x))
+    g = communities.planted(spark, groups=4, members=30)
+    communities.communities(g.nodes, g.edges, one_task=50)
+    picks = [p for columns, p in plans if columns == ["a", "ka", "to"]]
+    assert picks and not any("Exchange" in p for p in picks)
+    # weights come by one shuffle of the links, and moves by two
+    dealt = [p.count("REPARTITION_BY_NUM") for columns, p in plans if columns == ["a", "ka", "b", "kb", "w"]]
+    assert dealt[0] == 1 and set(dealt[1:]) == {2}
+
+
+def test_quality_of_choices_and_edges_to_missing_nodes(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(300)] + [("n1", "n1"), ("n1", "n1"), ("n2", "n3"), ("n2", "n3")]
+    nodes, edges = spark.createDataFrame([(f"n{k}",) for k in range(40)], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+    v = F.regexp_extract("id", r"n(.*)", 1).cast("long")
+    links = communities._links(edges.select(*(F.regexp_extract(x, r"n(.*)", 1).cast("long").alias(x) for x in ("src", "dst"))))
+    k = links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k"))
+    e = links.filter("a != b").join(k.selectExpr("v as a", "k as ka"), "a").join(k.selectExpr("v as b", "k as kb"), "b")
+    of = nodes.select(v.alias("v"), (v % 7).alias("c"))
+    total = 2.0 * len(pairs)
+    got = communities._quality(communities._choices(e, of, k, total, 4), total)
+    assert abs(got - _plain_modularity(pairs, {f"n{x}": x % 7 for x in range(40)})) < 1e-9
+    lost = edges.unionAll(spark.createDataFrame([("n1", "gone"), ("gone", "away"), (None, "n1"), ("n0", "gone")], "src string, dst string"))
+    same = [{tuple(r) for r in communities.communities(nodes, x).collect()} for x in (edges, lost)]
+    assert same[0] == same[1] and len(same[0]) == 40
+
+
 def test_collapsing_without_a_property(spark):
     g = communities.planted(spark, groups=4, members=12)
     small, collapsed = groups.collapse_above(g, threshold=40)
