@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import Graph
-from graphloom.plans.session import released, stored
+from graphloom.plans.session import released, stored, stored_by
 
 #: Edge types a chain follows (fixed values of the vocabulary).
 CHAIN = ("wasAttributedTo", "wasGeneratedBy", "wasAssociatedWith", "used", "wasDerivedFrom")
 
+#: Roots in one bucket of rows.
+_ROOTS_A_PART = 100_000
+
 
 def build(agents: DataFrame, activities: DataFrame, entities: DataFrame) -> Graph:
     """The graph of agents(id, name), activities(id, name, agent, started, ended) and entities(id, name, attributed_to, generated_by, generated).
@@ -43,38 +46,56 @@ def chains(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
     a leaf without attribution is followed by a row that marks the gap. ``place`` numbers a
     root's rows in the order of the walk. ``max_depth`` is the feature's own limit.
     """
-    steps = graph.edges.filter(F.col("type").isin(*CHAIN)).groupBy(F.col("src").alias("id"), "dst").agg(F.min(F.struct("id", "type")).alias("e"))
-    steps = steps.select("id", "dst", F.col("e.type").alias("type"), F.col("e.id").alias("edge"))
+    parts = max(int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), roots.count() // _ROOTS_A_PART)
+    steps = graph.edges.filter(F.col("type").isin(*CHAIN)).select(F.col("src").alias("id"), "dst", F.struct(F.col("id").alias("edge"), "type").alias("e"))
+    steps = steps.repartition(parts, "id").groupBy("id", "dst").agg(F.min("e").alias("e"))
+    # ways of a root that part do so at one node, so its edges' numbers give the order of their ids
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("e.edge", "dst"))
+    steps = stored_by(steps.select("id", "dst", F.col("e.type").alias("type"), nth.alias("nth")), "id", parts)
+    bare = graph.nodes.filter(F.array_contains("types", "Entity") & ~F.coalesce("attributed", F.lit(True))).select("id").distinct()
+    within = stored(bare.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"))
+    marked = F.lit(True).alias("bare")
+    walked = steps.withColumn("bare", F.lit(False))
+    if not within.isEmpty():
+        walked = steps.join(within.select(F.col("id").alias("dst"), marked), "dst", "left").withColumn("bare", F.coalesce("bare", F.lit(False)))
     none = F.lit(None).cast("string")
-    level = roots.select("id").distinct().select(F.col("id").alias("root"), "id", none.alias("parent"), none.alias("via"), F.array("id").alias("path"), F.array().cast("array<string>").alias("order"))
+    level = roots.select("id").distinct().join(bare.select("id", marked), "id", "left")
+    level = level.select(F.col("id").alias("root"), "id", none.alias("parent"), none.alias("via"), F.coalesce("bare", F.lit(False)).alias("bare"), F.array().cast("array<string>").alias("between"), F.array().cast("array<int>").alias("order"))
     found = [level.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
-        grown = level.select("root", "id", "path", "order").join(steps, "id").filter(~F.array_contains("path", F.col("dst")))
-        level = grown.select("root", F.col("dst").alias("id"), F.col("id").alias("parent"), F.col("type").alias("via"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("edge")).alias("order"))
+        grown = level.select("root", "id", "between", "order").join(walked, "id").filter((F.col("dst") != F.col("root")) & (F.col("dst") != F.col("id")) & ~F.array_contains("between", F.col("dst")))
+        # what lies between a root and a node, without both
+        between = F.concat("between", F.array("id")) if depth > 1 else F.col("between")
+        level = grown.select("root", F.col("dst").alias("id"), F.col("id").alias("parent"), F.col("type").alias("via"), "bare", between.alias("between"), F.concat("order", F.array("nth")).alias("order"))
         found.append(level.withColumn("depth", F.lit(depth)))
-    every = stored(reduce(DataFrame.unionByName, found).drop("path"))
+    # a root's rows are bounded by the walk's depth and its nodes' out-edges, and from here on lie together
+    every = stored_by(reduce(DataFrame.unionByName, found).drop("between").repartition(parts, "root"), "root", parts)
+    released(steps, within)
     # only from roots whose ways meet again can a way not count
     met = stored(every.groupBy("root", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root").distinct())
     if met.isEmpty():
         released(met)
         first = every
     else:
-        first = every.join(met, "root", "left_anti").unionByName(_first_ways(stored(every.join(met, "root", "left_semi"))))
-    bare = graph.nodes.filter(F.array_contains("types", "Entity") & ~F.coalesce("attributed", F.lit(True))).select("id")
+        first = every.join(met, "root", "left_anti").unionByName(_first_ways(stored(every.join(met, "root", "left_semi")))).repartition(parts, "root")
     # a leaf is where the walk doesn't go on, for want of edges, depth or nodes not met yet
-    parents = first.select("root", F.col("parent").alias("id")).distinct()
-    leaves = first.join(bare, "id", "left_semi").join(parents, ["root", "id"], "left_anti")
-    gaps = leaves.select("root", F.concat("id", F.lit("::absence")).alias("id"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), none.alias("via"), F.lit(True).alias("absence"), F.concat("order", F.array(F.lit(""))).alias("order"))
-    rows = first.withColumn("absence", F.lit(False)).unionByName(gaps)
-    # a root's rows are bounded by the walk's depth and its nodes' out-edges
+    row = F.struct("depth", "parent", "via", "bare", "order")
+    both = F.array_compact(F.array(F.struct("id", row.alias("row")), F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("id"), F.lit(None).cast(first.select(row).schema[0].dataType).alias("row")))))
+    own = first.select("root", F.explode(both).alias("x")).select("root", "x.id", "x.row")
+    leaf = F.count_if(F.col("row").isNull()).over(Window.partitionBy("root", "id")) == 0
+    own = own.withColumn("leaf", leaf).filter("row is not null").select("root", "id", "row.*", "leaf")
+    names = ("id", "depth", "parent", "via", "absence", "order")
+    here = F.struct("id", "depth", "parent", "via", F.lit(False).alias("absence"), "order")
+    gap = F.struct(*(c.alias(n) for n, c in zip(names, (F.concat("id", F.lit("::absence")), F.col("depth") + 1, F.col("id"), none, F.lit(True), F.concat("order", F.array(F.lit(0)))), strict=True)))
+    rows = own.select("root", F.explode(F.array_compact(F.array(here, F.when(F.col("leaf") & F.col("bare"), gap)))).alias("x")).select("root", "x.*")
     place = F.row_number().over(Window.partitionBy("root").orderBy("order", "absence")) - 1
     return rows.select("root", "id", "depth", "parent", "via", "absence", place.alias("place"))
 
 
 def _first_ways(every: DataFrame) -> DataFrame:
-    """(root, id, order, depth, parent, via): the first way to each node, of ways that come to every node between by its own first way."""
+    """(root, id, order, depth, parent, via, bare): the first way to each node, of ways that come to every node between by its own first way."""
     while True:
-        first = stored(every.groupBy("root", "id").agg(F.min(F.struct("order", "depth", "parent", "via")).alias("x")).select("root", "id", "x.*"))
+        first = stored(every.groupBy("root", "id").agg(F.min(F.struct("order", "depth", "parent", "via", "bare")).alias("x")).select("root", "id", "x.*"))
         # a way to a parent that isn't the parent's first one is none
         own = first.select("root", F.col("id").alias("parent"), F.col("order").alias("before"))
         held = every.join(own, ["root", "parent"], "left")

@@ -138,3 +138,18 @@ def test_edits_meet_no_edges_but_their_own(spark, sf_dir, monkeypatch):
         got = summaries.edited(g, edits)
         assert sorted(map(str, got.collect())) == sorted(map(str, summaries.changes_between(g, after).collect()))
     assert {r["id"] for r in got.collect()} == {"a", "b", "e1", "e2", "e4", "e6", "e7", "e8"}
+
+
+def test_rows_of_a_root_are_gathered_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([(v, ["Entity"], v not in "cd") for v in "abcdef"], "id string, types array<string>, attributed boolean")
+    # edges' ids go by text, and c is a leaf that nothing is recorded of, as root and further on
+    edges = [("e10", "a", "b", "used"), ("e9", "a", "c", "used"), ("e2", "b", "d", "used"), ("e1", "d", "a", "used"), ("e3", "d", "e", "used"), ("e4", "e", "f", "used")]
+    g = Graph(nodes, spark.createDataFrame(edges, "id string, src string, dst string, type string"))
+    got = provenance.chains(g, nodes)
+    assert _plan(got).count("Join") == 0 and got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    walks = {}
+    for r in sorted(got.collect(), key=lambda r: (r["root"], r["place"])):
+        walks.setdefault(r["root"], []).append((r["id"], r["depth"], r["parent"]))
+    assert walks["a"] == [("a", 0, None), ("b", 1, "a"), ("d", 2, "b"), ("e", 3, "d"), ("c", 1, "a"), ("c::absence", 2, "c")]
+    assert walks["c"] == [("c", 0, None), ("c::absence", 1, "c")] and walks["f"] == [("f", 0, None)]
+    assert walks["d"] == [("d", 0, None), ("a", 1, "d"), ("b", 2, "a"), ("c", 2, "a"), ("c::absence", 3, "c"), ("e", 1, "d"), ("f", 2, "e")]
